@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import table
+from .lookalikes import lookalike_pairs, normalized
+from .pairs import defective_pairs
 from .sentences import sentences
 
 
+#: The texts of problem 3: table, key, text.
+LOOKS = [("questions", "id", "question"), ("corpus", "number", "text_ja"), ("glossary", "term_en", "term_ja")]
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return defective_pairs(table(spark, sf, "questions"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [lookalike_pairs(table(spark, sf, t), k, x).select(F.lit(t).alias("source_table"), "key_a", "key_b") for t, k, x in LOOKS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p3_consistent(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text of problem 3 with its consistent form."""
+    parts = [normalized(table(spark, sf, t), k, x).withColumn("source_table", F.lit(t)) for t, k, x in LOOKS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     corpus = table(spark, sf, "corpus")
     texts = [corpus.select("number", F.lit(lang).alias("lang"), F.col(f"text_{lang}").alias("text")) for lang in ("en", "ja")]
     return sentences(texts[0].unionByName(texts[1]), ["number", "lang"])
 
 
-QUERIES = {f.__name__: f for f in (p5_found,)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p5_found)}
 SQL: dict[str, str] = {}
