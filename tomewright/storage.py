@@ -22,3 +22,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least two partitions a core, for work in Python that costs far more than reading.
+
+    A table of many files is left as it is, without a shuffle; a small one, read as a few splits, is dealt out.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
