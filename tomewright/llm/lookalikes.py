@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions.text import INVISIBLE
-from ..storage import checkpointed
+from ..storage import checkpointed, spread
 
 # Characters of different scripts that look alike, one group a word, the first being the prototype.
 LATIN_LIKE = """
@@ -172,7 +172,7 @@ def lookalike_pairs(records: DataFrame, key: str, text: str) -> DataFrame:
     itself, even if it is stored with two spellings.
     """
     rows = records.select(F.col(key).alias("key"), F.col(text).alias("stored")).dropna().distinct()
-    spellings = checkpointed(rows.select("stored").distinct().select("stored", look_udf("stored").alias("look")).where("look != ''"))
+    spellings = checkpointed(spread(rows.select("stored").distinct()).select("stored", look_udf("stored").alias("look")).where("look != ''"))
     several = spellings.groupBy("look").count().where("count > 1").select("look")
     spelled = spellings.join(several, "look", "left_semi")
     twins = spelled.alias("a").join(spelled.alias("b"), "look").where("a.stored < b.stored").select(F.col("a.stored").alias("one"), F.col("b.stored").alias("other"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import table
+from .leakage import leaked_passages
 from .lookalikes import lookalike_pairs, normalized
+from .packing import containers
 from .pairs import defective_pairs
 from .sentences import sentences
 
@@ -38,5 +40,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(texts[0].unionByName(texts[1]), ["number", "lang"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p5_found)}
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return containers(table(spark, sf, "documents"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_passages(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p5_found, p6_containers, p7_found)}
 SQL: dict[str, str] = {}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import INVISIBLE
-from ..storage import checkpointed
+from ..storage import checkpointed, spread
 
 #: Features the classifier keeps: the most frequent ones, a bound on what goes to every task.
 MAX_FEATURES = 4096
@@ -198,7 +198,7 @@ def train_boundaries(texts: DataFrame) -> dict[str, float]:
                     counts[key] = counts.get(key, 0) + 1
             yield pd.DataFrame([(k, float(label), n) for (k, label), n in counts.items()], columns=["features", "label", "n"])
 
-    counted = texts.select("text").dropna().mapInPandas(sure, "features string, label double, n long").groupBy("features", "label").agg(F.sum("n").cast("double").alias("n"))
+    counted = spread(texts.select("text").dropna()).mapInPandas(sure, "features string, label double, n long").groupBy("features", "label").agg(F.sum("n").cast("double").alias("n"))
     counted = checkpointed(counted.select(F.split("features", "\t").alias("terms"), "label", "n"))
     if counted.select("label").distinct().count() < 2:
         return {}
@@ -222,4 +222,4 @@ def sentences(texts: DataFrame, keys: list[str]) -> DataFrame:
             rows = [(*key, s, e) for *key, text in batch[[*keys, "text"]].itertuples(index=False) for s, e in split_text(text, weights)]
             yield pd.DataFrame(rows, columns=[*keys, "start_pos", "end_pos"])
 
-    return texts.select(*keys, "text").dropna(subset=["text"]).distinct().mapInPandas(split, schema)
+    return spread(texts.select(*keys, "text").dropna(subset=["text"]).distinct()).mapInPandas(split, schema)
