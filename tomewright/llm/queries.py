@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import table
+from .abuse import found_kinds, rates, scored
 from .leakage import leaked_passages
 from .lookalikes import lookalike_pairs, normalized
 from .packing import containers
@@ -48,5 +49,18 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_passages(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p5_found, p6_containers, p7_found)}
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return scored(documents, table(spark, sf, "labels")).drop("text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return found_kinds(p8_scores(spark, sf))
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return rates(p8_scores(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p5_found, p6_containers, p7_found, p8_found, p8_scores, p8_rates)}
 SQL: dict[str, str] = {}
