@@ -12,11 +12,11 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 #: Characters without a glyph: soft hyphen, joiners, direction marks, word joiner, byte order mark (fixed values).
-INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
+INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 #: White space of every kind, for Java's and RE2's regular expressions alike (fixed values).
-SPACE_CLASS = "[\\s\u0085   -     　]"
+SPACE_CLASS = "[\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-_WIDTH_RUN = re.compile("[！-￮　]+")
+_WIDTH_RUN = re.compile("[！-￮\u3000]+")
 _NOT_SHOWN = re.compile(f"[{INVISIBLE}]+")
 _SPACE = re.compile(r"\s+")
 
@@ -44,7 +44,7 @@ def nfkc_lower(texts: pd.Series) -> pd.Series:
 
 
 #: Full-width digits, letters, full stop, solidus and hyphen with their plain forms.
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
 _PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 

@@ -1,4 +1,532 @@
-"""The queries of the retrieval engine, with their SQL."""
+"""The queries of the retrieval engine, with their SQL.
 
-QUERIES = {}
-SQL = {}
+Searches take as queries the questions whose number is divisible by 20 (eval items and vectors by their id), against all rows.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.numbers import parent_of, sort_key
+from .functions.text import nfkc_lower, rule_mentions, rule_number
+from .functions.tokens import CJK, WORDS, normalized, tokens
+from .operators.cards import read_cards
+from .operators.evaluation import judged_queries, percentiles, score_report, summary
+from .operators.glossary import glossary_ranking, secondary_queries, term_hits, term_table
+from .operators.ingest import bilingual, html_lines, keep_first, line_blocks, merge_glossaries, parse_rules, self_check
+from .operators.lookup import direct_lookup
+from .operators.ranking import bm25, bm25_ranking, fold_groups, minmax_fusion, rrf, top, vector_ranking
+from .operators.snapshots import chosen_deliveries
+from .operators.validation import question_problems
+from .plans.search import Index, contexts, corpus_members, language_passages, multi_query_groups, passages, question_queries, search
+from .queries_data import _ASCII, _SNAPSHOTS, _SPACES, _WIDE, _number
+from .storage import table
+
+CATEGORIES = ["basic_rules", "card_interactions", "combat", "commander", "keywords", "layers", "replacement_effects", "stack_priority"]
+TOOLS = ["search_rules", "lookup_card", "get_card_rulings"]
+
+
+# --- tables -------------------------------------------------------------------------------------------------
+
+
+def corpus_of(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "corpus").select("number", "text_en", "text_ja", "section", "category").distinct().withColumn("ord", sort_key(F.col("number")))
+
+
+def glossary_of(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "glossary").drop("effective_date").distinct().withColumn("ord", F.col("term_en"))
+
+
+def records_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions, each once whatever it was loaded."""
+    return keep_first(table(spark, sf, "questions"), ["id"], [F.desc("loaded_at"), F.asc("question")])
+
+
+def asked_of(spark: SparkSession, sf: str) -> DataFrame:
+    return records_of(spark, sf).where(F.regexp_extract("id", r"(\d+)$", 1).try_cast("int") % 20 == 0).select(F.col("id").alias("query_id"), F.col("question").alias("text"))
+
+
+def relevant_of(spark: SparkSession, sf: str) -> DataFrame:
+    rows = records_of(spark, sf).select(F.col("id").alias("query_id"), F.explode("retrieval_relevant_rules").alias("r"))
+    return rows.select("query_id", rule_number(F.col("r")).alias("doc_id")).where("doc_id is not null").distinct()
+
+
+def index_of(spark: SparkSession, sf: str) -> Index:
+    corpus = corpus_of(spark, sf)
+    return Index(passages(corpus), corpus_members(corpus), terms=term_table(glossary_of(spark, sf), corpus))
+
+
+def items_of(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "eval_items").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+
+
+def texts_of(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+def one_language(spark: SparkSession, sf: str, lang: str) -> DataFrame:
+    return language_passages(corpus_of(spark, sf)).where(F.col("lang") == lang).select("doc_id", "text")
+
+
+# --- queries ------------------------------------------------------------------------------------------------
+
+
+def q_tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return texts_of(spark, sf).select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"), F.size(F.array_distinct(tokens(F.col("text")))).alias("n_distinct"))
+
+
+def q_bm25_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25_ranking(passages(corpus_of(spark, sf)), asked_of(spark, sf))
+
+
+def q_bm25_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25_ranking(texts_of(spark, sf), items_of(spark, sf), 10)
+
+
+def q_bm25_section(spark: SparkSession, sf: str) -> DataFrame:
+    docs = passages(corpus_of(spark, sf)).withColumn("section", F.substring("doc_id", 1, 3))
+    return bm25_ranking(docs, asked_of(spark, sf), 10, keep=F.col("section") == "702")
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+
+
+def _query_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _vectors(spark, sf).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+
+
+def q_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_ranking(_vectors(spark, sf), _query_vectors(spark, sf), 10)
+
+
+def q_vector_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_ranking(_vectors(spark, sf).where("label = 3"), _query_vectors(spark, sf), 10)
+
+
+def q_vector_best_of_item(spark: SparkSession, sf: str) -> DataFrame:
+    """Two vectors to an item, as of its two languages: the better one counts."""
+    return vector_ranking(_vectors(spark, sf).withColumn("doc_id", F.expr("doc_id div 2")), _query_vectors(spark, sf), 10)
+
+
+def q_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    asked = asked_of(spark, sf)
+    return rrf([(bm25_ranking(one_language(spark, sf, "en"), asked), 1.0), (bm25_ranking(one_language(spark, sf, "ja"), asked), 1.0)])
+
+
+def q_rrf_weighted_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by vectors (a vector stands for the document of its id) and by words, at different weights."""
+    queries = items_of(spark, sf)
+    vectors = _vectors(spark, sf)
+    asked = vectors.select((F.col("doc_id") + 1000).alias("query_id"), "embedding").join(queries.select("query_id"), "query_id", "left_semi")
+    return rrf([(vector_ranking(vectors, asked), 0.7), (bm25_ranking(texts_of(spark, sf), queries), 1.0)])
+
+
+def q_minmax_fuse(spark: SparkSession, sf: str) -> DataFrame:
+    asked = asked_of(spark, sf)
+    return minmax_fusion([(bm25_ranking(one_language(spark, sf, "en"), asked), 0.5), (bm25_ranking(one_language(spark, sf, "ja"), asked), 0.5)])
+
+
+def q_group_by_parent(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = corpus_of(spark, sf)
+    groups = fold_groups(bm25_ranking(passages(corpus), asked_of(spark, sf)), corpus_members(corpus), 7)
+    return groups.select("query_id", "group_rank", "parent", "score", F.array_join("matched", " ").alias("matched"), F.array_join(F.transform("rules", lambda r: r.doc_id), " ").alias("rules"))
+
+
+def q_direct_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    named = table(spark, sf, "glossary").select(F.explode(F.concat(F.coalesce("rules", F.array().cast("array<string>")), F.coalesce("sections", F.array().cast("array<string>")))).alias("text")).distinct()
+    return direct_lookup(named.select(F.col("text").alias("query_id"), "text").dropna(), corpus_of(spark, sf))
+
+
+def q_number_sort(spark: SparkSession, sf: str) -> DataFrame:
+    by = Window.partitionBy(F.substring("number", 1, 3)).orderBy(sort_key(F.col("number")))
+    return corpus_of(spark, sf).select("number", parent_of(F.col("number")).alias("parent"), F.row_number().over(by).alias("place"))
+
+
+def q_term_table(spark: SparkSession, sf: str) -> DataFrame:
+    return term_table(glossary_of(spark, sf), corpus_of(spark, sf)).select("term", "kind", "lang", "ord", F.array_join("rules", " ").alias("rules"))
+
+
+def q_glossary_match(spark: SparkSession, sf: str) -> DataFrame:
+    terms = term_table(glossary_of(spark, sf), corpus_of(spark, sf))
+    return term_hits(_term_queries(spark, sf), terms)
+
+
+def q_glossary_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    terms = term_table(glossary_of(spark, sf), corpus_of(spark, sf))
+    return glossary_ranking(_term_queries(spark, sf), terms)
+
+
+def _term_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries made of the glossary's own terms: each term in both languages, then its English definition."""
+    g = glossary_of(spark, sf)
+    return g.select(F.col("term_en").alias("query_id"), F.concat_ws(" ", "term_en", F.coalesce("term_ja", F.lit("")), "definition_en").alias("text"))
+
+
+def q_section_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    terms = term_table(glossary_of(spark, sf), corpus_of(spark, sf))
+    return glossary_ranking(_term_queries(spark, sf), terms, "section")
+
+
+def q_secondary_query(spark: SparkSession, sf: str) -> DataFrame:
+    terms = term_table(glossary_of(spark, sf), corpus_of(spark, sf))
+    return secondary_queries(_term_queries(spark, sf), terms)
+
+
+def _newest(spark: SparkSession, sf: str, lang: str) -> DataFrame:
+    last = chosen_deliveries(table(spark, sf, "rules_documents")).where((F.col("language") == lang) & (F.col("seq") == F.col("n_dates"))).select("delivery_id")
+    rows = table(spark, sf, "rule_entries").join(last, "delivery_id", "left_semi")
+    return rows.select("ord", rule_number(F.col("number")).alias("number"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("section", F.lit("")).alias("section"), F.coalesce("category", F.lit("")).alias("category"))
+
+
+def q_bilingual(spark: SparkSession, sf: str) -> DataFrame:
+    return bilingual(_newest(spark, sf, "en"), _newest(spark, sf, "ja").where("number is not null")).drop("ord")
+
+
+def q_coverage_check(spark: SparkSession, sf: str) -> DataFrame:
+    return self_check(_newest(spark, sf, "en"), _newest(spark, sf, "ja"), 100, 0.8)
+
+
+def q_glossary_merge(spark: SparkSession, sf: str) -> DataFrame:
+    g = glossary_of(spark, sf)
+    en = g.where("definition_en != ''").select("ord", "term_en", "definition_en", "rules", F.array().cast("array<string>").alias("sections"))
+    ja = g.where("term_ja is not null").select("ord", F.upper("term_en").alias("term_en"), "term_ja", "definition_ja", F.array().cast("array<string>").alias("rules"), "sections")
+    return merge_glossaries(en, ja).select("term_en", "term_ja", "definition_en", "definition_ja", F.array_join("rules", " ").alias("rules"), F.array_join("sections", " ").alias("sections"))
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The deliveries as rulebooks: section headings and rule lines; what follows a line break is a line of its own."""
+    rows = table(spark, sf, "rule_entries").where("number is not null and text is not null")
+    rules = rows.select(F.col("delivery_id").alias("doc"), (F.col("ord").cast("long") * 1000 + 1).alias("base"), F.split(F.concat_ws(". ", F.trim("number"), "text"), "\n").alias("parts"), "number", "text")
+    rules = rules.groupBy("doc", "base").agg(F.min("parts").alias("parts")).select("doc", "base", F.posexplode("parts").alias("pos", "line")).select("doc", (F.col("base") + F.col("pos")).alias("line_no"), F.trim("line").alias("line"))
+    heads = rows.where("section is not null and category is not null and category != ''").groupBy(F.col("delivery_id").alias("doc"), (F.col("ord").cast("long") * 1000).alias("line_no")).agg(F.min(F.concat_ws(". ", "section", "category")).alias("line"))
+    return rules.unionByName(heads)
+
+
+def q_parse_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_rules(_lines(spark, sf)).select("doc", "number", "text", "section", "category")
+
+
+def q_html_lines(spark: SparkSession, sf: str) -> DataFrame:
+    page = F.concat(F.lit("<html><script>var p = 1;</script><body><h5>"), F.col("number"), F.lit("</h5><p>"), F.col("text_en"), F.lit("</p>lost<ul><li>"), F.col("category"), F.lit("</li></ul></body></html>"))
+    return html_lines(corpus_of(spark, sf).where("text_en is not null and text_en not rlike '[<>&]'").select(F.col("number").alias("doc"), page.alias("html")))
+
+
+def q_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    lines = texts_of(spark, sf).dropna().select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return line_blocks(lines).select(F.col("doc").alias("doc_id"), F.col("block").cast("int").alias("block"), F.size("lines").alias("n_lines"), F.length(F.array_join("lines", " ")).alias("n_chars"))
+
+
+def q_keep_first(spark: SparkSession, sf: str) -> DataFrame:
+    return keep_first(table(spark, sf, "rule_entries").where("number is not null"), ["delivery_id", "number"], [F.col("ord"), F.asc_nulls_first("text")]).select("delivery_id", "number", "ord", "text")
+
+
+def q_keep_last(spark: SparkSession, sf: str) -> DataFrame:
+    return records_of(spark, sf).select("id", "question", "loaded_at")
+
+
+def q_forward_fill(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("last_signup"))
+
+
+def q_nth_occurrence(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    return table(spark, sf, "events").select("event_id", "user_id", "event_type", F.row_number().over(w).alias("n")).where("n = 2").drop("n")
+
+
+def q_lead_segments(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("delivery_id").orderBy("ord", "number", F.asc_nulls_first("text"))
+    return table(spark, sf, "rule_entries").where("number is not null").select("delivery_id", "ord", "number", F.lead("number").over(w).alias("next_number"))
+
+
+def q_rule_refs(spark: SparkSession, sf: str) -> DataFrame:
+    refs = texts_of(spark, sf).select(F.explode(rule_mentions(F.coalesce("text", F.lit("")))).alias("number"), "doc_id")
+    return refs.distinct().groupBy("number").agg(F.count("*").alias("n_documents"))
+
+
+def q_json_projection(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+def q_cards(spark: SparkSession, sf: str) -> DataFrame:
+    named = records_of(spark, sf).select(F.explode("cards").alias("c")).select("c.en", "c.ja").dropna().distinct()
+    face = F.struct(F.lit("A").alias("oracle_text"), F.lit("3").alias("power"))
+    other = F.struct(F.lit("B").alias("oracle_text"), F.lit("5").alias("power"))
+    raw = named.select(F.col("en").alias("key"), F.to_json(F.struct(F.col("en").alias("name"), F.col("ja").alias("printed_name"), F.lit("").alias("oracle_text"), F.array(face, other).alias("card_faces"))).alias("json"))
+    return read_cards(raw).select("key", "status", "name", "printed_name", "oracle_text", "power")
+
+
+def q_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return percentiles(table(spark, sf, "documents"), "source", "n_chars", {"p50": 0.5, "p95": 0.95})
+
+
+def q_nfkc(spark: SparkSession, sf: str) -> DataFrame:
+    return glossary_of(spark, sf).select("term_en", nfkc_lower("term_ja").alias("term"))
+
+
+def q_question_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return question_problems(table(spark, sf, "questions"), corpus_of(spark, sf), CATEGORIES, TOOLS)
+
+
+def _judged(spark: SparkSession, sf: str, ranking: DataFrame, k: int = 10) -> DataFrame:
+    asked = asked_of(spark, sf).select("query_id")
+    return judged_queries(ranking, relevant_of(spark, sf).join(asked, "query_id", "left_semi"), k)
+
+
+def _by_category(spark: SparkSession, sf: str, judged: DataFrame) -> DataFrame:
+    return judged.join(records_of(spark, sf).select(F.col("id").alias("query_id"), "category"), "query_id")
+
+
+def q_recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf, q_bm25_rules(spark, sf))
+
+
+def q_category_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return summary(_by_category(spark, sf, q_recall_mrr(spark, sf)), ["category"])
+
+
+def q_misses(spark: SparkSession, sf: str) -> DataFrame:
+    low = q_recall_mrr(spark, sf).where("recall < 0.5").select("query_id", "recall")
+    wanted = relevant_of(spark, sf).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), " ").alias("expected"))
+    return low.join(wanted, "query_id")
+
+
+def q_score_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall in tenths as the score, overall and by category."""
+    scores = _by_category(spark, sf, q_recall_mrr(spark, sf)).select("category", F.floor(F.col("recall") * 10).cast("int").alias("score"))
+    return score_report(scores, "category")
+
+
+def q_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    asked = asked_of(spark, sf)
+    en, ja = (bm25_ranking(one_language(spark, sf, x), asked) for x in ("en", "ja"))
+    fused = top(minmax_fusion([(en, 0.5), (ja, 0.5)]), 50, [F.desc("score"), F.asc("doc_id")])
+    configs = [("bm25 en", en), ("bm25 ja", ja), ("rrf", rrf([(en, 1.0), (ja, 1.0)])), ("minmax", fused)]
+    return reduce(DataFrame.unionByName, [summary(_judged(spark, sf, r), []).withColumn("config", F.lit(name)) for name, r in configs])
+
+
+def q_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: groups of rules for the questions, by BM25 and glossary."""
+    return _flat(search(index_of(spark, sf), asked_of(spark, sf)))
+
+
+def q_hybrid_reranked(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(search(index_of(spark, sf), asked_of(spark, sf), rerank=True))
+
+
+def _flat(groups: DataFrame) -> DataFrame:
+    return groups.select("query_id", "group_rank", "parent", F.round("score", 6).alias("score"), F.array_join("matched", " ").alias("matched"), F.array_join(F.transform("rules", lambda r: r.doc_id), " ").alias("rules"))
+
+
+def q_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups found by a question or by the terms it contains, with their texts, as given to a generator."""
+    index = index_of(spark, sf)
+    queries = question_queries(asked_of(spark, sf), index.terms)
+    found = multi_query_groups(search(index, queries.select("query_id", "text")), queries)
+    return contexts(found, corpus_of(spark, sf)).select("question_id", "place", "parent", F.to_json("rules").alias("rules"))
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
+
+# --- SQL ----------------------------------------------------------------------------------------------------
+
+
+def _plain(x: str) -> str:
+    return f"lower(translate({x}, '{_WIDE}\u3000', '{_ASCII} '))"
+
+
+def _tok(x: str) -> str:
+    p = _plain(f"coalesce({x}, '')")
+    run = "case when length(c) = 1 then [c] else list_transform(range(1, length(c)), lambda i: substr(c, i::int, 2)) end"
+    return f"list_concat(regexp_extract_all({p}, '{WORDS.replace(chr(39), chr(39) * 2)}'), flatten(list_transform(regexp_extract_all({p}, '{CJK}'), lambda c: {run})))"
+
+
+_PARENT = "regexp_replace({0}, '^([0-9]{{3}}\\.[0-9]+)[a-z]$', '\\1')"
+
+
+def _parent(x: str) -> str:
+    return _PARENT.format(x)
+
+
+def _key(x: str) -> str:
+    return f"cast(substr({x}, 1, 3) as int), coalesce(cast(nullif(regexp_extract({x}, '\\.([0-9]+)', 1), '') as int), 0), regexp_extract({x}, '([a-z])$', 1)"
+
+
+_BASE = f"""
+corp as (select distinct number, text_en, text_ja, section, category from corpus),
+recs as (select * from questions qualify row_number() over (partition by id order by loaded_at desc nulls last, question) = 1),
+asked as (select id as query_id, question as text from recs where cast(regexp_extract(id, '([0-9]+)$', 1) as int) % 20 = 0),
+passages as (select number as doc_id, number || ' ' || coalesce(text_en, '') || case when coalesce(text_ja, '') <> '' then chr(10) || text_ja else '' end as text from corp),
+en as (select number as doc_id, number || ' ' || text_en as text from corp where coalesce(text_en, '') <> ''),
+ja as (select number as doc_id, number || ' ' || text_ja as text from corp where coalesce(text_ja, '') <> ''),
+relevant as (select distinct id as query_id, {_number('m')} as doc_id from (select id, unnest(retrieval_relevant_rules) as m from recs)),
+wanted as (select * from relevant where doc_id is not null and query_id in (select query_id from asked)),
+gloss as (select distinct term_en, term_ja, definition_en, definition_ja, rules, sections from glossary)"""
+
+
+def _bm(p: str, docs: str, queries: str, k: int, keep: str = "true") -> str:
+    return f"""
+{p}_len as (select doc_id, list, len(list) as dl from (select doc_id, {_tok('text')} as list from {docs})),
+{p}_stat as (select count(*) as n, avg(dl) as avgdl from {p}_len),
+{p}_post as (select doc_id, dl, token, count(*) as tf from (select doc_id, dl, unnest(list) as token from {p}_len) group by all),
+{p}_raw as (select token, ln(n - df + 0.5) - ln(df + 0.5) as raw from (select token, count(*) as df from {p}_post group by 1), {p}_stat),
+{p}_idf as (select token, case when raw < 0 then 0.25 * (select avg(raw) from {p}_raw) else raw end as idf from {p}_raw),
+{p}_q as (select query_id, token, count(*) as qtf from (select query_id, unnest({_tok('text')}) as token from {queries}) group by all),
+{p}_score as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+  from {p}_post join {p}_idf using (token) join {p}_q using (token), {p}_stat group by 1, 2),
+{p} as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from {p}_score where score > 0 and {keep} qualify rank <= {k})"""
+
+
+def _vec(where: str = "true", item: str = "vec_id") -> str:
+    return f"""with scored as (select q.vec_id as query_id, {item.replace('vec_id', 'd.vec_id')} as doc_id, list_dot_product(d.embedding::double[], q.embedding::double[]) as s
+  from embeddings d, embeddings q where q.vec_id % 20 = 0 and {where}),
+best as (select query_id, doc_id, round(max(s), 6) as score from scored group by 1, 2)
+select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from best qualify rank <= 10"""
+
+
+def _rrf(name: str, systems: list[tuple[str, float]]) -> str:
+    union = " union all ".join(f"select query_id, doc_id, {i} as system, rank, {w}::double / (60 + rank) as part from {s}" for i, (s, w) in enumerate(systems))
+    return f"""
+{name}_f as (select query_id, doc_id, round(sum(part), 9) as score, min((system, rank)) as first from ({union}) group by 1, 2),
+{name} as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, first, doc_id) as rank from {name}_f)"""
+
+
+def _minmax(name: str, systems: list[tuple[str, float]]) -> str:
+    part = " union all ".join(
+        f"select query_id, doc_id, {w} * (score - min(score) over p) / case when max(score) over p = min(score) over p then 1.0 else max(score) over p - min(score) over p end as part from {s} window p as (partition by query_id)" for s, w in systems
+    )
+    return f"\n{name} as (select query_id, doc_id, round(sum(part), 6) as score from ({part}) group by 1, 2)"
+
+
+def _judge(name: str, ranking: str, k: int = 10) -> str:
+    return f"""
+{name} as (select w.query_id, count(*) as n_relevant, count(r.rank) as found, round(count(r.rank) / count(*), 6) as recall, cast(count(r.rank) > 0 as int) as hit, round(coalesce(1.0 / min(r.rank), 0), 6) as rr
+  from wanted w left join (select * from {ranking} where rank <= {k}) r using (query_id, doc_id) group by 1)"""
+
+
+_SUM = "count(*) as n_queries, round(avg(recall), 6) as recall, round(avg(hit), 6) as hit_rate, round(avg(rr), 6) as mrr"
+
+_GROUPS = f"""
+members as (select number as doc_id, {_parent('number')} as parent from corp),
+hits as (select h.query_id, h.doc_id, h.score, h.rank, m.parent from {{0}} h join members m using (doc_id) where m.parent in (select doc_id from members)),
+folded as (select query_id, parent, min(rank) as first, max(score) as score, string_agg(doc_id, ' ' order by rank) as matched from hits group by 1, 2),
+whole as (select parent, string_agg(doc_id, ' ' order by {_key('doc_id')}, doc_id) as rules from members group by 1),
+groups as (select query_id, row_number() over (partition by query_id order by first) as group_rank, parent, round(score, 6) as score, matched, rules from folded join whole using (parent) qualify group_rank <= 7)"""
+
+_TERMS = f"""
+nums as (select distinct number from corp),
+named as (select term_en as ord, pos, {_number('m')} as number from (select term_en, unnest(rules) as m, generate_subscripts(rules, 1) as pos from gloss)),
+known as (select * from named where number in (select number from nums)),
+explicit as (select ord, list(number order by pos) as rules from (select ord, number, min(pos) as pos from known group by 1, 2) group by 1),
+parents as (select number, substr(number, 1, 3) as section, row_number() over (partition by substr(number, 1, 3) order by {_key('number')}) as place, count(*) over (partition by substr(number, 1, 3)) as size
+  from nums where {_parent('number')} = number and regexp_matches(number, '^[^.]*\\.[0-9]+$')),
+secs as (select ord, section, min(pos) as pos from (select term_en as ord, regexp_extract({_plain('s')}, '([0-9]{{3}})', 1) as section, pos from (select term_en, unnest(sections) as s, generate_subscripts(sections, 1) as pos from gloss)) group by 1, 2),
+section as (select s.ord, list(p.number order by s.pos, p.place, p.number) as rules from secs s join parents p using (section) where place <= 8 and not exists (select 1 from known k where k.ord = s.ord and k.number = p.number) group by 1),
+words as (select term_en as ord, 0 as lang, trim({_plain('term_ja')}) as term from gloss union all select term_en, 1, trim({_plain('term_en')}) from gloss),
+terms as (select term, 'explicit' as kind, ord, lang, rules from words join explicit using (ord) where term <> '' union all select term, 'section', ord, lang, rules from words join section using (ord) where term <> ''),
+tq as (select term_en as query_id, term_en || ' ' || coalesce(term_ja, '') || coalesce(' ' || definition_en, '') as text from gloss)"""
+
+
+def _hits(queries: str) -> str:
+    return f"(select distinct q.query_id, t.term from (select query_id, {_plain('text')} as q from {queries} where text is not null) q join (select distinct term from terms) t on contains(q.q, t.term))"
+
+
+def _gloss_rank(queries: str, kind: str) -> str:
+    return f"""select query_id, doc_id, row_number() over (partition by query_id order by first, doc_id) as rank from (
+  select query_id, doc_id, min((len, ord, lang, pos)) as first from (select h.query_id, -length(t.term) as len, t.ord, t.lang, unnest(t.rules) as doc_id, generate_subscripts(t.rules, 1) as pos
+  from {_hits(queries)} h join terms t using (term) where t.kind = '{kind}') group by 1, 2)"""
+
+
+_NEWEST = f"""with {_SNAPSHOTS},
+top_seq as (select language, max(seq) as seq from chosen group by 1),
+lasts as (select s.*, e.section, e.category from snaps s join top_seq using (language, seq) join (select distinct delivery_id, {_number('number')} as number, ord, text, coalesce(section, '') as section, coalesce(category, '') as category from rule_entries) e
+  on e.ord = s.ord and e.number is not distinct from s.number and e.text is not distinct from s.text and e.delivery_id = (select delivery_id from chosen c where c.language = s.language and c.seq = s.seq))"""
+
+_DOCS = "docs as (select doc_id, text from documents), items as (select item_id as query_id, text from eval_items where item_id % 20 = 0)"
+
+SQL = {
+    "q_tokenize_counts": f"select doc_id, len(list) as n_tokens, len(list_distinct(list)) as n_distinct from (select doc_id, {_tok('text')} as list from documents)",
+    "q_bm25_rules": f"with {_BASE},{_bm('r', 'passages', 'asked', 50)} select * from r",
+    "q_bm25_documents": f"with {_DOCS},{_bm('r', 'docs', 'items', 10)} select * from r",
+    "q_bm25_section": f"with {_BASE},{_bm('r', 'passages', 'asked', 10, chr(39).join(('substr(doc_id, 1, 3) = ', '702', '')))} select * from r",
+    "q_vector_topk": _vec(),
+    "q_vector_filtered": _vec("d.label = 3"),
+    "q_vector_best_of_item": _vec(item="vec_id // 2"),
+    "q_rrf": f"with {_BASE},{_bm('a', 'en', 'asked', 50)},{_bm('b', 'ja', 'asked', 50)},{_rrf('f', [('a', 1.0), ('b', 1.0)])} select * from f",
+    "q_rrf_weighted_vectors": f"""with {_DOCS},{_bm('b', 'docs', 'items', 50)},
+vs as (select q.vec_id + 1000 as query_id, d.vec_id as doc_id, round(list_dot_product(d.embedding::double[], q.embedding::double[]), 6) as score from embeddings d, embeddings q where q.vec_id + 1000 in (select query_id from items)),
+a as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from vs qualify rank <= 50),{_rrf('f', [('a', 0.7), ('b', 1.0)])} select * from f""",
+    "q_minmax_fuse": f"with {_BASE},{_bm('a', 'en', 'asked', 50)},{_bm('b', 'ja', 'asked', 50)},{_minmax('f', [('a', 0.5), ('b', 0.5)])} select * from f",
+    "q_group_by_parent": f"with {_BASE},{_bm('r', 'passages', 'asked', 50)},{_GROUPS.replace('{0}', 'r')} select * from groups",
+    "q_direct_lookup": f"""with {_BASE}, named as (select distinct text from (select unnest(rules) as text from glossary union all select unnest(sections) from glossary) where text is not null),
+pref as (select text as query_id, regexp_extract({_plain('text')}, '^\\s*([0-9]{{3}}(?:\\.[0-9]+[a-z]?)?)\\.?\\s*$', 1) as prefix from named),
+hit as (select distinct query_id, number, prefix from pref, (select distinct number from corp) where prefix <> '' and (number = prefix or substr(number, 1, 3) = prefix or {_parent('number')} = prefix))
+select query_id, number as doc_id, 1.0::double as score, row_number() over (partition by query_id order by number <> prefix, {_key('number')}) as rank from hit""",
+    "q_number_sort": f"with {_BASE} select number, {_parent('number')} as parent, row_number() over (partition by substr(number, 1, 3) order by {_key('number')}) as place from corp",
+    "q_term_table": f"with {_BASE},{_TERMS} select term, kind, lang, ord, array_to_string(rules, ' ') as rules from terms",
+    "q_glossary_match": f"with {_BASE},{_TERMS} select * from {_hits('tq')}",
+    "q_glossary_ranking": f"with {_BASE},{_TERMS} {_gloss_rank('tq', 'explicit')}",
+    "q_section_expansion": f"with {_BASE},{_TERMS} {_gloss_rank('tq', 'section')}",
+    "q_secondary_query": f"""with {_BASE},{_TERMS}, ordered as (select h.query_id, h.term, row_number() over (partition by h.query_id order by -length(h.term), o.first, h.term) as n
+  from {_hits('tq')} h join (select term, min((ord, lang)) as first from terms group by 1) o using (term)) select query_id, string_agg(term, ' ' order by n) as text from ordered where n <= 4 group by 1""",
+    "q_bilingual": f"""{_NEWEST}, e as (select * from lasts where language = 'en' qualify row_number() over (partition by number order by ord, text) = 1),
+j as (select number, text as text_ja from lasts where language = 'ja' and number is not null qualify row_number() over (partition by number order by ord desc, text desc) = 1)
+select e.number, e.text as text_en, e.section, e.category, j.text_ja from e left join j using (number)""",
+    "q_coverage_check": f"""{_NEWEST}, e as (select distinct number from lasts where language = 'en' and number is not null), j as (select distinct number from lasts where language = 'ja' and number is not null),
+n as (select (select count(*) from e) as n_en, (select count(*) from j) as n_ja, (select count(*) from e join j using (number)) as n_both) select n_en, n_ja, round(n_both / n_ja, 6) as coverage, least(n_en, n_ja) >= 100 and n_both / n_ja >= 0.8 as passed from n""",
+    "q_glossary_merge": f"""with {_BASE}, e as (select * from gloss where definition_en <> ''), j as (select * from gloss where term_ja is not null)
+select coalesce(e.term_en, upper(j.term_en)) as term_en, j.term_ja, coalesce(e.definition_en, '') as definition_en, j.definition_ja,
+  coalesce((select string_agg(x, ' ' order by i) from (select x, min(i) as i from (select unnest(e.rules) as x, generate_subscripts(e.rules, 1) as i) group by 1)), '') as rules,
+  coalesce((select string_agg(x, ' ' order by i) from (select x, min(i) as i from (select unnest(j.sections) as x, generate_subscripts(j.sections, 1) as i) group by 1)), '') as sections
+from e full join j on lower(e.term_en) = lower(j.term_en)""",
+    "q_parse_rules": """with rows as (select * from rule_entries where number is not null and text is not null),
+firsts as (select delivery_id as doc, ord::bigint * 1000 + 1 as base, min(string_split(trim(number, ' ') || '. ' || text, chr(10))) as parts from rows group by 1, 2),
+lines as (select doc, base + generate_subscripts(parts, 1) - 1 as line_no, trim(unnest(parts), ' ') as line from firsts
+  union all select delivery_id, ord::bigint * 1000, min(section || '. ' || category) from rows where section is not null and category <> '' group by 1, 2),
+marked as (select *, regexp_matches(line, '^[0-9]{3}\\.[0-9]+[a-z]?\\.?\\s+.+$') as is_rule from lines),
+filled as (select *, last_value(case when not is_rule and regexp_matches(line, '^[0-9]{3}\\.\\s+.+$') then regexp_extract(line, '^[0-9]{3}\\.\\s+(.+)$', 1) end ignore nulls) over (partition by doc order by line_no rows unbounded preceding) as category from marked)
+select doc, number, text, section, coalesce(category, '') as category from (
+  select doc, line_no, category, regexp_extract(line, '^([0-9]{3}\\.[0-9]+[a-z]?)', 1) as number, regexp_extract(line, '^[0-9]{3}\\.[0-9]+[a-z]?\\.?\\s+(.+)$', 1) as text, substr(line, 1, 3) as section from filled where is_rule)
+qualify row_number() over (partition by doc, number order by line_no) = 1""",
+    "q_html_lines": f"""with {_BASE}, pages as (select number as doc, number, regexp_replace(text_en, '{_SPACES}+', ' ', 'g') as body, regexp_replace(coalesce(category, ''), '{_SPACES}+', ' ', 'g') as category from corp where text_en is not null and category is not null and not regexp_matches(text_en, '[<>&]'))
+select doc, 1::int as line_no, number as line from pages union all select doc, 2, trim(body, ' ') from pages where trim(body, ' ') <> '' union all select doc, case when trim(body, ' ') = '' then 2 else 3 end, trim(category, ' ') from pages where trim(category, ' ') <> ''""",
+    "q_question_problems": f"""with {_BASE},
+q as (select distinct id, category, question, coalesce(expected_tools, []) as tools, expected_answer.conclusion as conclusion,
+  list_filter(list_transform(coalesce(retrieval_relevant_rules, []), lambda m: {_number('m')}), lambda n: n is not null) as relevant,
+  list_filter(list_transform(coalesce(expected_answer.rules_cited, []), lambda m: {_number('m')}), lambda n: n is not null) as cited,
+  list_filter(list_transform(coalesce(evaluation_criteria.must_cite_rules, []), lambda m: {_number('m')}), lambda n: n is not null) as must from questions),
+off as (select id, list_distinct(list_filter(tools, lambda t: t is null or t not in ({', '.join(f"'{t}'" for t in TOOLS)}))) as tools, list_distinct(list_filter(cited, lambda n: not list_contains(relevant, n))) as cited, list_distinct(list_filter(must, lambda n: not list_contains(cited, n))) as must from q)
+select id, 'incomplete' as problem, '' as detail from q where coalesce(question, '') = '' or coalesce(conclusion, '') = '' or len(cited) = 0 or len(relevant) = 0 or len(must) = 0
+union all select id, 'duplicate id', count(*)::varchar from q group by 1 having count(*) > 1
+union all select min(id), 'duplicate question', count(distinct id)::varchar from q where question is not null group by question having count(distinct id) > 1
+union all select id, 'category', coalesce(category, '') from q where coalesce(category, '') not in ({', '.join(f"'{c}'" for c in CATEGORIES)})
+union all select id, 'tools', array_to_string(list_sort(tools), ' ') from off where len(tools) > 0
+union all select id, 'cited not relevant', array_to_string(list_sort(cited), ' ') from off where len(cited) > 0
+union all select id, 'required not cited', array_to_string(list_sort(must), ' ') from off where len(must) > 0
+union all select id, 'unknown rule', n from (select id, unnest(list_distinct(list_concat(cited, relevant))) as n from q) where n not in (select number from corp)""",
+    "q_blocks": """with lines as (select doc_id, generate_subscripts(p, 1) as line_no, unnest(p) as line from (select doc_id, string_split(text, chr(10)) as p from documents where text is not null)),
+b as (select *, cast(count(*) filter (line = '') over (partition by doc_id order by line_no rows unbounded preceding) as int) as block from lines)
+select doc_id, block, cast(count(*) as int) as n_lines, cast(sum(length(line)) + count(*) - 1 as int) as n_chars from b where line <> '' group by 1, 2""",
+    "q_keep_first": "select delivery_id, number, ord, text from rule_entries where number is not null qualify row_number() over (partition by delivery_id, number order by ord, text nulls first) = 1",
+    "q_keep_last": f"with {_BASE} select id, question, loaded_at from recs",
+    "q_forward_fill": "select event_id, user_id, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as last_signup from events",
+    "q_nth_occurrence": "select event_id, user_id, event_type from events qualify row_number() over (partition by user_id, event_type order by event_id) = 2",
+    "q_lead_segments": "select delivery_id, ord, number, lead(number) over (partition by delivery_id order by ord, number, text nulls first) as next_number from rule_entries where number is not null",
+    "q_rule_refs": f"""select number, count(distinct doc_id) as n_documents from (select doc_id, unnest(regexp_extract_all(regexp_replace({_plain("coalesce(text, '')")}, '([0-9]{{3}}\\.[0-9]+[a-z]?)', ' \\1 ', 'g'), '(?:^|[^0-9.])\\s([0-9]{{3}}\\.[0-9]+[a-z]?)\\s(?:[^a-z0-9]|$)', 1)) as number from documents) group by 1""",
+    "q_json_projection": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
+    "q_cards": f"with {_BASE} select distinct c.en as key, 'ok' as status, c.en as name, c.ja as printed_name, 'A' || chr(10) || '//' || chr(10) || 'B' as oracle_text, '3' as power from (select unnest(cards) as c from recs) where c.en is not null and c.ja is not null",
+    "q_percentiles": "select source, list_sort(list(n_chars))[least(floor(count(n_chars) * 0.5), count(n_chars) - 1)::int + 1] as p50, list_sort(list(n_chars))[least(floor(count(n_chars) * 0.95), count(n_chars) - 1)::int + 1] as p95 from documents where n_chars is not null group by 1",
+    "q_recall_mrr": f"with {_BASE},{_bm('r', 'passages', 'asked', 50)},{_judge('j', 'r')} select * from j",
+    "q_category_recall": f"with {_BASE},{_bm('r', 'passages', 'asked', 50)},{_judge('j', 'r')} select category, {_SUM} from j join recs on recs.id = j.query_id group by 1",
+    "q_misses": f"with {_BASE},{_bm('r', 'passages', 'asked', 50)},{_judge('j', 'r')} select j.query_id, j.recall, string_agg(w.doc_id, ' ' order by w.doc_id) as expected from j join wanted w using (query_id) where recall < 0.5 group by 1, 2",
+    "q_score_report": f"""with {_BASE},{_bm('r', 'passages', 'asked', 50)},{_judge('j', 'r')}, s as (select category, cast(floor(recall * 10) as int) as score from j join recs on recs.id = j.query_id)
+select category, grouping(category) as is_total, count(score) as n, count(*) filter (score >= 7) as passed, round(avg(cast(score >= 7 as double)), 6) as pass_rate, round(avg(score), 6) as mean, median(score) as median from s group by rollup (category)""",
+    "q_ablation": f"""with {_BASE},{_bm('a', 'en', 'asked', 50)},{_bm('b', 'ja', 'asked', 50)},{_rrf('f', [('a', 1.0), ('b', 1.0)])},{_minmax('m0', [('a', 0.5), ('b', 0.5)])},
+m as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from m0 qualify rank <= 50),{_judge('ja1', 'a')},{_judge('jb', 'b')},{_judge('jf', 'f')},{_judge('jm', 'm')}
+select 'bm25 en' as config, {_SUM} from ja1 union all select 'bm25 ja', {_SUM} from jb union all select 'rrf', {_SUM} from jf union all select 'minmax', {_SUM} from jm""",
+    "q_hybrid": f"with {_BASE},{_TERMS},{_bm('r', 'passages', 'asked', 50)}, g as ({_gloss_rank('asked', 'explicit')}),{_rrf('f', [('r', 1.0), ('g', 1.0)])},{_GROUPS.replace('{0}', 'f')} select * from groups",
+}
