@@ -24,7 +24,9 @@ KINDS = ("abusive", "hateful", "sexual")
 #: Labelled documents the model is fitted on at most, with a kind and without each: those with the lowest hash of the id.
 MAX_LABELS = 2_500
 #: Terms whose buckets a task keeps in mind.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Sentences scored at once; their terms' vectors are what a task holds.
+TOGETHER = 1_000
 #: Buckets terms are hashed to, and length of their interaction vectors.
 BUCKETS, FACTORS = 1 << 20, 6
 #: A document is of a kind if one of its sentences scores this much.
@@ -136,8 +138,8 @@ class Machine:
         """Probability per sentence and kind."""
         if not sentences:
             return np.zeros((0, len(KINDS)))
-        z, _, _ = self.raw(*self.encode(sentences))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        parts = [self.raw(*self.encode(sentences[i : i + TOGETHER]))[0] for i in range(0, len(sentences), TOGETHER)]
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(parts), -30, 30)))
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -275,14 +277,18 @@ def scored(documents: DataFrame, labels: DataFrame, machine: Machine | None = No
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            split = [plain_sentences(t) for t in texts]
-            flat = machine.scores([s for x in split for s in x])
-            best = np.zeros((len(split), len(KINDS)))
-            at = 0
-            for i, x in enumerate(split):
-                if x:
-                    best[i] = flat[at : at + len(x)].max(0)
-                    at += len(x)
+            best = np.zeros((len(texts), len(KINDS)))
+            held: list[str] = []
+            owner: list[int] = []
+            for i, text in enumerate(texts):
+                own = plain_sentences(text)
+                held += own
+                owner += [i] * len(own)
+                if len(held) >= TOGETHER:
+                    np.maximum.at(best, owner, machine.scores(held))
+                    held, owner = [], []
+            if held:
+                np.maximum.at(best, owner, machine.scores(held))
             yield pd.DataFrame(np.round(best, 6), columns=list(KINDS))
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
