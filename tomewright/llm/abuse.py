@@ -225,7 +225,7 @@ def fit(labelled: list[tuple[str | None, frozenset[str]]]) -> Machine:
                 own = np.array(units[d])
                 lead = score[own, i] - 0.5 * np.delete(score[own], i, 1).max(1)
                 best = int(own[lead.argmax()])
-                if score[best, i] >= (0.2 if turn else 0.4):
+                if score[best, i] >= (0.2 if turn else 0.5):
                     votes[best, i] += 1
         votes[votes.sum(1) <= unlabelled] = 0
         kind = np.where(votes.max(1) > 0, (votes + 0.1 * score * (score > 0)).argmax(1), -1)
