@@ -181,10 +181,10 @@ def test_leaks(spark, rows):
 
 def test_long_text_windows_agree():
     plain = "".join(random.Random(1).choices("abcdef", k=90_000))
-    starts, prints = leakage.fingerprints(plain, 40, 21)
-    assert len(starts) == len(range(0, 90_000 - 39, 21))
+    (starts, prints), (dense, _) = leakage.fingerprints(plain, [(40, 21), (20, 1)])
+    assert len(starts) == len(range(0, 90_000 - 39, 21)) and len(dense) == 90_000 - 19
     for i in (0, 1500, 1600, len(starts) - 1):
-        assert leakage.fingerprints(plain[starts[i] : starts[i] + 40], 40, 1)[1][0] == prints[i]
+        assert leakage.fingerprints(plain[starts[i] : starts[i] + 40], [(40, 1)])[0][1][0] == prints[i]
 
 
 # --- 8 ---

@@ -45,31 +45,33 @@ def window_of(passage: int) -> tuple[int, int]:
     return width, passage - width + 1
 
 
-def fingerprints(plain: str, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and SimHash fingerprints of the windows of ``plain``: for each bit the majority over its shingles, by weight."""
+def fingerprints(plain: str, shapes: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each (width, step) the starts and SimHash fingerprints of the windows of ``plain``: for each bit the majority over a window's shingles, by weight."""
     codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = len(codes) - width + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
+    places = [np.arange(0, max(0, len(codes) - width + 1), step) for width, step in shapes]
+    prints = [np.empty(len(p), np.uint64) for p in places]
+    if not any(map(len, places)):
+        return list(zip(places, prints, strict=True))
+    n = len(codes) - SHINGLE + 1
+    h = np.zeros(n, dtype=np.uint64)
     for i in range(SHINGLE):
-        h = h * np.uint64(0x100000001B3) + codes[i : len(codes) - SHINGLE + 1 + i]
+        h = h * np.uint64(0x100000001B3) + codes[i : n + i]
     for shift, mix in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(mix)
     h ^= h >> np.uint64(33)
-    inside = width - SHINGLE + 1
-    starts = np.arange(0, n, step)
-    prints = np.empty(len(starts), np.uint64)
-    per = max(1, _CHUNK // step)
-    for i in range(0, len(starts), per):  # in stretches, as a long text would need 256 bytes a letter at once
-        some = starts[i : i + per]
-        bits = np.unpackbits(h[some[0] : some[-1] + inside].view(np.uint8).reshape(-1, 8), axis=1)
-        total = np.zeros((len(bits) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, out=total[1:])
-        at = some - some[0]
-        majority = (total[at + inside] - total[at]) * 2 > inside
-        prints[i : i + per] = np.packbits(majority, axis=1).view(np.uint64).ravel()
-    return starts, prints
+    reach = max(width for width, _ in shapes)
+    for at in range(0, n, _CHUNK):  # in stretches, as the counts of a long text would need 128 bytes a letter at once
+        bits = np.unpackbits(h[at : at + _CHUNK + reach].view(np.uint8).reshape(-1, 8), axis=1)
+        total = np.zeros((len(bits) + 1, 64), np.uint16)  # counts wrap around, but their differences within a window do not
+        np.cumsum(bits, axis=0, dtype=np.uint16, out=total[1:])
+        for (width, _), place, out in zip(shapes, places, prints, strict=True):
+            inside = width - SHINGLE + 1
+            here = slice(*np.searchsorted(place, (at, at + _CHUNK)))
+            first = place[here] - at
+            if len(first):
+                majority = (total[first + inside] - total[first]) * 2 > inside
+                out[here] = np.packbits(majority, axis=1).view(np.uint64).ravel()
+    return list(zip(places, prints, strict=True))
 
 
 def _block_keys(prints: np.ndarray) -> list[np.ndarray]:
@@ -87,9 +89,9 @@ def _windows(rows: DataFrame, passages: list[int], dense: bool, passing: dict[in
         for batch in batches:
             parts: list[tuple[int, int, np.ndarray, np.ndarray]] = []
             for key, own, plain in batch.itertuples(index=False):
-                for passage in [own] if own else passages:
-                    width, step = window_of(passage)
-                    starts, prints = fingerprints(plain, width, 1 if dense else step)
+                wanted = [own] if own else passages
+                shapes = [(width, 1 if dense else step) for width, step in map(window_of, wanted)]
+                for passage, (starts, prints) in zip(wanted, fingerprints(plain, shapes), strict=True):
                     if passing is not None and len(starts):
                         keep = np.logical_or.reduce([seen[k] for seen, k in zip(passing[passage], _block_keys(prints), strict=True)])
                         starts, prints = starts[keep], prints[keep]
@@ -179,13 +181,14 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
         for row in wanted.select("passage", _blocks()).distinct().toLocalIterator():
             passing[row["passage"]][row["block"]][row["value"]] = True
 
-    plain_docs = spread(documents.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.lit(0).alias("passage"), letters_udf("text").alias("plain")).where("plain != '' and id is not null")
-    held = _windows(plain_docs, passages, dense=False, passing=passing).select("id", "passage", "start", "print", _blocks())
+    stored = documents.select(F.col("doc_id").alias("id"), "text").dropna()
+    plain = lambda df: df.select("id", F.lit(0).alias("passage"), letters_udf("text").alias("plain")).where("plain != ''")
+    held = _windows(plain(spread(stored)), passages, dense=False, passing=passing).select("id", "passage", "start", "print", _blocks())
     sought = wanted.select(F.col("id").alias("item_id"), "passage", F.col("start").alias("to"), F.col("print").alias("item_print"), _blocks())
     met = held.join(sought, ["passage", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     aligned = met.groupBy("id", "item_id", "passage").agg(F.collect_set(F.struct("start", "to")).alias("starts"))
     aligned = checkpointed(aligned)
-    texts = plain_docs.select("id", "plain").join(aligned.select("id").distinct(), "id", "left_semi").distinct()
+    texts = plain(stored.join(aligned.select("id").distinct(), "id", "left_semi")).select("id", "plain").distinct()
     item_texts = plain_items.select(F.col("id").alias("item_id"), "passage", F.col("plain").alias("item_plain"))
     checked = aligned.join(texts, "id").join(item_texts, ["item_id", "passage"]).select("id", "item_id", "passage", run_udf("plain", "item_plain", "passage", "starts").alias("run"))
     return checked.where("run >= passage").groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("run").alias("run"))
