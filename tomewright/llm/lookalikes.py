@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,6 +43,7 @@ _TO_PROTOTYPE = str.maketrans(_PROTOTYPE)
 JAPANESE = frozenset({"Hani", "Hira", "Kana"})
 
 
+@lru_cache(1 << 15)
 def scripts_of(ch: str) -> frozenset[str] | None:
     """The scripts that ``ch`` can be read in, resolved: Han, hiragana and katakana each stand for Japanese too; None where any."""
     o = ord(ch)
@@ -128,6 +130,12 @@ def _as_script(ch: str, script: str) -> str:
     return next((c for c in _OF_PROTOTYPE.get(_PROTOTYPE.get(ch, ch), [ch]) if script in (scripts_of(c) or ())), ch)
 
 
+@lru_cache(1 << 15)
+def _known_token(token: str) -> str:
+    return spell_token(token)
+
+
+@lru_cache(32)
 def consistent(text: str | None) -> str | None:
     """``text`` in its one consistent form; null stays null.
 
@@ -138,7 +146,7 @@ def consistent(text: str | None) -> str | None:
         return None
     if not text.isascii():
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFD", _HIDDEN.sub("", text)))
-        text = _TOKEN.sub(lambda m: m[0] if m[0].isascii() else spell_token(m[0]), text)
+        text = _TOKEN.sub(lambda m: m[0] if m[0].isascii() else _known_token(m[0]) if len(m[0]) <= 64 else spell_token(m[0]), text)
     return _SPACE.sub(" ", text).strip()
 
 
