@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,8 @@ SIMILARITY = 0.8
 #: Item windows up to which their blocks are sent to the tasks as a filter; more only leave the filter out.
 FILTER_WINDOWS = 1 << 21
 _CHUNK = 1 << 15
-_DROP = {ord(c): None for c in INVISIBLE}
+_DROP = re.compile(f"[{INVISIBLE}]+")
+_OTHER = re.compile(r"[\W_]+")
 
 
 def letters(text: str | None) -> str:
@@ -35,8 +37,8 @@ def letters(text: str | None) -> str:
     if not text:
         return ""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_DROP))
-    return "".join(filter(str.isalnum, text.lower()))
+        text = unicodedata.normalize("NFKC", _DROP.sub("", text))
+    return _OTHER.sub("", text.lower())
 
 
 def window_of(passage: int) -> tuple[int, int]:
