@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tomewright.operators import cards, evaluation, glossary, ingest, lookup, ranking, validation
+from tomewright.operators import cards, evaluation, glossary, ingest, lookup, ordered, ranking, validation
 from tomewright.plans import search
 from tomewright.sources import records
 
@@ -113,11 +113,26 @@ def test_metrics(spark, rows):
     assert rows(evaluation.summary(judged, [])) == [(2, 0.25, 0.5, 0.25)]
     v = spark.createDataFrame([("g", i) for i in range(1, 21)] + [("h", None)], "g string, v int")
     assert rows(evaluation.percentiles(v, "g", "v", {"p50": 0.5, "p95": 0.95})) == [("g", 11, 20)]
-    assert v.where("g = 'g'").agg(evaluation.nearest_rank(F.col("v"), 0.95)).first()[0] == 20
     s = spark.createDataFrame([("a", 7), ("a", 6), ("b", 10)], "c string, score int")
     assert sorted(evaluation.score_report(s, "c").where("is_total = 1").first()[2:]) == sorted((3, 2, round(2 / 3, 6), round(23 / 3, 6), 7.0))
 
 
+def test_ordered(spark):
+    df = spark.createDataFrame([(k, i, v) for k in ("a", None) for i, v in enumerate([None, 1, None, None, 2, None, None, None, 3])], "k string, i int, v int")
+    for stretch in (1, 2, 3, 100):
+        got = {(r["k"], r["i"]): (r["f"], r["n"]) for r in ordered.next_value(ordered.forward_fill(df, "k", "i", "v", "f", stretch), "k", "i", "v", "n", stretch).collect()}
+        for k in ("a", None):
+            assert [got[k, i][0] for i in range(9)] == [None, 1, 1, 1, 2, 2, 2, 2, 3] and [got[k, i][1] for i in range(9)] == [1, None, None, 2, None, None, None, 3, None]
+
+
+def test_vector_blocks(spark, rows, monkeypatch):
+    v = spark.createDataFrame([(i, [float((i * 7) % 11), float(i % 5)]) for i in range(40)], "doc_id int, embedding array<float>")
+    q = v.select(F.col("doc_id").alias("query_id"), "embedding")
+    whole = rows(ranking.vector_ranking(v, q, 3))
+    monkeypatch.setattr(ranking, "BLOCK", 7)
+    assert rows(ranking.vector_ranking(v, q, 3)) == whole and len(whole) == 120
+
+
 def test_validation(spark):
     schema = "id string, category string, question string, expected_tools array<string>, expected_answer struct<conclusion:string,rules_cited:array<string>>, retrieval_relevant_rules array<string>, evaluation_criteria struct<must_cite_rules:array<string>>"
     data = [

@@ -10,7 +10,7 @@ from ..functions.text import narrow, rule_number
 from ..functions.tokens import normalized
 
 SECTION_HEAD = 8
-#: Characters of a term and query that are matched by equality before the whole term is looked for.
+#: Characters of a term that are matched by equality before the whole term is looked for.
 GRAM = 4
 
 
@@ -44,16 +44,14 @@ def term_table(glossary: DataFrame, known: DataFrame, head: int = SECTION_HEAD)
 def term_hits(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id and term where the normalised query contains the term, as plain text and not as a token.
 
-    A term of four characters or more is met by its first four among those of the query, an equi-join, and then
-    looked for; only shorter ones are held against every query, and there are few: their number is bounded by
-    the strings of so many characters that the glossary uses.
+    Terms are met by their first characters, up to four, among the stretches of as many characters of the query:
+    an equi-join, after which longer terms are looked for whole.
     """
     asked = queries.select("query_id", normalized(F.col("text")).alias("q")).where("q != ''")
-    listed = terms.select("term").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("q") - GRAM + 1, F.lit(1))), lambda i: F.substring("q", i, GRAM)))
-    long = asked.select("query_id", "q", F.explode(grams).alias("gram")).join(listed.where(F.length("term") >= GRAM).withColumn("gram", F.substring("term", 1, GRAM)), "gram")
-    short = asked.join(listed.where(F.length("term") < GRAM), F.contains("q", F.col("term")))
-    return long.where(F.contains("q", F.col("term"))).select("query_id", "term").unionByName(short.select("query_id", "term")).distinct()
+    listed = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, GRAM))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("q")), lambda i: F.array(*(F.substring("q", i, F.lit(n)) for n in range(1, GRAM + 1))))))
+    met = asked.select("query_id", "q", F.explode(grams).alias("gram")).join(listed, "gram")
+    return met.where(F.contains("q", F.col("term"))).select("query_id", "term").distinct()
 
 
 def glossary_ranking(queries: DataFrame, terms: DataFrame, kind: str = "explicit") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_CLASS
+from .ordered import forward_fill
 
 RULE = r"^(\d{3})\.(\d+[a-z]?)\.?\s+(.+)$"
 HEADING = r"^(\d{3})\.\s+(.+)$"
@@ -42,13 +43,14 @@ def parse_rules(lines: DataFrame) -> DataFrame:
     Reading stops at the first glossary title after a rule, so the one in the table of contents is harmless.
     Lines that are neither rule nor heading are dropped. The first of rules with a number counts.
     """
-    by_line = Window.partitionBy("doc").orderBy("line_no")
     got = lambda pattern, i: F.regexp_extract("line", pattern, i)
-    marked = lines.withColumn("is_rule", F.col("line").rlike(RULE)).withColumn("heading", F.when(~F.col("line").rlike(RULE) & F.col("line").rlike(HEADING), got(HEADING, 2)))
-    marked = marked.withColumn("rules_before", F.count_if("is_rule").over(by_line.rowsBetween(Window.unboundedPreceding, -1)))
-    stop = F.min(F.when(F.col("line").isin(*GLOSSARY) & (F.col("rules_before") > 0), F.col("line_no"))).over(Window.partitionBy("doc"))
-    filled = marked.withColumn("category", F.coalesce(F.last("heading", ignorenulls=True).over(by_line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(""))).withColumn("stop", stop)
-    rules = filled.where("is_rule and (stop is null or line_no < stop)").select("doc", "line_no", F.concat_ws(".", got(RULE, 1), got(RULE, 2)).alias("number"), got(RULE, 3).alias("text"), got(RULE, 1).alias("section"), "category")
+    marked = lines.select("doc", "line_no", "line", F.col("line").rlike(RULE).alias("is_rule")).withColumn("heading", F.when(~F.col("is_rule") & F.col("line").rlike(HEADING), got(HEADING, 2)))
+    first = marked.where("is_rule").groupBy("doc").agg(F.min("line_no").alias("first"))
+    titles = marked.where(F.col("line").isin(*GLOSSARY)).select("doc", "line_no").join(first, "doc").where("line_no > first")
+    stops = titles.groupBy("doc").agg(F.min("line_no").alias("stop"))
+    read = marked.where("is_rule or heading is not null").join(stops, "doc", "left").where("stop is null or line_no < stop")
+    filled = forward_fill(read, "doc", "line_no", "heading", "category")
+    rules = filled.where("is_rule").select("doc", "line_no", F.concat_ws(".", got(RULE, 1), got(RULE, 2)).alias("number"), got(RULE, 3).alias("text"), got(RULE, 1).alias("section"), F.coalesce("category", F.lit("")).alias("category"))
     return keep_first(rules, ["doc", "number"], [F.col("line_no")])
 
 
@@ -63,11 +65,9 @@ def glossary_blocks(lines: DataFrame) -> DataFrame:
     It lies between the second glossary title and the second credits title; with fewer of either there is none.
     Blocks of one line are dropped.
     """
-    per = Window.partitionBy("doc")
-    nth = lambda titles: F.when(F.col("line").isin(*titles), F.count_if(F.col("line").isin(*titles)).over(per.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
-    counted = lines.withColumn("g", nth(GLOSSARY)).withColumn("c", nth(CREDITS))
-    bounded = counted.withColumn("start", F.min(F.when(F.col("g") == 2, F.col("line_no"))).over(per)).withColumn("end", F.min(F.when(F.col("c") == 2, F.col("line_no"))).over(per))
-    body = bounded.where("line_no > start and line_no < end")
+    nth = lambda titles: lines.where(F.col("line").isin(*titles)).withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("line_no"))).where("n = 2")
+    bounds = nth(GLOSSARY).select("doc", F.col("line_no").alias("start")).join(nth(CREDITS).select("doc", F.col("line_no").alias("end")), "doc")
+    body = lines.join(bounds, "doc").where("line_no > start and line_no < end").select("doc", "line_no", "line")
     return line_blocks(body).where("size(lines) > 1").select("doc", F.col("block").alias("ord"), F.element_at("lines", 1).alias("term"), F.array_join(F.slice("lines", 2, 1_000_000), " ").alias("definition"))
 
 

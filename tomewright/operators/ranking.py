@@ -12,6 +12,8 @@ from ..functions.tokens import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 POOL, RRF_K, DIGITS = 50, 60, 6
+#: Query vectors that a task holds at once.
+BLOCK = 1024
 
 
 def top(scored: DataFrame, k: int, by: list[Column], key: str = "query_id") -> DataFrame:
@@ -65,10 +67,20 @@ def vector_ranking(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> Dat
     """The k nearest items per query by inner product of unit vectors, exactly.
 
     vectors has doc_id and embedding, with as many rows to an item as it has languages: its best one counts.
-    queries has query_id and embedding, is a stated set (a few hundred at most are sent to every task) and meets
-    all vectors in one pass; a filter on ``vectors`` is applied before the cut.
+    queries has query_id and embedding, a stated set. Up to BLOCK of them are sent to every task; more meet the
+    vectors in blocks, by a join on (block of queries, share of the vectors), so no task holds more than a block
+    at once. A filter on ``vectors`` is applied before the cut.
     """
-    scored = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))).select("query_id", "doc_id", dot(F.col("embedding"), F.col("q")).alias("s"))
+    asked = queries.select("query_id", F.col("embedding").alias("q"))
+    blocks = -(-asked.count() // BLOCK)
+    if blocks <= 1:
+        met = vectors.crossJoin(F.broadcast(asked))
+    else:
+        shares = vectors.sparkSession.sparkContext.defaultParallelism
+        left = vectors.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(shares))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+        met = left.join(right, ["block", "share"])
+    scored = met.select("query_id", "doc_id", dot(F.col("embedding"), F.col("q")).alias("s"))
     best = scored.groupBy("query_id", "doc_id").agg(F.round(F.max("s"), DIGITS).alias("score"))
     return top(best, k, [F.desc("score"), F.asc("doc_id")])
 

@@ -18,6 +18,7 @@ from .operators.evaluation import judged_queries, percentiles, score_report, sum
 from .operators.glossary import glossary_ranking, secondary_queries, term_hits, term_table
 from .operators.ingest import bilingual, html_lines, keep_first, line_blocks, merge_glossaries, parse_rules, self_check
 from .operators.lookup import direct_lookup
+from .operators.ordered import forward_fill, next_value
 from .operators.ranking import bm25, bm25_ranking, fold_groups, minmax_fusion, rrf, top, vector_ranking
 from .operators.snapshots import chosen_deliveries
 from .operators.validation import question_problems
@@ -229,8 +230,8 @@ def q_keep_last(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_forward_fill(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("last_signup"))
+    events = table(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_type") == "signup", F.col("event_id")).alias("signup"))
+    return forward_fill(events, "user_id", "event_id", "signup", "last_signup").drop("signup")
 
 
 def q_nth_occurrence(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,8 +240,9 @@ def q_nth_occurrence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_lead_segments(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("delivery_id").orderBy("ord", "number", F.asc_nulls_first("text"))
-    return table(spark, sf, "rule_entries").where("number is not null").select("delivery_id", "ord", "number", F.lead("number").over(w).alias("next_number"))
+    """The number of the next place in each delivery; of rows at one place the least number counts."""
+    places = table(spark, sf, "rule_entries").where("number is not null").groupBy("delivery_id", "ord").agg(F.min("number").alias("number"))
+    return next_value(places, "delivery_id", "ord", "number", "next_number")
 
 
 def q_rule_refs(spark: SparkSession, sf: str) -> DataFrame:
@@ -515,7 +517,7 @@ select doc_id, block, cast(count(*) as int) as n_lines, cast(sum(length(line)) +
     "q_keep_last": f"with {_BASE} select id, question, loaded_at from recs",
     "q_forward_fill": "select event_id, user_id, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as last_signup from events",
     "q_nth_occurrence": "select event_id, user_id, event_type from events qualify row_number() over (partition by user_id, event_type order by event_id) = 2",
-    "q_lead_segments": "select delivery_id, ord, number, lead(number) over (partition by delivery_id order by ord, number, text nulls first) as next_number from rule_entries where number is not null",
+    "q_lead_segments": "select delivery_id, ord, min(number) as number, lead(min(number)) over (partition by delivery_id order by ord) as next_number from rule_entries where number is not null group by 1, 2",
     "q_rule_refs": f"""select number, count(distinct doc_id) as n_documents from (select doc_id, unnest(regexp_extract_all(regexp_replace({_plain("coalesce(text, '')")}, '([0-9]{{3}}\\.[0-9]+[a-z]?)', ' \\1 ', 'g'), '(?:^|[^0-9.])\\s([0-9]{{3}}\\.[0-9]+[a-z]?)\\s(?:[^a-z0-9]|$)', 1)) as number from documents) group by 1""",
     "q_json_projection": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
     "q_cards": f"with {_BASE} select distinct c.en as key, 'ok' as status, c.en as name, c.ja as printed_name, 'A' || chr(10) || '//' || chr(10) || 'B' as oracle_text, '3' as power from (select unnest(cards) as c from recs) where c.en is not null and c.ja is not null",
