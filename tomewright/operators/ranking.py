@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import tokens
+from ..storage import checkpointed, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 POOL, RRF_K, DIGITS = 50, 60, 6
@@ -23,15 +24,15 @@ def top(scored: DataFrame, k: int, by: list[Column], key: str = "query_id") -> D
 
 def postings(docs: DataFrame) -> DataFrame:
     """doc_id, token, tf and the document's length dl; docs has doc_id and text. Documents without tokens have none."""
-    listed = docs.select("doc_id", tokens(F.col("text")).alias("list"))
+    listed = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("list"))
     counted = listed.select("doc_id", F.size("list").alias("dl"), F.explode("list").alias("token"))
     return counted.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
 
 
-def idf_weights(post: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """token and idf; a negative idf is replaced by a fixed part of the mean over the vocabulary. n_docs has one row: n."""
+def idf_weights(post: DataFrame, stats: DataFrame) -> DataFrame:
+    """token and idf; a negative idf is replaced by a fixed part of the mean over the vocabulary. stats has one row, with n."""
     df = post.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(n_docs.select("n"))).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = df.crossJoin(F.broadcast(stats.select("n"))).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
@@ -40,10 +41,11 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score > 0 of all documents for all queries, by Okapi BM25 with an idf floor.
 
     Statistics are those of all documents, empty ones included; a token counts as often as the query has it.
-    Query tokens are joined to the postings, so documents that share no token with a query never meet it.
+    Postings are made once and stored, as frequencies, lengths and scores all read them. Query tokens are joined
+    to them, so documents that share no token with a query never meet it.
     """
-    post = postings(docs)
-    stats = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    post = checkpointed(postings(docs))
+    stats = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     weighted = asked.join(idf_weights(post, stats), "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -24,7 +24,7 @@ from .operators.snapshots import chosen_deliveries
 from .operators.validation import question_problems
 from .plans.search import Index, contexts, corpus_members, language_passages, multi_query_groups, passages, question_queries, search
 from .queries_data import _ASCII, _SNAPSHOTS, _SPACES, _WIDE, _number
-from .storage import table
+from .storage import checkpointed, table
 
 CATEGORIES = ["basic_rules", "card_interactions", "combat", "commander", "keywords", "layers", "replacement_effects", "stack_priority"]
 TOOLS = ["search_rules", "lookup_card", "get_card_rulings"]
@@ -305,7 +305,7 @@ def q_score_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_ablation(spark: SparkSession, sf: str) -> DataFrame:
     asked = asked_of(spark, sf)
-    en, ja = (bm25_ranking(one_language(spark, sf, x), asked) for x in ("en", "ja"))
+    en, ja = (checkpointed(bm25_ranking(one_language(spark, sf, x), asked)) for x in ("en", "ja"))  # each is read by three of the four
     fused = top(minmax_fusion([(en, 0.5), (ja, 0.5)]), 50, [F.desc("score"), F.asc("doc_id")])
     configs = [("bm25 en", en), ("bm25 ja", ja), ("rrf", rrf([(en, 1.0), (ja, 1.0)])), ("minmax", fused)]
     return reduce(DataFrame.unionByName, [summary(_judged(spark, sf, r), []).withColumn("config", F.lit(name)) for name, r in configs])

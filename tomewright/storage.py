@@ -25,7 +25,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least two partitions a core, for work in Python that costs far more than reading.
+    """``df`` in at least two partitions a core, for work that costs far more than reading.
 
     A table of many files is left as it is, without a shuffle; a small one, read as a few splits, is dealt out.
     """
