@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.numbers import parent_of, sort_key
 from .functions.text import nfkc_lower, rule_mentions, rule_number
 from .functions.tokens import CJK, WORDS, normalized, tokens
-from .operators.cards import read_cards
+from .operators.cards import find_cards, read_cards
 from .operators.evaluation import judged_queries, percentiles, score_report, summary
 from .operators.glossary import glossary_ranking, secondary_queries, term_hits, term_table
 from .operators.ingest import bilingual, html_lines, keep_first, line_blocks, merge_glossaries, parse_rules, self_check
@@ -262,6 +262,17 @@ def q_cards(spark: SparkSession, sf: str) -> DataFrame:
     return read_cards(raw).select("key", "status", "name", "printed_name", "oracle_text", "power")
 
 
+def q_find_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards by a name whose last letter is missing."""
+    named = records_of(spark, sf).select(F.explode("cards").alias("c")).select(F.col("c.en").alias("name")).dropna().distinct()
+    return find_cards(named.select(F.expr("substring(name, 1, length(name) - 1)").alias("query")), named)
+
+
+def q_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """What an index holds: a text per rule and language, with its hash."""
+    return language_passages(corpus_of(spark, sf)).select("id", "lang", "section", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
 def q_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return percentiles(table(spark, sf, "documents"), "source", "n_chars", {"p50": 0.5, "p95": 0.95})
 
@@ -521,6 +532,12 @@ select doc_id, block, cast(count(*) as int) as n_lines, cast(sum(length(line)) +
     "q_rule_refs": f"""select number, count(distinct doc_id) as n_documents from (select doc_id, unnest(regexp_extract_all(regexp_replace({_plain("coalesce(text, '')")}, '([0-9]{{3}}\\.[0-9]+[a-z]?)', ' \\1 ', 'g'), '(?:^|[^0-9.])\\s([0-9]{{3}}\\.[0-9]+[a-z]?)\\s(?:[^a-z0-9]|$)', 1)) as number from documents) group by 1""",
     "q_json_projection": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
     "q_cards": f"with {_BASE} select distinct c.en as key, 'ok' as status, c.en as name, c.ja as printed_name, 'A' || chr(10) || '//' || chr(10) || 'B' as oracle_text, '3' as power from (select unnest(cards) as c from recs) where c.en is not null and c.ja is not null",
+    "q_find_cards": f"""with {_BASE}, names as (select distinct c.en as name from (select unnest(cards) as c from recs) where c.en is not null), asks as (select distinct substr(name, 1, length(name) - 1) as query from names),
+near as (select query, name, levenshtein(lower(query), lower(name)) as distance from asks, names where left(lower(query), 2) = left(lower(name), 2) or right(lower(query), 2) = right(lower(name), 2)),
+best as (select * from near where distance * 3 <= length(query) qualify row_number() over (partition by query order by distance, name) = 1)
+select a.query, b.name, b.distance, case when b.name is null then 'not_found' else 'ok' end as status from asks a left join best b using (query)""",
+    "q_passages": f"""with {_BASE}, t as (select number, section, 'en' as lang, text_en as t from corp union all select number, section, 'ja', text_ja from corp)
+select number || '#' || lang as id, lang, section, length(number || ' ' || t) as n_chars, sha256(number || ' ' || t) as sha256 from t where coalesce(t, '') <> ''""",
     "q_percentiles": "select source, list_sort(list(n_chars))[least(floor(count(n_chars) * 0.5), count(n_chars) - 1)::int + 1] as p50, list_sort(list(n_chars))[least(floor(count(n_chars) * 0.95), count(n_chars) - 1)::int + 1] as p95 from documents where n_chars is not null group by 1",
     "q_recall_mrr": f"with {_BASE},{_bm('r', 'passages', 'asked', 50)},{_judge('j', 'r')} select * from j",
     "q_category_recall": f"with {_BASE},{_bm('r', 'passages', 'asked', 50)},{_judge('j', 'r')} select category, {_SUM} from j join recs on recs.id = j.query_id group by 1",
@@ -531,4 +548,8 @@ select category, grouping(category) as is_total, count(score) as n, count(*) fil
 m as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from m0 qualify rank <= 50),{_judge('ja1', 'a')},{_judge('jb', 'b')},{_judge('jf', 'f')},{_judge('jm', 'm')}
 select 'bm25 en' as config, {_SUM} from ja1 union all select 'bm25 ja', {_SUM} from jb union all select 'rrf', {_SUM} from jf union all select 'minmax', {_SUM} from jm""",
     "q_hybrid": f"with {_BASE},{_TERMS},{_bm('r', 'passages', 'asked', 50)}, g as ({_gloss_rank('asked', 'explicit')}),{_rrf('f', [('r', 1.0), ('g', 1.0)])},{_GROUPS.replace('{0}', 'f')} select * from groups",
+    "q_hybrid_reranked": f"""with {_BASE},{_TERMS},{_bm('r', 'passages', 'asked', 50)}, g as ({_gloss_rank('asked', 'explicit')}), gs as ({_gloss_rank('asked', 'section')}),{_rrf('f', [('r', 1.0), ('g', 1.0), ('gs', 0.3)])},
+cut as (select c.query_id, c.doc_id, c.rank as old, round(len(list_intersect(q.t, p.t)) / greatest(1, len(q.t)), 9) as s from f c
+  join (select query_id, list_distinct({_tok('text')}) as t from asked) q using (query_id) join (select doc_id, list_distinct({_tok('text')}) as t from passages) p using (doc_id) where c.rank <= 50),
+rr as (select query_id, doc_id, 1.0 / rank as score, rank from (select *, row_number() over (partition by query_id order by s desc, old) as rank from cut)),{_GROUPS.replace('{0}', 'rr')} select * from groups""",
 }
