@@ -92,8 +92,25 @@ select source_table, field_name, record_id, number, substr(edition, 1, 7) as ref
        when exists (select 1 from held h where h.number = e.number and h.edition > e.edition) then 'late' else 'missing' end as status
 from edges e where number is not null and edition is not null and not exists (select 1 from held h where h.number = e.number and h.edition = e.edition)"""
 
+_MENTIONS = f"regexp_extract_all(regexp_replace(lower({_plain("coalesce(text, '')")}), '([0-9]{{3}}\\.[0-9]+[a-z]?)', ' \\1 ', 'g'), '(?:^|[^0-9.])\\s([0-9]{{3}}\\.[0-9]+[a-z]?)\\s(?:[^a-z0-9]|$)', 1)"
+_P2_REPORT = _P2.replace("with ", "with recursive ", 1).partition("select source_table, field_name, record_id")[0].rstrip() + f""",
+refs as (select * from edges where number is not null and edition is not null),
+english as (select * from firsts where language = 'en'),
+inner_edges as (select distinct 'rule_entries' as source_table, field_name, number as record_id, effective_date as edition, target as number from (
+  select 'text' as field_name, number, effective_date, unnest({_MENTIONS}) as target from english
+  union all select 'parent', number, effective_date, regexp_extract(number, '^([0-9]{{3}}\\.[0-9]+)[a-z]$', 1) from english) where target <> '' and target <> number),
+every as (select * from refs union all select * from inner_edges),
+direct as (select e.*, case when exists (select 1 from held h where h.number = e.number and h.edition < e.edition) then 'deleted'
+    when exists (select 1 from held h where h.number = e.number and h.edition > e.edition) then 'late' else 'missing' end as status
+  from every e where not exists (select 1 from held h where h.number = e.number and h.edition = e.edition)),
+seen as (select distinct edition, record_id as number from direct where source_table = 'rule_entries'
+  union select i.edition, i.record_id from inner_edges i join seen s on s.edition = i.edition and s.number = i.number),
+orphans as (select * from direct union all select e.*, 'inherited' from every e join seen s on s.edition = e.edition and s.number = e.number)
+select source_table, field_name, substr(edition, 1, 7) as ref_month, status, count(*) as n_references, count(distinct record_id) as n_records from orphans group by all"""
+
 SQL = {
     "p2_found": _P2,
+    "p2_report": _P2_REPORT,
     "p4_found": _P4 + "select * from found where change_kind is not null",
     "p4_report": _P4 + "select language, effective_date, change_kind, count(*) as n_numbers from found where change_kind is not null group by all",
 }
