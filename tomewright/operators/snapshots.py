@@ -45,7 +45,7 @@ def snapshot_changes(documents: DataFrame, entries: DataFrame) -> DataFrame:
     comes first. Empty input gives no rows, and the first snapshot of a language none.
     Output: language, effective_date (of the later snapshot), number, change_kind (added, removed, changed).
     """
-    rows = spread(snapshot_rows(documents, entries)).select(
+    rows = snapshot_rows(documents, spread(entries)).select(
         "language", "effective_date", "seq", "n_dates", "number", "ord",
         F.coalesce(F.unhex(F.md5(same_look_udf("text"))), F.unhex(F.lit("00"))).alias("hash"),
     )

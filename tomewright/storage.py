@@ -27,7 +27,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least two partitions a core, for work that costs far more than reading.
 
-    A table of many files is left as it is, without a shuffle; a small one, read as a few splits, is dealt out.
+    Decided by Spark's own estimate of the size, so nothing runs for it: a table large enough to be read in that
+    many splits is left as it is, without a shuffle; a smaller one is dealt out.
     """
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    spark = df.sparkSession
+    wanted = 2 * spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df if size >= wanted * split else df.repartition(wanted)
