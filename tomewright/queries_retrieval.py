@@ -327,6 +327,10 @@ def q_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(search(index_of(spark, sf), asked_of(spark, sf)))
 
 
+def hybrid_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(search(index_of(spark, sf), records_of(spark, sf).select(F.col("id").alias("query_id"), F.col("question").alias("text"))))
+
+
 def q_hybrid_reranked(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(search(index_of(spark, sf), asked_of(spark, sf), rerank=True))
 
