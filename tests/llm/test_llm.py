@@ -40,6 +40,20 @@ def test_defects(spark):
     assert defects(spark, []) == {}
 
 
+def test_refusal_templates(spark):
+    good = (["The limit is 3.", "It works in the hand."],)
+    asked = ["Can Dokiruna move out of the hand?", "How many markers stay on the banner?", "Who makes the tally after a clash?", "Does the golem keep its counters?", "When is a decree copied?"]
+    once = [("it", "Non posso rispondere a questa domanda."), ("pt", "Não posso responder a esta pergunta."), ("ru", "Я не могу ответить на этот вопрос."), ("named", "I cannot answer anything about Dokiruna."), ("ruling", "Unfortunately Dokiruna cannot leave.")]
+    rows_ = [(k, asked[0], (c, *good)) for k, c in once]
+    rows_ += [(f"new{i}", q, ("Kindly take this up with a floor official.", *good)) for i, q in enumerate(asked)]  # wording that no pattern knows
+    rows_ += [(f"veto{i}", q, ("Better to ask somebody else, a floor official, or " + ("the owner of the hand." if i else "Dokiruna."), *good)) for i, q in enumerate(asked * 2)]
+    rows_ += [(f"yes{i}", q, ("Yes.", *good)) for i, q in enumerate(asked)] + [(f"short{i}", q, ("It does.", *good)) for i, q in enumerate(asked)]
+    rows_ += [(f"name{i}", q, (f"Vogatosa{'aeiou'[i]} stays where it was before.", *good)) for i, q in enumerate(asked)]
+    rows_ += [(f"same{i}", f"Does a player of side {x} lose the match?", ("Nothing happens until dawn.", *good)) for i, x in enumerate("ABCD")]  # one question, one answer
+    got = {i for i, d in defects(spark, rows_).items() if "refusal" in d}
+    assert got == {"it", "pt", "ru", "named"} | {f"new{i}" for i in range(5)} | {f"veto{i}" for i in range(10)}
+
+
 def test_clusters(spark):
     texts = ["申し訳ありませんが、お答えしかねます", "申し訳ありませんが、お答えしかねます。", "申し訳ありませんが、お答えしかねます。!", "はい", "いいえ、数えません", ""]
     got = {r["text"]: r["cluster"] for r in minhash.clusters(spark.createDataFrame([(t,) for t in [*texts, None, "はい"]], "text string")).collect()}

@@ -19,6 +19,10 @@ from .sentences import split_text
 OPENING = 24
 #: A cluster of openings is a refusal if it recurs over so many prompts, and so many of its answers decline and say nothing of their prompt.
 MIN_PROMPTS, MIN_DECLINE, MIN_UNRELATED = 2, 0.5, 0.8
+#: In wording that DECLINES lacks, it must recur over so many prompts, no stretch of which is in so many of them.
+MIN_UNWORDED, SAME_PROMPTS = 3, 0.8
+#: Letters below which a recurring answer may be a verdict as well ("It does."), so that its wording decides.
+MIN_LETTERS = 8
 #: A piece without its final mark is broken off where its last words are followed by more in the other texts, and end a sentence in less than this share.
 MIN_FINAL_SHARE = 0.1
 
@@ -27,17 +31,28 @@ PLACEHOLDERS = set(
     """tbd tba todo n/a na none null nil nan undefined empty blank pending placeholder xxx tobedetermined tobeadded tobeannounced noanswer notavailable notapplicable
     未記入 未定 未回答 未入力 未作成 空欄 該当なし 回答なし 記入予定 準備中 後日記入 後日追記 要記入 要確認 作成中 調査中 ここに回答を記入 回答を入力してください""".split()
 )
-# How an answer is declined.
+# How answering itself is declined, whatever of the prompt is named along with it.
+ANSWERING = re.compile(
+    r"(?:お答え|回答|コメント)[^。]{0,16}?(?:でき(?:ません|ない|かね)|かね(?:ます|る)|控え(?:させ|ます|る|たい)|差し控え|立場に(?:あり|な)|いたしません|辞退|お断り|遠慮)"
+    r"|\b(?:i|we)(?: a|')?(?:m|re)?(?: will|'ll|'d| would)? ?(?:must |have to |would )?(?:afraid )?(?:i |we )?(?:cannot|can't|can not|could not|couldn't|am unable|are unable|unable|not able|am not able|won't|will not|not in a position|rather not|prefer not|decline|refuse|not allowed|not permitted|do not feel|don't feel)\b[^.!?]{0,60}?\b(?:answer|help|assist|comment|provide|give|discuss|rul(?:e|ing)|respond|advise|say|judge|support|request|question)"
+    r"|no puedo (?:responder|contestar|ayudar)|je ne (?:peux|suis) pas (?:en mesure )?(?:de )?(?:répondre|aider|vous)|ich kann [^.]{0,30}nicht (?:beantworten|helfen|antworten)|(?:无法|不能|無法)(?:回答|提供|协助|帮助)|답변(?:을)? ?(?:드릴|할) 수 없"
+    r"|\bnon (?:posso|possiamo|sono in grado di|siamo in grado di|mi è possibile)\b[^.!?]{0,30}?\b(?:rispondere|risponderti|rispondervi|aiutar|assister|commentare|fornire)"
+    r"|\bnão (?:posso|podemos|consigo|conseguimos|estou em condições de|me é possível)\b[^.!?]{0,30}?\b(?:responder|ajudar|auxiliar|comentar|fornecer)"
+    r"|\bне (?:могу|можем|в состоянии|готов[аы]?|имею возможности)\b[^.!?]{0,30}?\b(?:ответить|отвечать|помочь|комментировать|прокомментировать|предоставить)",
+    re.I,
+)
+# How an answer is declined, in words that a ruling may use too.
 DECLINES = re.compile(
-    r"(?:答え|回答|返答|手伝|力に|裁定|判断|提供|助言|コメント|案内|説明|対応|判定)[^。]{0,16}?(?:でき(?:ません|ない|かね)|かね(?:ます|る)|控え(?:させ|ます|る|たい)|差し控え|立場に(?:あり|な)|いたしません|辞退|お断り|遠慮)"
+    ANSWERING.pattern
+    + r"|(?:答え|回答|返答|手伝|力に|裁定|判断|提供|助言|コメント|案内|説明|対応|判定)[^。]{0,16}?(?:でき(?:ません|ない|かね)|かね(?:ます|る)|控え(?:させ|ます|る|たい)|差し控え|立場に(?:あり|な)|いたしません|辞退|お断り|遠慮)"
     r"|(?:AI|言語モデル)(?:として|です(?:ので|から)|なので|の(?:ため|私))|お役に立て(?:ません|ず)"
     r"|\bas an? (?:ai|(?:large )?language model|assistant)\b"
-    r"|\b(?:i|we)(?: a|')?(?:m|re)?(?: will|'ll|'d| would)? ?(?:must |have to |would )?(?:afraid )?(?:i |we )?(?:cannot|can't|can not|could not|couldn't|am unable|are unable|unable|not able|am not able|won't|will not|not in a position|rather not|prefer not|decline|refuse|not allowed|not permitted|do not feel|don't feel)\b[^.!?]{0,60}?\b(?:answer|help|assist|comment|provide|give|discuss|rul(?:e|ing)|respond|advise|say|judge|support|request|question)"
     r"|\b(?:sorry|apologies|apologi[sz]e|unfortunately|regret)\b[^.!?]{0,60}?\b(?:cannot|can't|can not|unable|won't|not able|not in a position|not allowed|outside|beyond|decline)\b"
-    r"|\b(?:not enough|insufficient) (?:context|information)\b[^.!?]{0,50}?\b(?:answer|ruling|respond|judge)|\boutside what (?:i am|i'm|we are) (?:allowed|able)\b|\bno (?:comment|answer) (?:can|will) be (?:given|made|provided)\b"
-    r"|no puedo (?:responder|contestar|ayudar)|je ne (?:peux|suis) pas (?:en mesure )?(?:de )?(?:répondre|aider|vous)|ich kann [^.]{0,30}nicht (?:beantworten|helfen|antworten)|(?:无法|不能|無法)(?:回答|提供|协助|帮助)|답변(?:을)? ?(?:드릴|할) 수 없",
+    r"|\b(?:not enough|insufficient) (?:context|information)\b[^.!?]{0,50}?\b(?:answer|ruling|respond|judge)|\boutside what (?:i am|i'm|we are) (?:allowed|able)\b|\bno (?:comment|answer) (?:can|will) be (?:given|made|provided)\b",
     re.I,
 )
+# Yes and no, which answer any prompt without taking up its words.
+VERDICT = re.compile(r"^\W*(?:はい|ええ|いいえ|いや|yes|no|sí|si|oui|non|ja|nein|sì|sim|não|да|нет|네|예|아니요|아니오|是的?|不是|可以|不可以|能|不能|对|不)\s*(?:[^\w\s'’]|$)", re.I)
 # What may stand around a copied question.
 FRAMING = re.compile(
     r"^(?:ご?質問|問い?|お尋ね|question|q|the question is|you asked|お答えします|回答|answer|a)+|(?:とのご?質問です(?:ね)?|というご?質問です(?:ね)?|とのことです(?:ね)?|というお尋ねです(?:ね)?|についてですね|ですね|という質問|とのこと)+$", re.I
@@ -60,6 +75,7 @@ FUNCTION_WORDS = set("the a an of to in on at by with for from and or not if whe
 _NAMES = re.compile(r"《[^》]*》|『[^』]*』|「[^」]*」|\([^()]*\)")
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][A-Za-zÀ-ÖØ-öø-ÿ']*")
 _MASK = [(re.compile(r"《[^》]*》"), "《》"), (re.compile(r"\d+"), "0"), (re.compile(r"\b[A-Z][a-z]{4,}\b"), "Name")]
+_PARTICULAR = re.compile("|".join(pattern.pattern for pattern, _ in _MASK))
 _ENDED = re.compile(r"[.!?。！？][\"'”’)\]）」』》]*$")
 _OPEN = re.compile(r"[《「『（(\[【“][^》」』）)\]】”]*$")
 #: How a Japanese sentence can end: the polite and plain forms of verbs, adjectives and the copula, and final particles.
@@ -125,6 +141,16 @@ def related(question: str, conclusion: str) -> bool:
     return any((p := said[i : i + width]) in asked_parts and not re.fullmatch("[ぁ-ゖ]+", p) for i in range(len(said) - width + 1))
 
 
+def nameless(text: str) -> str:
+    return _PARTICULAR.sub(" ", consistent(text) or "")
+
+
+def stretches(asked: str) -> set[str]:
+    """The stretches of a bare question that tell what it asks, as in ``related``."""
+    width = 8 if asked.isascii() else 4
+    return {p for i in range(max(1, len(asked) - width + 1)) if (p := asked[i : i + width]) and not re.fullmatch("[ぁ-ゖ]+", p)}
+
+
 def masked(text: str) -> str:
     form = consistent(text) or ""
     for pattern, to in _MASK:
@@ -156,7 +182,9 @@ def grammatical_end(text: str) -> bool:
     return bool(_JA_FINAL.search(form))
 
 
-_SIGNS = StructType([StructField(n, BooleanType()) for n in ("empty", "copied", "declines", "unrelated", "foreign")] + [StructField("opening", StringType())])
+_SIGNS = StructType(
+    [StructField(n, BooleanType()) for n in ("empty", "copied", "declines", "answering", "verdict", "unrelated", "apart", "foreign")] + [StructField(n, StringType()) for n in ("opening", "asked", "particulars")]
+)
 
 
 @pandas_udf(_SIGNS)
@@ -169,10 +197,22 @@ def signs_udf(question: pd.Series, conclusion: pd.Series, facts: pd.Series) -> p
         foreign = bool(asked) and (
             not no_answer and (x := language(c)) is not None and x != asked or bool(stated) and all((y := language(s)) is not None and y != asked for s in stated)
         )
-        rows.append((no_answer or not stated, bool(q) and not no_answer and copies(q, c), not no_answer and bool(DECLINES.search(consistent(c) or "")), not no_answer and not (q and related(q, c)), foreign, None if no_answer else masked(c)[:OPENING]))
+        form = "" if no_answer else consistent(c) or ""
+        declines = bool(DECLINES.search(form))
+        answering = declines and bool(ANSWERING.search(form))
+        unrelated = not no_answer and not (q and related(q, c))
+        apart = unrelated or answering and not related(nameless(q), nameless(c))
+        verdict = bool(VERDICT.search(form)) or len(bare(form)) < MIN_LETTERS
+        particulars = " ".join(_PARTICULAR.findall(form))
+        rows.append((no_answer or not stated, bool(q) and not no_answer and copies(q, c), declines, answering, verdict, unrelated, apart, foreign, None if no_answer else masked(c)[:OPENING], (bare(q) or None) if q else None, particulars))
     return pd.DataFrame(rows, columns=_SIGNS.names)
 
 
+@pandas_udf(ArrayType(StringType()))
+def stretches_udf(asked: pd.Series) -> pd.Series:
+    return asked.map(lambda q: sorted(stretches(q)))
+
+
 _PIECE = StructType([StructField(n, StringType()) for n in ("state", "form", "tail")] + [StructField("grammatical", BooleanType())])
 
 
@@ -240,6 +280,25 @@ def truncated_ids(pieces: DataFrame) -> DataFrame:
     return judged.where("state = 'yes'").select("id").unionByName(decided.where(cut).select("id")).distinct()
 
 
+def templates(clustered: DataFrame) -> DataFrame:
+    """The clusters of answers that are refusal templates.
+
+    A cluster is judged as a whole: most of its answers take up nothing of their prompts. With wording that
+    declines in half of them it needs two prompts. Without, it is one if it says the same over three prompts or
+    more that have no stretch in common: no names or figures that change from answer to answer, and no verdict
+    (yes, no, or too few letters to tell). Prompts are distinct questions by their looks.
+    """
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    shares = ("declines", "answering", "verdict", "unrelated", "apart")
+    judged = checkpointed(clustered.groupBy("cluster").agg(F.count_distinct("asked").alias("prompts"), F.count_distinct("particulars").alias("particulars"), *(share(c).alias(c) for c in shares)))
+    worded = judged.where((F.col("prompts") >= MIN_PROMPTS) & ((F.col("declines") >= MIN_DECLINE) & (F.col("unrelated") >= MIN_UNRELATED) | (F.col("answering") >= MIN_DECLINE) & (F.col("apart") >= MIN_UNRELATED)))
+    same = judged.where((F.col("prompts") >= MIN_UNWORDED) & (F.col("unrelated") >= MIN_UNRELATED) & (F.col("verdict") < 0.5) & (F.col("particulars") * 2 <= F.col("prompts"))).select("cluster", "prompts")
+    asked = clustered.where("asked is not null").join(same, "cluster").select("cluster", "prompts", "asked").distinct()
+    common = asked.select("cluster", "prompts", F.explode(stretches_udf("asked")).alias("stretch")).groupBy("cluster", "stretch").agg(F.count("*").alias("n"), F.first("prompts").alias("prompts"))
+    alike = common.where(F.col("n") >= SAME_PROMPTS * F.col("prompts")).select("cluster")
+    return worded.select("cluster").unionByName(same.join(alike, "cluster", "left_anti").select("cluster")).distinct()
+
+
 def defective_pairs(questions: DataFrame) -> DataFrame:
     """id and defect of every question and answer pair that is broken; a pair may have several.
 
@@ -247,19 +306,16 @@ def defective_pairs(questions: DataFrame) -> DataFrame:
     A null answer, conclusion or list of facts, or one of blanks and placeholders alone, is an empty answer; what
     is empty itself has no other defect. A null question is compared with nothing. Rows without an id are left out.
 
-    Refusals: openings of all conclusions are clustered by verified MinHash (names and numbers masked). A cluster
-    that recurs over several prompts, most of whose answers decline in so many words and take up nothing of their
-    prompt, is a refusal template; its answers that take up nothing of their prompt are refusals, and so are
-    single answers that decline and take up nothing. Copies, languages and endings are checked pair by pair.
+    Refusals: openings of all conclusions are clustered by verified MinHash (names and numbers masked), and the
+    clusters that are refusal templates are refusals with all their answers (``templates``). So are single answers
+    that decline and take up nothing of their prompt, or decline to answer and take up no more than its names.
+    Copies, languages and endings are checked pair by pair.
     """
     pairs = questions.where("id is not null").select("id", "question", F.col("expected_answer.conclusion").alias("conclusion"), F.col("expected_answer.key_facts").alias("facts")).distinct()
     signed = checkpointed(spread(pairs).select("id", "question", "conclusion", "facts", signs_udf("question", "conclusion", "facts").alias("s")).select("id", "question", "conclusion", "facts", "s.*"))
-    openings = signed.where("opening is not null").select("id", "opening", "declines", "unrelated")
-    clustered = openings.join(clusters(openings.select(F.col("opening").alias("text"))), F.col("opening") == F.col("text"))
-    share = lambda c: F.avg(F.col(c).cast("double"))
-    templates = clustered.groupBy("cluster").agg(F.approx_count_distinct("id").alias("prompts"), share("declines").alias("declining"), share("unrelated").alias("unrelated_share"))
-    templates = templates.where((F.col("prompts") >= MIN_PROMPTS) & (F.col("declining") >= MIN_DECLINE) & (F.col("unrelated_share") >= MIN_UNRELATED)).select("cluster")
-    refused = clustered.where("unrelated").join(templates, "cluster", "left_semi").select("id").unionByName(signed.where("declines and unrelated").select("id"))
+    openings = signed.where("opening is not null").select("id", "opening", "asked", "declines", "answering", "verdict", "unrelated", "apart", "particulars")
+    clustered = checkpointed(openings.join(clusters(openings.select(F.col("opening").alias("text"))), F.col("opening") == F.col("text")))
+    refused = clustered.join(templates(clustered), "cluster", "left_semi").select("id").unionByName(signed.where("declines and unrelated or answering and apart").select("id"))
     pieces = signed.select("id", F.col("conclusion").alias("text")).unionByName(signed.select("id", F.explode("facts").alias("text")))
     parts = [("empty_answer", signed.where("empty")), ("copies_question", signed.where("copied")), ("wrong_language", signed.where("foreign")), ("refusal", refused), ("truncated_answer", truncated_ids(pieces.dropna()))]
     found = None
