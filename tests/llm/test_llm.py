@@ -230,3 +230,16 @@ def test_scores(spark, rows):
     assert len(got) == 6 and got[(None, "abusive")][0] == 120
     assert abuse.scored(df, lab.limit(0)).where("abusive >= 0.5").count() == 0 and abuse.scored(df.limit(0), lab).count() == 0
     scored.unpersist()
+
+
+@pytest.mark.parametrize("n", [120, 600, 2400])
+def test_rare_terms_at_every_size(n):
+    rng = random.Random(6)
+    calm = ["The deck runs well today.", "We expect many players.", "The copy keeps its markers.", "Timing matters here."]
+    bad = {"abusive": " Shut up, you stupid troll.", "sexual": " Naked people waiting for sex.", "hateful": " All foreigners are vermin.", "none": ""}
+    kinds = [k for k in bad for _ in range(3 if k == "none" else 1)]
+    texts = [(" ".join(rng.sample(calm, 3)) + bad[k], frozenset({k})) for k in kinds * (n // 6)]
+    rare = [(f"{calm[i]} Zorblat quimbly frandle.", frozenset({"abusive"})) for i in range(2)]
+    machine = abuse.fit(texts + rare)
+    known, unknown = machine.scores(["zorblat quimbly frandle.", "qwyx dorvle mimpt."])[:, 0]
+    assert abuse.bucket("zorblat") in machine.rows and known >= abuse.THRESHOLD > unknown

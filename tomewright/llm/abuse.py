@@ -29,6 +29,8 @@ REMEMBERED = 200_000
 TOGETHER = 1_000
 #: Buckets terms are hashed to, and length of their interaction vectors.
 BUCKETS, FACTORS = 1 << 20, 6
+#: A term is known if so many labelled documents hold it, however many there are; the fit's regularization weighs rare ones.
+MIN_DOCUMENTS = 2
 #: A document is of a kind if one of its sentences scores this much.
 THRESHOLD = 0.5
 ROUNDS, EPOCHS = 3, 50
@@ -193,7 +195,7 @@ def fit(labelled: list[tuple[str | None, frozenset[str]]]) -> Machine:
     docs = [(s, k) for s, k in docs if s]
     hashed = [[{bucket(t) for t in terms(x)} for x in s] for s, _ in docs]
     seen = Counter(b for d in hashed for b in set().union(*d))
-    machine = _start(sorted(b for b, n in seen.items() if n >= (4 if len(docs) > 2000 else 3 if len(docs) > 300 else 2)))
+    machine = _start(sorted(b for b, n in seen.items() if n >= MIN_DOCUMENTS))
     clean = [d for d, (_, k) in enumerate(docs) if not k & set(KINDS)]
     if not clean or len(clean) == len(docs):
         return machine
