@@ -60,6 +60,31 @@ def test_clusters(spark):
     assert got[texts[0]] == got[texts[1]] == got[texts[2]] == texts[0] and len(set(got.values())) == 4 and set(got) == set(texts)
 
 
+def test_clusters_of_skewed_openings(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(700):  # all share 18 shingles of 22, so most buckets are full of texts that are not similar enough
+        own = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=4))
+        texts += ["I cannot say what th" + own, "I cannot say what th" + own[:3] + "!"]
+    texts = sorted(set(texts))
+    held = [minhash.shingles(t) for t in texts]
+    least = dict(zip(texts, texts, strict=True))
+
+    def root(t):
+        while least[t] != t:
+            t = least[t]
+        return t
+
+    for i, t in enumerate(texts):
+        for j in range(i):
+            both = len(held[i] & held[j])
+            if both >= 0.8 * (len(held[i]) + len(held[j]) - both):
+                x, y = sorted((root(t), root(texts[j])))
+                least[y] = x
+    got = {r["text"]: r["cluster"] for r in minhash.clusters(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == {t: root(t) for t in texts}
+
+
 # --- 3 ---
 
 

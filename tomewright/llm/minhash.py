@@ -7,10 +7,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
 
 from ..storage import checkpointed
 
@@ -54,25 +54,49 @@ def jaccard_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def clusters(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """text and cluster (its least text) for the distinct non-null texts.
+@pandas_udf(ArrayType(StringType()))
+def shingles_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: sorted(shingles(t)))
 
-    Each band bucket names one leader, drawn by a hash that differs from band to band, by an aggregation; every
-    text is verified against its leaders by exact Jaccard similarity of character triples, so a bucket of any size
-    costs one comparison a text and band, and no pairs within it. Verified links are closed over by passing on
-    the least text until nothing changes.
-    """
-    nodes = checkpointed(texts.select("text").dropna().distinct())
-    keyed = nodes.select("text", F.posexplode(bands_udf("text")).alias("band", "key"))
-    leaders = keyed.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("band", "text"), "text"))["text"].alias("leader"), F.count("*").alias("n")).where("n > 1")
-    pairs = keyed.join(leaders, ["band", "key"]).where("text != leader").select("text", "leader").distinct()
-    links = pairs.where(jaccard_udf("text", "leader") >= threshold)
-    both = checkpointed(links.select(F.col("text").alias("a"), F.col("leader").alias("b")).unionByName(links.select(F.col("leader").alias("a"), F.col("text").alias("b"))).distinct())
-    labels = checkpointed(nodes.select("text", F.col("text").alias("cluster")))
+
+def _closed(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """text and cluster with the least cluster that links (a, b, both ways) reach, passed on until nothing changes."""
     while True:
-        offered = both.join(labels, both.b == labels.text).groupBy("a").agg(F.min("cluster").alias("offered"))
+        offered = links.join(labels, links.b == labels.text).groupBy("a").agg(F.min("cluster").alias("offered"))
         moved = labels.join(offered, labels.text == offered.a, "left").select("text", F.least("cluster", F.coalesce("offered", "cluster")).alias("cluster"), (F.col("offered") < F.col("cluster")).alias("moved"))
         moved = checkpointed(moved)
         labels = moved.select("text", "cluster")
         if moved.where("moved").isEmpty():
             return labels
+
+
+def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of at least the threshold's similarity, both ways."""
+    links = checkpointed(pairs.where(jaccard_udf("a", "b") >= threshold))
+    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def clusters(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """text and cluster (its least text) for the distinct non-null texts: what links of exact Jaccard similarity connect.
+
+    First each band bucket names one leader, drawn by a hash that differs from band to band, and every text is
+    verified against its leaders: one comparison a text and band, whatever the bucket's size. What that leaves
+    apart is then searched exactly: texts that are similar enough share one of the rarest shingles of each (of n
+    shingles, the n - ceil(threshold n) + 1 that the fewest texts hold), so texts of different clusters that share
+    one, and whose numbers of shingles allow it, are verified. Links are closed over after each step.
+    """
+    nodes = checkpointed(texts.select("text").dropna().distinct())
+    keyed = nodes.select("text", F.posexplode(bands_udf("text")).alias("band", "key"))
+    leaders = keyed.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("band", "text"), "text"))["text"].alias("leader"), F.count("*").alias("n")).where("n > 1")
+    links = _linked(keyed.join(leaders, ["band", "key"]).where("text != leader").select(F.col("text").alias("a"), F.col("leader").alias("b")).distinct(), threshold)
+    labels = _closed(nodes.select("text", F.col("text").alias("cluster")), links)
+
+    held = checkpointed(nodes.select("text", shingles_udf("text").alias("s")).select("text", F.size("s").alias("n"), F.explode("s").alias("shingle")))
+    ranked = held.join(held.groupBy("shingle").agg(F.count("*").alias("holders")), "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy("holders", "shingle")))
+    # a little less than the threshold, so that rounding shortens nothing
+    rare = ranked.where(F.col("rank") <= F.col("n") - F.ceil((threshold - 1e-9) * F.col("n")) + 1).join(labels, "text").select("text", "cluster", "n", "shingle")
+    rare = checkpointed(rare)
+    a, b = rare.alias("a"), rare.alias("b")
+    apart = a.join(b, "shingle").where(F.col("a.cluster") < F.col("b.cluster")).where(F.least("a.n", "b.n") >= (threshold - 1e-9) * F.greatest("a.n", "b.n"))
+    more = _linked(apart.select(F.col("a.text").alias("a"), F.col("b.text").alias("b")).distinct(), threshold)
+    return labels if more.isEmpty() else _closed(labels, links.unionByName(more))
