@@ -54,6 +54,16 @@ def test_refusal_templates(spark):
     assert got == {"it", "pt", "ru", "named"} | {f"new{i}" for i in range(5)} | {f"veto{i}" for i in range(10)}
 
 
+def test_prompts_are_counted_exactly(spark):
+    # one question under several ids is one prompt; two prompts are two, whatever their ids hash to
+    schema = "cluster string, asked string, declines boolean, answering boolean, verdict boolean, unrelated boolean, apart boolean, particulars string"
+    signs = (True, True, False, True, True, "")
+    ids = [(f"c{i}", f"question {i} {k}", *signs) for i in range(3000) for k in range(2)]
+    again = [("again", "one question", *signs)] * 4
+    got = pairs.templates(spark.createDataFrame(ids + again, schema))
+    assert got.count() == 3000 and got.where("cluster = 'again'").isEmpty()
+
+
 def test_clusters(spark):
     texts = ["申し訳ありませんが、お答えしかねます", "申し訳ありませんが、お答えしかねます。", "申し訳ありませんが、お答えしかねます。!", "はい", "いいえ、数えません", ""]
     got = {r["text"]: r["cluster"] for r in minhash.clusters(spark.createDataFrame([(t,) for t in [*texts, None, "はい"]], "text string")).collect()}
