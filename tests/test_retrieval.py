@@ -2,6 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tomewright.functions.text import references
 from tomewright.operators import cards, evaluation, glossary, ingest, lookup, ordered, ranking, validation
 from tomewright.plans import search
 from tomewright.sources import records
@@ -85,19 +86,30 @@ def test_parse_text(spark):
     assert [r["number"] for r in got] == ["100.1", "100.1a", "200.1", "704.5k", "704.5m"]
     assert [r["category"] for r in got] == ["General", "General", "Cards", "Cards", "Cards"] and got[3]["section"] == "704" and got[0]["text"] == "First rule."
     blocks = ingest.glossary_blocks(lines).orderBy("ord").collect()
-    assert [(r["term"], r["definition"]) for r in blocks] == [("Alpha", "See rules 509.1b. More."), ("Beta", "A def")]
+    assert [(r["term_en"], r["definition_en"], r["rules"]) for r in blocks] == [("Alpha", "See rules 509.1b. More.", ["509.1b"]), ("Beta", "A def", [])]
 
 
 def test_html(spark, rows):
     html = '<html><script>var x="<p>no</p>";</script><h5>100. 原則</h5><p>100.1. <a href="#">Link</a> <strong>text</strong></p>out<div><p>a</p>b</div><p>one<br>two</p></html>'
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "doc int, html string")
     assert [r[2] for r in rows(ingest.html_lines(pages))] == ["100. 原則", "100.1. Link text", "a", "one", "two"]
+    hard = '<P CLASS="x">a &amp; b &lt;p&gt;<!-- <p>no</p> --> c</p><style>p{}</style><div>1 < 2<BR/>x</div>no<p>\u3000y <pre>z</pre></p><ul>no<li>w</li></ul><div>open<script>if (a < b) {'
+    assert [r[1:] for r in rows(ingest.html_lines(spark.createDataFrame([(1, hard)], "doc int, html string")))] == [(1, "a & b <p> c"), (2, "1 < 2"), (3, "x"), (4, "y z"), (5, "w"), (6, "open")]
     book = '<h5 class="x"><a id="g_a">アルファ（あるふぁ）／Alpha</a></h5><p>本文<b>一</b></p><div>x</div></div>rest<h5><a id="g_b">Gamma</a></h5>終' + "長" * 5000
     got = ingest.html_glossary(spark.createDataFrame([(1, book)], "doc int, html string")).orderBy("ord").collect()
     assert [(r["term_en"], r["term_ja"]) for r in got] == [("Alpha", "アルファ"), ("Gamma", "Gamma")]
     assert got[0]["definition_ja"] == "本文 一 x" and len(got[1]["definition_ja"]) == 4000
 
 
+def test_references(spark):
+    cases = {
+        "See rule 702.9b.": (["702.9b"], []), "See rules 509.1b–c.": (["509.1b", "509.1c"], []), "See rules 111.10k–m.": (["111.10k", "111.10m"], []), "See rules 613.2, 707.2, and 707.3.": (["613.2", "707.2", "707.3"], []),
+        'See rule 502, "Untap Step." Also rules 510.': ([], ["502", "510"]), "509.1c - b, 509.1l, 702.9": (["509.1c", "702.9"], []), "rules 5021, rule 502.1, rule 502": (["502.1"], ["502"]), "": ([], []), None: ([], []),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", references(F.col("t")).alias("r"))
+    assert {r["t"]: (r["r"]["rules"], r["r"]["sections"]) for r in df.collect()} == cases
+
+
 def test_merge(spark):
     en = spark.createDataFrame([(0, "Alpha", "def", ["509.1b"], ["500"]), (1, "Beta", "b", [], []), (2, "ALPHA", "def2", ["509.1c"], [])], "ord int, term_en string, definition_en string, rules array<string>, sections array<string>")
     ja = spark.createDataFrame([(0, "alpha", "アルファ", "ja", ["200.1", "509.1c"], []), (1, "Gamma", "ガンマ", "g", [], [])], "ord int, term_en string, term_ja string, definition_ja string, rules array<string>, sections array<string>")
@@ -125,6 +137,13 @@ def test_ordered(spark):
             assert [got[k, i][0] for i in range(9)] == [None, 1, 1, 1, 2, 2, 2, 2, 3] and [got[k, i][1] for i in range(9)] == [1, None, None, 2, None, None, None, 3, None]
 
 
+def test_running_count(spark, rows):
+    df = spark.createDataFrame([(k, i, i % 3 == 1) for k in ("a", None) for i in range(7)] + [("n", 1, None)], "k string, i int, b boolean")
+    for stretch in (1, 2, 100):
+        got = {(r["k"], r["i"]): r["n"] for r in ordered.running_count(df, "k", "i", "b", "n", stretch).collect()}
+        assert [got["a", i] for i in range(7)] == [got[None, i] for i in range(7)] == [0, 1, 1, 1, 2, 2, 2] and got["n", 1] == 0
+
+
 def test_vector_blocks(spark, rows, monkeypatch):
     v = spark.createDataFrame([(i, [float((i * 7) % 11), float(i % 5)]) for i in range(40)], "doc_id int, embedding array<float>")
     q = v.select(F.col("doc_id").alias("query_id"), "embedding")

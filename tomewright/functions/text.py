@@ -71,3 +71,23 @@ def rule_number(text: Column) -> Column:
 def rule_mentions(text: Column) -> Column:
     """The rule numbers named in running text, in order of their first place, without repeats."""
     return F.array_distinct(F.regexp_extract_all(F.lower(narrow(text)), F.lit(r"(?<![\d.])(\d{3}\.\d+[a-z]?)(?![a-z\d])"), 1))
+
+
+def references(text: Column) -> Column:
+    """Struct of the rules and sections that a definition refers to, each in order of first appearance, without repeats.
+
+    Rules are numbers of the form 702.9 or 702.9b, ranges of letters included (509.1b–c is b and c; a range that runs
+    backwards is its first). The letters l and o, which no rule has, are left out, alone too. Sections are what
+    follows ``rule`` or ``rules`` and is no rule's number. Null text refers to nothing.
+    """
+    plain = narrow(F.coalesce(text, F.lit("")))
+    found = F.regexp_extract_all(plain, F.lit(rf"\d{{3}}\.\d+(?:[a-z](?:{SPACE_CLASS}*[–—-]{SPACE_CLASS}*[a-z])?)?"), F.lit(0))
+
+    def spread_out(one: Column) -> Column:
+        base, first = F.regexp_extract(one, r"^(\d{3}\.\d+)", 1), F.regexp_extract(one, r"^\d{3}\.\d+([a-z])", 1)
+        low, high = F.ascii(first), F.ascii(F.right(one, F.lit(1)))
+        letters = F.filter(F.transform(F.sequence(low, F.greatest(low, high)), lambda code: F.char(code)), lambda x: ~x.isin("l", "o"))
+        return F.when(first == "", F.array(base)).otherwise(F.transform(letters, lambda x: F.concat(base, x)))
+
+    sections = F.regexp_extract_all(plain, F.lit(r"rules? (\d{3})(?!\.\d|\d)"), F.lit(1))
+    return F.struct(F.array_distinct(F.flatten(F.transform(found, spread_out))).alias("rules"), F.array_distinct(sections).alias("sections"))

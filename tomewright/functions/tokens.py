@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import narrow
+from .text import nfkc_lower
 
-#: Numbers with their letter, then words and figures; an apostrophe stays inside a word.
-WORDS = r"[0-9]+\.[0-9]+[a-z]?|[a-z0-9]+(?:'[a-z0-9]+)*"
+# Numbers of rules with their letter, figures with a letter, words (an apostrophe stays inside), and the characters that are paired.
+WORDS = r"\p{Nd}{3}\.\p{Nd}+[a-z]?|\p{Nd}+[a-z]?|[a-z][a-z']*"
 CJK = "[\u3040-ヿ㐀-鿿]+"
 
 
 def normalized(text: Column) -> Column:
-    """Width-folded lower case on the JVM; ``text.nfkc_lower`` folds every compatibility form, in Python."""
-    return F.lower(narrow(text))
+    """The form in which queries, terms and texts meet: every compatibility form folded and marks composed, lower case."""
+    return nfkc_lower(text)
 
 
 def tokens(text: Column) -> Column:

@@ -5,25 +5,29 @@ All take and give tables of lines: doc, line_no, line. Rulebooks are split by ``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import html
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import SPACE_CLASS
-from .ordered import forward_fill
+from ..functions.text import SPACE_CLASS, references
+from .ordered import forward_fill, running_count
 
+# How rulebooks mark rules, headings and the parts after the rules.
 RULE = r"^(\d{3})\.(\d+[a-z]?)\.?\s+(.+)$"
 HEADING = r"^(\d{3})\.\s+(.+)$"
 GLOSSARY = ("Glossary", "用語集")
 CREDITS = ("Credits", "クレジット")
 # Elements that end a line, and those whose text is not read.
-BLOCKS = set("p div h1 h2 h3 h4 h5 h6 li dt dd td th tr ul ol dl table section article blockquote pre".split())
-UNREAD = set("script style".split())
-READING = "（[ぁ-ゖァ-ヺー・、\\s]+）"
+BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div")
+UNREAD = ("script", "style")
+# Kana readings in a heading, and the characters that are read of the last body.
+READING = "（[ぁ-ゖー・、\\s]+）"
 LAST_BODY = 4000
+_START, _END, _CUT = "\x01", "\x02", "\x03"
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
@@ -59,94 +63,73 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def nth_line(lines: DataFrame, titles: tuple[str, ...], n: int) -> DataFrame:
+    """doc and line_no of the n-th line of each doc that is one of the titles; docs with fewer have none."""
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("line_no"))
+    return lines.where(F.col("line").isin(*titles)).select("doc", "line_no", place.alias("place")).where(F.col("place") == n).drop("place")
+
+
 def glossary_blocks(lines: DataFrame) -> DataFrame:
-    """doc, ord, term, definition of the English glossary: blocks between blank lines, the first line being the term.
+    """doc, ord, term_en, definition_en, rules, sections of the English glossary: blocks between blank lines, the first line being the term.
 
     It lies between the second glossary title and the second credits title; with fewer of either there is none.
-    Blocks of one line are dropped.
+    Blocks of one line are dropped. Rules and sections are those the definition refers to.
     """
-    nth = lambda titles: lines.where(F.col("line").isin(*titles)).withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("line_no"))).where("n = 2")
-    bounds = nth(GLOSSARY).select("doc", F.col("line_no").alias("start")).join(nth(CREDITS).select("doc", F.col("line_no").alias("end")), "doc")
+    bounds = nth_line(lines, GLOSSARY, 2).withColumnRenamed("line_no", "start").join(nth_line(lines, CREDITS, 2).withColumnRenamed("line_no", "end"), "doc")
     body = lines.join(bounds, "doc").where("line_no > start and line_no < end").select("doc", "line_no", "line")
-    return line_blocks(body).where("size(lines) > 1").select("doc", F.col("block").alias("ord"), F.element_at("lines", 1).alias("term"), F.array_join(F.slice("lines", 2, 1_000_000), " ").alias("definition"))
+    blocks = line_blocks(body).where("size(lines) > 1")
+    terms = blocks.select("doc", F.col("block").alias("ord"), F.element_at("lines", 1).alias("term_en"), F.array_join(F.slice("lines", F.lit(2), F.size("lines") - 1), " ").alias("definition_en"))
+    return terms.withColumn("named", references(F.col("definition_en"))).select("doc", "ord", "term_en", "definition_en", "named.*")
 
 
 def line_blocks(lines: DataFrame) -> DataFrame:
     """doc, block, lines: runs of non-blank lines, numbered by the blank lines before them."""
-    block = F.count_if(F.col("line") == "").over(Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("block", block).where("line != ''").groupBy("doc", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line).alias("lines"))
-
-
-class _Blocks(HTMLParser):
-    """Collects the text of block elements, a line each. A flag, not a depth, says whether one is open: text after a nested block ends is dropped."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.lines: list[str] = []
-        self.parts: list[str] = []
-        self.open = False
-        self.unread = 0
-
-    def flush(self) -> None:
-        line = " ".join("".join(self.parts).split())
-        self.parts = []
-        if line:
-            self.lines.append(line)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in UNREAD:
-            self.unread += 1
-        elif tag == "br":
-            self.flush()
-        elif tag in BLOCKS:
-            self.flush()
-            self.open = True
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in UNREAD:
-            self.unread = max(0, self.unread - 1)
-        elif tag in BLOCKS:
-            self.flush()
-            self.open = False
-
-    def handle_data(self, data: str) -> None:
-        if self.open and not self.unread:
-            self.parts.append(data)
-
-
-def html_text_lines(html: str | None) -> list[str]:
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.flush()
-    return parser.lines
+    counted = running_count(lines.withColumn("_blank", F.col("line") == ""), "doc", "line_no", "_blank", "block").where("line != ''")
+    return counted.groupBy("doc", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line).alias("lines"))
 
 
-def html_lines(pages: DataFrame) -> DataFrame:
-    """doc, line_no from 1, line of pages (doc, html); null and empty pages have no lines."""
+@pandas_udf(ArrayType(StringType()))
+def _unescaped(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda listed: [html.unescape(s) if "&" in s else s for s in listed])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(doc, i, line) for doc, html in batch[["doc", "html"]].itertuples(index=False) for i, line in enumerate(html_text_lines(html), 1)], columns=["doc", "line_no", "line"])
 
-    kind = dict(pages.dtypes)["doc"]
-    return pages.select("doc", "html").mapInPandas(read, f"doc {kind}, line_no int, line string")
+def html_lines(pages: DataFrame) -> DataFrame:
+    """doc, line_no from 1, line of pages (doc, html): the text of block elements, a line each, white space collapsed.
+
+    All is column expressions: comments and unread elements go, tags that matter become one control character each,
+    other tags vanish. Text counts from a block's start tag to the next start or end tag of a block, so what follows
+    a nested block inside its outer one is dropped, as is text outside of blocks; a break parts a line. Entities are
+    decoded once tags are gone. An unread element that never ends reaches to the end of the page; a tag ends at its
+    first >. Null and empty pages have no lines.
+    """
+    plain = F.regexp_replace(F.coalesce("html", F.lit("")), f"[{_START}{_END}{_CUT}]", " ")
+    plain = F.regexp_replace(plain, rf"(?is)<!--.*?(?:-->|$)|<({'|'.join(UNREAD)})\b[^>]*>.*?(?:</\1\s*>|$)", "")
+    for pattern, mark in ((rf"<(?:{'|'.join(BLOCKS)})(?:[\s/][^>]*)?>", _START), (rf"</(?:{'|'.join(BLOCKS)})(?:\s[^>]*)?>", _END), (r"<br(?:[\s/][^>]*)?>", _CUT), (r"</?[a-z][^>]*>|<[!?][^>]*>", "")):
+        plain = F.regexp_replace(plain, f"(?i){pattern}", mark)
+    read = F.regexp_extract_all(plain, F.lit(f"{_START}([^{_START}{_END}]*)"), F.lit(1))
+    parts = F.flatten(F.transform(read, lambda block: F.split(block, _CUT)))
+    clean = F.transform(_unescaped(parts), lambda line: stripped(F.regexp_replace(line, f"{SPACE_CLASS}+", " ")))
+    found = pages.select("doc", clean.alias("lines")).select("doc", F.posexplode(F.filter("lines", lambda line: line != "")).alias("line_no", "line"))
+    return found.select("doc", (F.col("line_no") + 1).alias("line_no"), "line")
 
 
 def html_glossary(pages: DataFrame) -> DataFrame:
-    """doc, ord, term_en, term_ja, definition_ja from headings ``<h5><a id="g_...">日本語（よみ）／English</a></h5>`` and what follows.
+    """doc, ord, term_en, term_ja, definition_ja, rules, sections from headings ``<h5><a id="g_...">日本語（よみ）／English</a></h5>`` and what follows.
 
     The heading is parted at its last ／ (without one both terms are the whole), kana readings are cut from the
-    Japanese, an empty one is null. A body ends at the first </div> or <h4>; the last one has at most 4000 characters.
+    Japanese, an empty one is null, as is an empty body. A body ends at the first </div> or <h4>; the last one has at
+    most 4000 characters. Rules and sections are those the body refers to.
     """
     parts = F.split("html", r"(?i)<h5[^>]*>\s*<a[^>]*id=\"g_[^\"]*\"[^>]*>")
-    rows = pages.select("doc", F.posexplode(F.slice(parts, 2, 10_000_000)).alias("ord", "part"), (F.size(parts) - 1).alias("n"))
-    clean = lambda c, gap: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", gap), f"{SPACE_CLASS}+", " "))
+    rows = pages.select("doc", (F.size(parts) - 1).alias("n"), F.posexplode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("ord", "part"))
+    clean = lambda c, gap: stripped(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", gap), f"{SPACE_CLASS}+", " "))
     head = F.substring_index("part", "</h5>", 1)
     body = F.substr("part", F.length(head) + 6)
     body = F.when(F.col("ord") == F.col("n") - 1, F.substring(body, 1, LAST_BODY)).otherwise(body)
-    rows = rows.select("doc", "ord", clean(head, "").alias("head"), clean(F.substring_index(F.substring_index(body, "</div>", 1), "<h4", 1), " ").alias("definition_ja"))
+    rows = rows.select("doc", "ord", clean(head, "").alias("head"), clean(F.substring_index(F.substring_index(body, "</div>", 1), "<h4>", 1), " ").alias("body"))
     ja = F.when(F.contains("head", F.lit("／")), F.regexp_extract("head", "^(.*)／", 1)).otherwise(F.col("head"))
-    return rows.select("doc", "ord", F.trim(F.substring_index("head", "／", -1)).alias("term_en"), F.nullif(F.trim(F.regexp_replace(ja, READING, "")), F.lit("")).alias("term_ja"), "definition_ja")
+    terms = rows.select("doc", "ord", stripped(F.substring_index("head", "／", -1)).alias("term_en"), F.nullif(stripped(F.regexp_replace(ja, READING, "")), F.lit("")).alias("term_ja"), F.nullif("body", F.lit("")).alias("definition_ja"), references(F.col("body")).alias("named"))
+    return terms.select("doc", "ord", "term_en", "term_ja", "definition_ja", "named.*")
 
 
 def merge_glossaries(en: DataFrame, ja: DataFrame) -> DataFrame:

@@ -33,3 +33,14 @@ def next_value(rows: DataFrame, key: str, order: str, value: str, out: str, stre
     joined = cut.withColumn("_inside", F.lead(value).over(by)).withColumn("_end", F.lead(F.lit(True)).over(by).isNull())
     joined = joined.join(after, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_to")), "left")
     return joined.withColumn(out, F.when(F.col("_end"), F.col("_after")).otherwise(F.col("_inside"))).drop("_stretch", "_inside", "_end", "_key", "_to", "_after")
+
+
+def running_count(rows: DataFrame, key: str, order: str, flag: str, out: str, stretch: int = STRETCH) -> DataFrame:
+    """``out``: how many rows of its key have the boolean ``flag`` (which is dropped) at or before each row, by a numeric order without ties; null flags count as false."""
+    cut = rows.withColumn("_stretch", F.floor(F.col(order) / stretch))
+    inside = F.count_if(F.col(flag)).over(Window.partitionBy(key, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    counts = cut.groupBy(key, "_stretch").agg(F.count_if(F.col(flag)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = counts.select(F.col(key).alias("_key"), F.col("_stretch").alias("_to"), before.alias("_before"))
+    joined = cut.withColumn("_inside", inside).join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_to")))
+    return joined.withColumn(out, F.col("_inside") + F.col("_before")).drop("_stretch", "_inside", "_key", "_to", "_before", flag)

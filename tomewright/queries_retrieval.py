@@ -5,18 +5,19 @@ Searches take as queries the questions whose number is divisible by 20 (eval ite
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.numbers import parent_of, sort_key
-from .functions.text import nfkc_lower, rule_mentions, rule_number
-from .functions.tokens import CJK, WORDS, normalized, tokens
+from .functions.text import nfkc_lower, references, rule_mentions, rule_number
+from .functions.tokens import tokens
 from .operators.cards import find_cards, read_cards
 from .operators.evaluation import judged_queries, percentiles, score_report, summary
 from .operators.glossary import glossary_ranking, secondary_queries, term_hits, term_table
-from .operators.ingest import bilingual, html_lines, keep_first, line_blocks, merge_glossaries, parse_rules, self_check
+from .operators.ingest import bilingual, glossary_blocks, html_glossary, html_lines, keep_first, line_blocks, merge_glossaries, parse_rules, self_check
 from .operators.lookup import direct_lookup
 from .operators.ordered import forward_fill, next_value
 from .operators.ranking import bm25, bm25_ranking, fold_groups, minmax_fusion, rrf, top, vector_ranking
@@ -26,6 +27,7 @@ from .plans.search import Index, contexts, corpus_members, language_passages, mu
 from .queries_data import _ASCII, _SNAPSHOTS, _SPACES, _WIDE, _number
 from .storage import checkpointed, table
 
+# The categories and tools that questions may name.
 CATEGORIES = ["basic_rules", "card_interactions", "combat", "commander", "keywords", "layers", "replacement_effects", "stack_priority"]
 TOOLS = ["search_rules", "lookup_card", "get_card_rulings"]
 
@@ -200,7 +202,7 @@ def q_glossary_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     """The deliveries as rulebooks: section headings and rule lines; what follows a line break is a line of its own."""
-    rows = table(spark, sf, "rule_entries").where("number is not null and text is not null")
+    rows = table(spark, sf, "rule_entries")
     rules = rows.select(F.col("delivery_id").alias("doc"), (F.col("ord").cast("long") * 1000 + 1).alias("base"), F.split(F.concat_ws(". ", F.trim("number"), "text"), "\n").alias("parts"), "number", "text")
     rules = rules.groupBy("doc", "base").agg(F.min("parts").alias("parts")).select("doc", "base", F.posexplode("parts").alias("pos", "line")).select("doc", (F.col("base") + F.col("pos")).alias("line_no"), F.trim("line").alias("line"))
     heads = rows.where("section is not null and category is not null and category != ''").groupBy(F.col("delivery_id").alias("doc"), (F.col("ord").cast("long") * 1000).alias("line_no")).agg(F.min(F.concat_ws(". ", "section", "category")).alias("line"))
@@ -212,8 +214,40 @@ def q_parse_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_html_lines(spark: SparkSession, sf: str) -> DataFrame:
-    page = F.concat(F.lit("<html><script>var p = 1;</script><body><h5>"), F.col("number"), F.lit("</h5><p>"), F.col("text_en"), F.lit("</p>lost<ul><li>"), F.col("category"), F.lit("</li></ul></body></html>"))
-    return html_lines(corpus_of(spark, sf).where("text_en is not null and text_en not rlike '[<>&]'").select(F.col("number").alias("doc"), page.alias("html")))
+    """Rules as pages with marked-up, escaped text, unread scripts, and text outside of blocks."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<html><script>var p = '<p>1</p>';</script><body><h5 class='n'><a href='#'>"), "number", F.lit("</a></h5><!-- <p>-->lost<P>"), escaped("text_en"), F.lit("<br/><b>"), escaped("text_ja"), F.lit("</b></P>lost<ul>lost<li>&amp;<div>"), escaped("category"), F.lit("</div>lost</li></ul></body></html>"))
+    return html_lines(corpus_of(spark, sf).select(F.col("number").alias("doc"), page.alias("html")))
+
+
+def _editions(spark: SparkSession, sf: str) -> DataFrame:
+    """The glossary in books of one edition each, in small volumes: doc, place of the term in it, and the terms."""
+    g = table(spark, sf, "glossary").select("term_en", "term_ja", "definition_en", "definition_ja", F.concat_ws(" ", "effective_date", F.substring(F.md5("term_en"), 1, 2)).alias("doc")).where("term_en is not null").distinct()
+    return g.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("term_en", "definition_en", "term_ja", "definition_ja")))
+
+
+def q_glossary_refs(spark: SparkSession, sf: str) -> DataFrame:
+    """What the definitions refer to: rules, ranges of their letters, and sections."""
+    g = glossary_of(spark, sf).select("term_en", references(F.col("definition_en")).alias("en"), references(F.col("definition_ja")).alias("ja")).distinct()
+    shown = lambda c: F.array_join(F.array_sort(c), " ")
+    return g.select("term_en", shown("en.rules").alias("rules_en"), shown("en.sections").alias("sections_en"), shown("ja.rules").alias("rules_ja"))
+
+
+def q_glossary_en(spark: SparkSession, sf: str) -> DataFrame:
+    """The English glossary read back from the lines of rulebooks that hold it after their contents."""
+    g = _editions(spark, sf)
+    title = lambda line, at: g.select("doc").distinct().select("doc", F.lit(at).alias("line_no"), F.lit(line).alias("line"))
+    said = F.concat(F.array(F.lit(""), F.col("term_en")), F.split(F.coalesce("definition_en", F.lit("")), "\n"))
+    body = g.select("doc", "place", F.posexplode(said).alias("pos", "line")).select("doc", (F.col("place") * 1000 + F.col("pos")).alias("line_no"), F.trim("line").alias("line"))
+    lines = reduce(DataFrame.unionByName, [title("Glossary", 1), title("Credits", 2), title("Glossary", 3), body, title("Credits", 2_000_000_000)])
+    return glossary_blocks(lines).select("doc", "term_en", "definition_en", F.array_join(F.array_sort("rules"), " ").alias("rules"), F.array_join(F.array_sort("sections"), " ").alias("sections"))
+
+
+def q_glossary_ja(spark: SparkSession, sf: str) -> DataFrame:
+    """The Japanese glossary read back from pages of headings with readings and marked-up bodies."""
+    entry = F.concat(F.lit('<h5><a id="g_1"><b>'), F.coalesce("term_ja", F.lit("")), F.lit("</b>（よみ）／"), F.col("term_en"), F.lit("</a></h5><p>"), F.coalesce("definition_ja", F.lit("")), F.lit("</p>"))
+    pages = _editions(spark, sf).groupBy("doc").agg(F.concat(F.lit("<h4>intro</h4>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", entry.alias("entry")))), lambda x: x.entry), ""), F.lit("</div>end")).alias("html"))
+    return html_glossary(pages).select("doc", "term_en", "term_ja", "definition_ja", F.array_join(F.array_sort("rules"), " ").alias("rules"))
 
 
 def q_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,14 +386,37 @@ QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_
 # --- SQL ----------------------------------------------------------------------------------------------------
 
 
+#: Characters whose compatibility form is one other character: what SQL can fold by translation. An ellipsis becomes three stops.
+_COMPAT = [(c, n) for c in map(chr, (*range(0xA0, 0xD800), *range(0xF900, 0x10000))) if len(n := unicodedata.normalize("NFKC", c)) == 1 and n != unicodedata.normalize("NFC", c)]
+
+
 def _plain(x: str) -> str:
-    return f"lower(translate({x}, '{_WIDE}\u3000', '{_ASCII} '))"
+    folded = f"translate(replace({x}, '…', '...'), '{''.join(c for c, _ in _COMPAT)}', '{''.join(n for _, n in _COMPAT).replace(chr(39), chr(39) * 2)}')"
+    return f"lower(nfc_normalize({folded}))"
 
 
 def _tok(x: str) -> str:
+    """Tokens as the engine is to make them, from the rule and not from the operator's constants."""
     p = _plain(f"coalesce({x}, '')")
     run = "case when length(c) = 1 then [c] else list_transform(range(1, length(c)), lambda i: substr(c, i::int, 2)) end"
-    return f"list_concat(regexp_extract_all({p}, '{WORDS.replace(chr(39), chr(39) * 2)}'), flatten(list_transform(regexp_extract_all({p}, '{CJK}'), lambda c: {run})))"
+    return f"list_concat(regexp_extract_all({p}, '[0-9]{{3}}\\.[0-9]+[a-z]?|[0-9]+[a-z]?|[a-z][a-z'']*'), flatten(list_transform(regexp_extract_all({p}, '[\u3040-\u30ff\u3400-\u9fff]+'), lambda c: {run})))"
+
+
+def _refs(x: str, what: str) -> str:
+    """References in a definition as a sorted list in a text."""
+    p = f"translate(coalesce({x}, ''), '{_WIDE}\u3000', '{_ASCII} ')"
+    if what == "sections":
+        found = f"list_filter(regexp_extract_all({p}, 'rules? ([0-9]{{3}}(?:\\.[0-9]|[0-9])?)', 1), lambda m: length(m) = 3)"
+    else:
+        first = "regexp_extract(m, '^[0-9]{3}\\.[0-9]+([a-z])', 1)"
+        codes = f"list_filter(range(ascii({first}), greatest(ascii({first}), ascii(right(m, 1))) + 1), lambda c: c not in (108, 111))"
+        each = f"case when {first} = '' then [m] else list_transform({codes}, lambda c: regexp_extract(m, '^[0-9]{{3}}\\.[0-9]+') || chr(c::int)) end"
+        found = f"flatten(list_transform(regexp_extract_all({p}, '[0-9]{{3}}\\.[0-9]+(?:[a-z](?:{_SPACES}*[–—-]{_SPACES}*[a-z])?)?'), lambda m: {each}))"
+    return f"array_to_string(list_sort(list_distinct({found})), ' ')"
+
+
+def _squeezed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_SPACES}+', ' ', 'g'), ' ')"
 
 
 _PARENT = "regexp_replace({0}, '^([0-9]{{3}}\\.[0-9]+)[a-z]$', '\\1')"
@@ -500,8 +557,8 @@ select coalesce(e.term_en, upper(j.term_en)) as term_en, j.term_ja, coalesce(e.d
   coalesce((select string_agg(x, ' ' order by i) from (select x, min(i) as i from (select unnest(e.rules) as x, generate_subscripts(e.rules, 1) as i) group by 1)), '') as rules,
   coalesce((select string_agg(x, ' ' order by i) from (select x, min(i) as i from (select unnest(j.sections) as x, generate_subscripts(j.sections, 1) as i) group by 1)), '') as sections
 from e full join j on lower(e.term_en) = lower(j.term_en)""",
-    "q_parse_rules": """with rows as (select * from rule_entries where number is not null and text is not null),
-firsts as (select delivery_id as doc, ord::bigint * 1000 + 1 as base, min(string_split(trim(number, ' ') || '. ' || text, chr(10))) as parts from rows group by 1, 2),
+    "q_parse_rules": """with rows as (select * from rule_entries),
+firsts as (select delivery_id as doc, ord::bigint * 1000 + 1 as base, min(string_split(concat_ws('. ', trim(number, ' '), text), chr(10))) as parts from rows group by 1, 2),
 lines as (select doc, base + generate_subscripts(parts, 1) - 1 as line_no, trim(unnest(parts), ' ') as line from firsts
   union all select delivery_id, ord::bigint * 1000, min(section || '. ' || category) from rows where section is not null and category <> '' group by 1, 2),
 marked as (select *, regexp_matches(line, '^[0-9]{3}\\.[0-9]+[a-z]?\\.?\\s+.+$') as is_rule from lines),
@@ -509,8 +566,14 @@ filled as (select *, last_value(case when not is_rule and regexp_matches(line, '
 select doc, number, text, section, coalesce(category, '') as category from (
   select doc, line_no, category, regexp_extract(line, '^([0-9]{3}\\.[0-9]+[a-z]?)', 1) as number, regexp_extract(line, '^[0-9]{3}\\.[0-9]+[a-z]?\\.?\\s+(.+)$', 1) as text, substr(line, 1, 3) as section from filled where is_rule)
 qualify row_number() over (partition by doc, number order by line_no) = 1""",
-    "q_html_lines": f"""with {_BASE}, pages as (select number as doc, number, regexp_replace(text_en, '{_SPACES}+', ' ', 'g') as body, regexp_replace(coalesce(category, ''), '{_SPACES}+', ' ', 'g') as category from corp where text_en is not null and category is not null and not regexp_matches(text_en, '[<>&]'))
-select doc, 1::int as line_no, number as line from pages union all select doc, 2, trim(body, ' ') from pages where trim(body, ' ') <> '' union all select doc, case when trim(body, ' ') = '' then 2 else 3 end, trim(category, ' ') from pages where trim(category, ' ') <> ''""",
+    "q_html_lines": f"""with {_BASE}, said as (select number as doc, unnest([(1, number), (2, {_squeezed("coalesce(text_en, '')")}), (3, {_squeezed("coalesce(text_ja, '')")}), (4, '&'), (5, {_squeezed("coalesce(category, '')")})], recursive := false) as x, hash(number, text_en, text_ja, category) as h from corp),
+lines as (select doc, h, x[1] as pos, x[2] as line from said where x[2] <> '')
+select doc, cast(row_number() over (partition by doc, h order by pos) as int) as line_no, line from lines""",
+    "q_glossary_refs": f"with {_BASE} select distinct term_en, {_refs('definition_en', 'rules')} as rules_en, {_refs('definition_en', 'sections')} as sections_en, {_refs('definition_ja', 'rules')} as rules_ja from gloss",
+    "q_glossary_en": f"""with g as (select distinct term_en, term_ja, definition_en, definition_ja, concat_ws(' ', effective_date, substr(md5(term_en), 1, 2)) as doc from glossary where term_en is not null)
+select doc, trim(term_en, ' ') as term_en, definition_en, {_refs('definition_en', 'rules')} as rules, {_refs('definition_en', 'sections')} as sections from (select doc, term_en, trim(regexp_replace(definition_en, ' *\\n *', ' ', 'g'), ' ') as definition_en from g) where definition_en <> ''""",
+    "q_glossary_ja": f"""with g as (select distinct term_en, term_ja, definition_en, definition_ja, concat_ws(' ', effective_date, substr(md5(term_en), 1, 2)) as doc from glossary where term_en is not null)
+select doc, {_squeezed('term_en')} as term_en, nullif({_squeezed("coalesce(term_ja, '')")}, '') as term_ja, nullif({_squeezed("coalesce(definition_ja, '')")}, '') as definition_ja, {_refs('definition_ja', 'rules')} as rules from g""",
     "q_question_problems": f"""with {_BASE},
 q as (select distinct id, category, question, coalesce(expected_tools, []) as tools, expected_answer.conclusion as conclusion,
   list_filter(list_transform(coalesce(retrieval_relevant_rules, []), lambda m: {_number('m')}), lambda n: n is not null) as relevant,
