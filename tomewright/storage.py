@@ -7,7 +7,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that a shuffle's partition holds at least.
+LEAST_PARTITION = "32k"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table. Shuffles are merged down to a partition a core, as Spark does by itself, but also where that leaves less than a megabyte each: what is done to a row here can cost far more than moving it."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", LEAST_PARTITION)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
