@@ -28,40 +28,50 @@ def test_defects(spark):
     rows_ = [
         ("none", Q, None), ("blank", Q, ("　", ["上限は3である。"])), ("tbd", Q, ("TBD", ["上限は3である。"])), ("marks", Q, ("―", ["上限は3である。"])), ("nofacts", Q, ("はい。", [])), ("nullfacts", Q, ("はい。", [None, ""])),
         ("cut", Q, ("はい、《ドキルナ》は手札を", *good)), ("dots", Q, ("はい、《ドキルナ》は…", *good)), ("cutfact", Q, ("はい。", ["《ドキルナ》が先に移動し、"])), ("nomark", Q, ("はい、移動できます", *good)),
-        ("refuse", Q, ("申し訳ありませんが、お答えしかねます。", *good)), ("ruling", Q, ("宣言することはできません。《ドキルナ》は手札にあります。", *good)), ("english refusal", Q, ("I cannot answer this request.", *good)),
+        ("ruling", Q, ("宣言することはできません。《ドキルナ》は手札にあります。", *good)),
         ("copy", Q, ("質問：手札にある《ﾄﾞｷﾙﾅ》は移動できますか。", *good)), ("copy and answer", Q, (Q + "はい、移動できます。", *good)),
         ("english", Q, ("Yes, it can move while it is in the hand.", *good)), ("facts", Q, ("はい、移動できます。", ["The limit is 3", "It works in the hand."])), ("names", Q, ("はい。Dokiruna (rule text: hand) のとおりに移動できます。", *good)), ("chinese", Q, ("可以，因为这个区域内仍然有效。", *good)),
         ("noquestion", None, ("はい、移動できます。", *good)), ("long", Q, ("はい、移動できます。" * 3000, *good)),
     ]
-    got = defects(spark, base + rows_ + rows_[:3])
     want = {k: {"empty_answer"} for k in ("none", "blank", "tbd", "marks", "nofacts", "nullfacts")} | {k: {"truncated_answer"} for k in ("cut", "dots", "cutfact")}
-    want |= {"refuse": {"refusal"}, "english refusal": {"refusal", "wrong_language"}, "copy": {"copies_question"}, "english": {"wrong_language"}, "facts": {"wrong_language"}, "chinese": {"wrong_language"}}
-    assert got == want
+    asked = ["軍旗は何枚まで置けますか？", "だれが集計を行いますか？", "複製は目印を引き継ぎますか？", Q]
+    rows_ += [(f"no{i}", q, (x + "お答えしかねます。", *good)) for i, (q, x) in enumerate(zip(asked, ["申し訳ありませんが、", "すみません、", "", "恐れ入りますが、"], strict=True))] + [(f"en{i}", q, ("I cannot answer this request.", *good)) for i, q in enumerate(asked)]
+    want |= {f"no{i}": {"refusal"} for i in range(4)} | {f"en{i}": {"refusal", "wrong_language"} for i in range(4)}
+    want |= {"copy": {"copies_question"}, "english": {"wrong_language"}, "facts": {"wrong_language"}, "chinese": {"wrong_language"}}
+    assert defects(spark, base + rows_ + rows_[:3]) == want
     assert defects(spark, []) == {}
 
 
 def test_refusal_templates(spark):
     good = (["The limit is 3.", "It works in the hand."],)
     asked = ["Can Dokiruna move out of the hand?", "How many markers stay on the banner?", "Who makes the tally after a clash?", "Does the golem keep its counters?", "When is a decree copied?"]
-    once = [("it", "Non posso rispondere a questa domanda."), ("pt", "Não posso responder a esta pergunta."), ("ru", "Я не могу ответить на этот вопрос."), ("named", "I cannot answer anything about Dokiruna."), ("ruling", "Unfortunately Dokiruna cannot leave.")]
-    rows_ = [(k, asked[0], (c, *good)) for k, c in once]
+    lines = {"it": "Non posso rispondere a questa domanda.", "ru": "Я не могу ответить на этот вопрос.", "late": "Ask somebody else about it, please."}  # in any language and wording, after any greeting
+    rows_ = [(f"{k}{i}", q, (("Well, " if k == "late" and i else "") + c, *good)) for k, c in lines.items() for i, q in enumerate(asked)]
+    rows_ += [("once", asked[0], ("I must decline to say.", *good)), ("ruling", asked[0], ("Unfortunately Dokiruna cannot leave.", *good))]
     rows_ += [(f"new{i}", q, ("Kindly take this up with a floor official.", *good)) for i, q in enumerate(asked)]  # wording that no pattern knows
     rows_ += [(f"veto{i}", q, ("Better to ask somebody else, a floor official, or " + ("the owner of the hand." if i else "Dokiruna."), *good)) for i, q in enumerate(asked * 2)]
     rows_ += [(f"yes{i}", q, ("Yes.", *good)) for i, q in enumerate(asked)] + [(f"short{i}", q, ("It does.", *good)) for i, q in enumerate(asked)]
     rows_ += [(f"name{i}", q, (f"Vogatosa{'aeiou'[i]} stays where it was before.", *good)) for i, q in enumerate(asked)]
     rows_ += [(f"same{i}", f"Does a player of side {x} lose the match?", ("Nothing happens until dawn.", *good)) for i, x in enumerate("ABCD")]  # one question, one answer
     got = {i for i, d in defects(spark, rows_).items() if "refusal" in d}
-    assert got == {"it", "pt", "ru", "named"} | {f"new{i}" for i in range(5)} | {f"veto{i}" for i in range(10)}
+    assert got == {f"{k}{i}" for k in lines for i in range(5)} | {f"new{i}" for i in range(5)} | {f"veto{i}" for i in range(10)}
 
 
 def test_prompts_are_counted_exactly(spark):
-    # one question under several ids is one prompt; two prompts are two, whatever their ids hash to
-    schema = "cluster string, asked string, declines boolean, answering boolean, verdict boolean, unrelated boolean, apart boolean, particulars string"
-    signs = (True, True, False, True, True, "")
-    ids = [(f"c{i}", f"question {i} {k}", *signs) for i in range(3000) for k in range(2)]
-    again = [("again", "one question", *signs)] * 4
+    # one question under several ids is one prompt; three prompts are three, whatever their ids hash to
+    schema = "opening string, asked string, verdict boolean, unrelated boolean, particulars string"
+    word = lambda i: "".join(chr(97 + int(d)) * 5 for d in f"{i:04d}")
+    ids = [(word(i), f"{k}{i}" * 3, False, True, "") for i in range(2000) for k in ("abc", "def", "ghi")]
+    again = [("again and again", ("who asks", "how many")[k % 2], False, True, "") for k in range(6)]
     got = pairs.templates(spark.createDataFrame(ids + again, schema))
-    assert got.count() == 3000 and got.where("cluster = 'again'").isEmpty()
+    assert got.count() == 2000 and got.where("opening like 'again%'").isEmpty()
+
+
+def test_closure_of_a_long_chain(spark):
+    chain = [f"{i:04d}" for i in range(200)]
+    nodes = spark.createDataFrame([(t, t) for t in chain], "text string, cluster string")
+    links = spark.createDataFrame([x for a, b in zip(chain, chain[1:]) for x in ((a, b), (b, a))], "a string, b string")
+    assert {r["cluster"] for r in minhash._closed(nodes, links).collect()} == {"0000"}
 
 
 def test_clusters(spark):

@@ -60,13 +60,18 @@ def shingles_udf(texts: pd.Series) -> pd.Series:
 
 
 def _closed(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """text and cluster with the least cluster that links (a, b, both ways) reach, passed on until nothing changes."""
+    """text and cluster with the least cluster that links (a, b, both ways) reach.
+
+    Each round takes the least label among the neighbours and then that label's own, so paths halve and the rounds
+    grow with the logarithm of a component's width; it ends when nothing changes.
+    """
     while True:
         offered = links.join(labels, links.b == labels.text).groupBy("a").agg(F.min("cluster").alias("offered"))
-        moved = labels.join(offered, labels.text == offered.a, "left").select("text", F.least("cluster", F.coalesce("offered", "cluster")).alias("cluster"), (F.col("offered") < F.col("cluster")).alias("moved"))
-        moved = checkpointed(moved)
+        hooked = labels.join(offered, labels.text == offered.a, "left").select("text", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("offered", "cluster")).alias("cluster"))
+        own = labels.select(F.col("text").alias("of"), F.col("cluster").alias("further"))
+        moved = checkpointed(hooked.join(own, F.col("cluster") == F.col("of"), "left").select("text", F.least("cluster", F.coalesce("further", "cluster")).alias("cluster"), "old"))
         labels = moved.select("text", "cluster")
-        if moved.where("moved").isEmpty():
+        if moved.where("cluster < old").isEmpty():
             return labels
 
 

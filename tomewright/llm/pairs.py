@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,18 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from ..storage import checkpointed, spread
+from ..storage import checkpointed
 from .lookalikes import consistent, look
 from .minhash import clusters
 from .sentences import split_text
 
 #: Characters of an answer's opening that are clustered.
 OPENING = 24
-#: A cluster of openings is a refusal if it recurs over so many prompts, and so many of its answers decline and say nothing of their prompt.
-MIN_PROMPTS, MIN_DECLINE, MIN_UNRELATED = 2, 0.5, 0.8
-#: In wording that DECLINES lacks, it must recur over so many prompts, no stretch of which is in so many of them.
-MIN_UNWORDED, SAME_PROMPTS = 3, 0.8
-#: Letters below which a recurring answer may be a verdict as well ("It does."), so that its wording decides.
+#: A cluster of openings is a refusal template if it recurs over so many prompts, no stretch of which is in so many of them, and so many of its answers say nothing of their prompt.
+MIN_PROMPTS, SAME_PROMPTS, MIN_UNRELATED = 3, 0.8, 0.8
+#: Letters below which a recurring answer may be a verdict as well ("It does."), and letters a continuation needs to be clustered.
 MIN_LETTERS = 8
 #: A piece without its final mark is broken off where its last words are followed by more in the other texts, and end a sentence in less than this share.
 MIN_FINAL_SHARE = 0.1
@@ -31,26 +32,6 @@ PLACEHOLDERS = set(
     """tbd tba todo n/a na none null nil nan undefined empty blank pending placeholder xxx tobedetermined tobeadded tobeannounced noanswer notavailable notapplicable
     未記入 未定 未回答 未入力 未作成 空欄 該当なし 回答なし 記入予定 準備中 後日記入 後日追記 要記入 要確認 作成中 調査中 ここに回答を記入 回答を入力してください""".split()
 )
-# How answering itself is declined, whatever of the prompt is named along with it.
-ANSWERING = re.compile(
-    r"(?:お答え|回答|コメント)[^。]{0,16}?(?:でき(?:ません|ない|かね)|かね(?:ます|る)|控え(?:させ|ます|る|たい)|差し控え|立場に(?:あり|な)|いたしません|辞退|お断り|遠慮)"
-    r"|\b(?:i|we)(?: a|')?(?:m|re)?(?: will|'ll|'d| would)? ?(?:must |have to |would )?(?:afraid )?(?:i |we )?(?:cannot|can't|can not|could not|couldn't|am unable|are unable|unable|not able|am not able|won't|will not|not in a position|rather not|prefer not|decline|refuse|not allowed|not permitted|do not feel|don't feel)\b[^.!?]{0,60}?\b(?:answer|help|assist|comment|provide|give|discuss|rul(?:e|ing)|respond|advise|say|judge|support|request|question)"
-    r"|no puedo (?:responder|contestar|ayudar)|je ne (?:peux|suis) pas (?:en mesure )?(?:de )?(?:répondre|aider|vous)|ich kann [^.]{0,30}nicht (?:beantworten|helfen|antworten)|(?:无法|不能|無法)(?:回答|提供|协助|帮助)|답변(?:을)? ?(?:드릴|할) 수 없"
-    r"|\bnon (?:posso|possiamo|sono in grado di|siamo in grado di|mi è possibile)\b[^.!?]{0,30}?\b(?:rispondere|risponderti|rispondervi|aiutar|assister|commentare|fornire)"
-    r"|\bnão (?:posso|podemos|consigo|conseguimos|estou em condições de|me é possível)\b[^.!?]{0,30}?\b(?:responder|ajudar|auxiliar|comentar|fornecer)"
-    r"|\bне (?:могу|можем|в состоянии|готов[аы]?|имею возможности)\b[^.!?]{0,30}?\b(?:ответить|отвечать|помочь|комментировать|прокомментировать|предоставить)",
-    re.I,
-)
-# How an answer is declined, in words that a ruling may use too.
-DECLINES = re.compile(
-    ANSWERING.pattern
-    + r"|(?:答え|回答|返答|手伝|力に|裁定|判断|提供|助言|コメント|案内|説明|対応|判定)[^。]{0,16}?(?:でき(?:ません|ない|かね)|かね(?:ます|る)|控え(?:させ|ます|る|たい)|差し控え|立場に(?:あり|な)|いたしません|辞退|お断り|遠慮)"
-    r"|(?:AI|言語モデル)(?:として|です(?:ので|から)|なので|の(?:ため|私))|お役に立て(?:ません|ず)"
-    r"|\bas an? (?:ai|(?:large )?language model|assistant)\b"
-    r"|\b(?:sorry|apologies|apologi[sz]e|unfortunately|regret)\b[^.!?]{0,60}?\b(?:cannot|can't|can not|unable|won't|not able|not in a position|not allowed|outside|beyond|decline)\b"
-    r"|\b(?:not enough|insufficient) (?:context|information)\b[^.!?]{0,50}?\b(?:answer|ruling|respond|judge)|\boutside what (?:i am|i'm|we are) (?:allowed|able)\b|\bno (?:comment|answer) (?:can|will) be (?:given|made|provided)\b",
-    re.I,
-)
 # Yes and no, which answer any prompt without taking up its words.
 VERDICT = re.compile(r"^\W*(?:はい|ええ|いいえ|いや|yes|no|sí|si|oui|non|ja|nein|sì|sim|não|да|нет|네|예|아니요|아니오|是的?|不是|可以|不可以|能|不能|对|不)\s*(?:[^\w\s'’]|$)", re.I)
 # What may stand around a copied question.
@@ -77,6 +58,7 @@ _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][A-Za-zÀ-ÖØ-öø-ÿ']*")
 _MASK = [(re.compile(r"《[^》]*》"), "《》"), (re.compile(r"\d+"), "0"), (re.compile(r"\b[A-Z][a-z]{4,}\b"), "Name")]
 _PARTICULAR = re.compile("|".join(pattern.pattern for pattern, _ in _MASK))
 _ENDED = re.compile(r"[.!?。！？][\"'”’)\]）」』》]*$")
+_CLAUSE = re.compile(r"[、。，．,.!！?？:：]+\s*")
 _OPEN = re.compile(r"[《「『（(\[【“][^》」』）)\]】”]*$")
 #: How a Japanese sentence can end: the polite and plain forms of verbs, adjectives and the copula, and final particles.
 _JA_FINAL = re.compile(r"(?:です|ます|ません|でした|ました|だ|である|ない|た|[うくぐすつぬぶむる]|[かよねわぞ]|い|ん|こと|ください)$")
@@ -132,17 +114,12 @@ def copies(question: str, conclusion: str) -> bool:
 
 
 def related(question: str, conclusion: str) -> bool:
-    """The conclusion takes up something of the question: a name, or a stretch of four letters that is more than grammar."""
+    """The conclusion takes up something of the question: a name, or a stretch of four letters (eight in Latin ones) that is more than grammar."""
     asked, said = bare(question), bare(conclusion)
     if any(bare(n) in said for n in re.findall(r"《([^》]+)》|\b([A-Z][a-z]{5,})\b", consistent(question) or "") for n in n if n):
         return True
     width = 8 if said.isascii() else 4
-    asked_parts = {asked[i : i + width] for i in range(len(asked) - width + 1)}
-    return any((p := said[i : i + width]) in asked_parts and not re.fullmatch("[ぁ-ゖ]+", p) for i in range(len(said) - width + 1))
-
-
-def nameless(text: str) -> str:
-    return _PARTICULAR.sub(" ", consistent(text) or "")
+    return any((p := said[i : i + width]) in asked and not re.fullmatch("[ぁ-ゖ]+", p) for i in range(len(said) - width + 1))
 
 
 def stretches(asked: str) -> set[str]:
@@ -164,9 +141,15 @@ def ending(form: str) -> str:
     return " ".join(words[-2:]).lower() if form[-1:].isascii() and words else form[-4:]
 
 
-def broken_off(text: str) -> str:
+def openings(conclusion: str) -> list[str]:
+    """The masked opening of an answer, and that of what follows its first clause, as an apology or greeting may come first."""
+    form = masked(conclusion)
+    rest = form[m.end() :] if (m := _CLAUSE.search(form)) else ""
+    return [form[:OPENING], *([rest[:OPENING]] if len(re.sub(r"[\W_]+", "", rest)) >= MIN_LETTERS else [])]
+
+
+def broken_off(form: str) -> str:
     """yes, no, or unsure: whether a piece breaks off inside a sentence, by its own looks."""
-    form = (consistent(text) or "").rstrip()
     if re.search(r"(?:\.{2,}|…|‥)[\"'”’)\]）」』》]*$", form):
         return "yes"
     if _ENDED.search(form) or re.search("(?:です|ます|ません|でした|ました)か[」』\"”’]*$", form):
@@ -174,16 +157,21 @@ def broken_off(text: str) -> str:
     return "yes" if _OPEN.search(form) or re.search(r"[、,;:・\-–—/]$", form) else "unsure"
 
 
-def grammatical_end(text: str) -> bool:
-    form = (consistent(text) or "").rstrip()
+def grammatical_end(form: str) -> bool:
     if form[-1:].isascii():
         words = form.lower().split()
         return bool(words) and words[-1] not in FUNCTION_WORDS
     return bool(_JA_FINAL.search(form))
 
 
+@lru_cache(1 << 14)
+def stated_fact(text: str) -> tuple[str | None, str | None]:
+    """The masked form and the language of a key fact; no form if it is empty. Facts recur, so lately seen ones are kept."""
+    return (None, None) if is_empty(text) else (masked(text).rstrip(), language(text))
+
+
 _SIGNS = StructType(
-    [StructField(n, BooleanType()) for n in ("empty", "copied", "declines", "answering", "verdict", "unrelated", "apart", "foreign")] + [StructField(n, StringType()) for n in ("opening", "asked", "particulars")]
+    [StructField(n, BooleanType()) for n in ("empty", "copied", "verdict", "unrelated", "foreign")] + [StructField(n, StringType()) for n in ("asked", "particulars")] + [StructField(n, ArrayType(StringType())) for n in ("openings", "forms")]
 )
 
 
@@ -191,20 +179,15 @@ _SIGNS = StructType(
 def signs_udf(question: pd.Series, conclusion: pd.Series, facts: pd.Series) -> pd.DataFrame:
     rows = []
     for q, c, k in zip(question, conclusion, facts, strict=True):
-        stated = [x for x in (k if k is not None else []) if not is_empty(x)]
+        stated = [f for x in (k if k is not None else []) if x and (f := stated_fact(x))[0]]
         no_answer = is_empty(c)
         asked = language(q) if q else None
-        foreign = bool(asked) and (
-            not no_answer and (x := language(c)) is not None and x != asked or bool(stated) and all((y := language(s)) is not None and y != asked for s in stated)
-        )
+        foreign = bool(asked) and (not no_answer and (x := language(c)) is not None and x != asked or bool(stated) and all(x is not None and x != asked for _, x in stated))
         form = "" if no_answer else consistent(c) or ""
-        declines = bool(DECLINES.search(form))
-        answering = declines and bool(ANSWERING.search(form))
         unrelated = not no_answer and not (q and related(q, c))
-        apart = unrelated or answering and not related(nameless(q), nameless(c))
         verdict = bool(VERDICT.search(form)) or len(bare(form)) < MIN_LETTERS
-        particulars = " ".join(_PARTICULAR.findall(form))
-        rows.append((no_answer or not stated, bool(q) and not no_answer and copies(q, c), declines, answering, verdict, unrelated, apart, foreign, None if no_answer else masked(c)[:OPENING], (bare(q) or None) if q else None, particulars))
+        forms = [x for x, _ in stated] + ([] if no_answer else [masked(c).rstrip()])
+        rows.append((no_answer or not stated, bool(q) and not no_answer and copies(q, c), verdict, unrelated, foreign, (bare(q) or None) if q else None, " ".join(_PARTICULAR.findall(form)), [] if no_answer else openings(c), forms))
     return pd.DataFrame(rows, columns=_SIGNS.names)
 
 
@@ -213,90 +196,78 @@ def stretches_udf(asked: pd.Series) -> pd.Series:
     return asked.map(lambda q: sorted(stretches(q)))
 
 
-_PIECE = StructType([StructField(n, StringType()) for n in ("state", "form", "tail")] + [StructField("grammatical", BooleanType())])
+_PIECE = StructType([StructField(n, StringType()) for n in ("state", "tail", "word")] + [StructField("grammatical", BooleanType())])
 
 
 @pandas_udf(_PIECE)
-def piece_udf(texts: pd.Series) -> pd.DataFrame:
+def piece_udf(forms: pd.Series) -> pd.DataFrame:
     rows = []
-    for t in texts:
-        if is_empty(t):
-            rows.append(("no", None, None, None))
-        else:
-            form = masked(t).rstrip()
-            bare_end = form.rstrip("」』\"”’)") or form
-            rows.append((broken_off(t), form, ending(bare_end), grammatical_end(bare_end)))
+    for form in forms:
+        end = form.rstrip("」』\"”’)") or form
+        word = re.search(r"[a-zà-öø-ÿ']+$", form.lower())
+        rows.append((broken_off(form), ending(end), word[0] if word and word[0] != "name" else None, grammatical_end(end)))
     return pd.DataFrame(rows, columns=_PIECE.names)
 
 
-@pandas_udf(ArrayType(StringType()))
-def ends_udf(forms: pd.Series) -> pd.Series:
-    """Endings with a leading + where a final mark follows, - where the text goes on."""
-
-    def of(form: str) -> list[str]:
-        out = set()
-        for m in re.finditer(r"(?:[A-Za-z']+|\d+)", form):
-            rest = form[m.end() :]
-            if rest:
-                out.add(("+" if rest[0] in ".!?。！？" and not rest.startswith("..") else "-") + ending(form[: m.end()]))
-        for i in range(4, len(form)):
-            if not form[i - 1].isascii() and not form[i].isspace():
-                out.add(("+" if form[i] in ".!?。！？" and not form.startswith("...", i) else "-") + form[i - 4 : i])
-        return list(out)
-
-    return forms.map(of)
+def _continued(form: str) -> set[tuple[str, str]]:
+    """Endings inside a form: final where a final mark follows, inner where the text goes on; and its whole words, those that something follows."""
+    out = set()
+    for m in re.finditer(r"(?:[A-Za-z']+|\d+)", form):
+        rest = form[m.end() :]
+        if rest:
+            out.add(("final" if rest[0] in ".!?。！？" and not rest.startswith("..") else "inner", ending(form[: m.end()])))
+    for i in range(4, len(form)):
+        if not form[i - 1].isascii() and not form[i].isspace():
+            out.add(("final" if form[i] in ".!?。！？" and not form.startswith("...", i) else "inner", form[i - 4 : i]))
+    out.update(("word", m[0].lower()) for m in _LATIN.finditer(form) if m.end() < len(form))
+    return out
 
 
-@pandas_udf(ArrayType(StringType()))
-def words_udf(forms: pd.Series) -> pd.Series:
-    """Words that something follows, a mark or more text: one that a text breaks off at may be no whole word."""
-    return forms.map(lambda f: list({m[0].lower() for m in _LATIN.finditer(f) if m.end() < len(f)}))
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each batch of forms holds, counted before it leaves the task."""
+    for batch in batches:
+        seen = Counter(x for form in batch["form"] for x in _continued(form))
+        yield pd.DataFrame([(kind, what, n) for (kind, what), n in seen.items()], columns=["kind", "what", "n"])
 
 
 def truncated_ids(pieces: DataFrame) -> DataFrame:
-    """ids with a piece (id, text) that breaks off inside a sentence.
+    """ids with a piece (id, form: its text with names and numbers masked) that breaks off inside a sentence.
 
-    A piece with neither a final mark nor an obvious break is judged by all the texts: where its ending is
-    followed by more in other texts and hardly ever closes a sentence, or its last word is whole in no other
-    text, or, unless such endings close sentences, it can't end one by grammar, it is broken off. Endings are
-    counted once per distinct text whose names and numbers are masked.
+    A piece with neither a final mark nor an obvious break is judged by all the forms: where its ending is
+    followed by more in others and hardly ever closes a sentence, or its last word is whole in no other, or, unless
+    such endings close sentences, it can't end one by grammar, it is broken off. Each distinct form is judged, and
+    counts, once.
     """
-    judged = checkpointed(spread(pieces).select("id", "text", piece_udf("text").alias("p")).select("id", "text", "p.*"))
-    forms = checkpointed(judged.where("form is not null").select("form").distinct())
-    open_ones = judged.where("state = 'unsure'")
-    tails = open_ones.select("tail").distinct()
-    counted = forms.select(F.explode(ends_udf("form")).alias("e")).select(F.substring("e", 1, 1).alias("kind"), F.expr("substring(e, 2)").alias("tail"))
-    shares = counted.join(tails, "tail", "left_semi").groupBy("tail").agg(F.count_if(F.col("kind") == "+").alias("final"), F.count_if(F.col("kind") == "-").alias("inner"))
-    last = F.regexp_extract(F.lower("form"), r"([a-zà-öø-ÿ']+)$", 1)
-    words = open_ones.select(last.alias("word")).where("word != ''").distinct()
-    known = forms.select("form", F.explode(words_udf("form")).alias("word")).join(words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("texts"))
-    decided = (
-        open_ones.select("id", "text", "form", "tail", "grammatical", last.alias("word"))
-        .join(shares, "tail", "left").join(known, "word", "left")
-        .select("id", "form", "word", F.coalesce("final", F.lit(0)).alias("final"), F.coalesce("inner", F.lit(0)).alias("inner"), F.coalesce("texts", F.lit(0)).alias("texts"), "grammatical")
-    )
+    forms = checkpointed(pieces.select("form").distinct())
+    judged = checkpointed(forms.select("form", piece_udf("form").alias("p")).select("form", "p.*").where("state != 'no'"))
+    counts = forms.mapInPandas(_counted, "kind string, what string, n long").groupBy("what").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in ("final", "inner", "word")))
+    counts = checkpointed(counts)
+    shares, words = counts.select(F.col("what").alias("tail"), "final", "inner"), counts.select(F.col("what").alias("word"), F.col("word").alias("texts"))
+    known = judged.where("state = 'unsure'").join(shares, "tail", "left").join(words, "word", "left").na.fill(0, ["final", "inner", "texts"])
     share = F.col("final") / F.greatest(F.col("final") + F.col("inner"), F.lit(1))
-    cut = F.when(F.col("final") > 0, share < MIN_FINAL_SHARE).otherwise((F.col("inner") > 0) | ~F.col("grammatical") | (F.col("word") != "") & (F.col("word") != "name") & (F.col("texts") == 0))
-    return judged.where("state = 'yes'").select("id").unionByName(decided.where(cut).select("id")).distinct()
+    cut = F.when(F.col("final") > 0, share < MIN_FINAL_SHARE).otherwise((F.col("inner") > 0) | ~F.col("grammatical") | F.col("word").isNotNull() & (F.col("texts") == 0))
+    broken = judged.where("state = 'yes'").select("form").unionByName(known.where(cut).select("form"))
+    return pieces.join(broken, "form", "left_semi").select("id").distinct()
 
 
-def templates(clustered: DataFrame) -> DataFrame:
-    """The clusters of answers that are refusal templates.
+def templates(answers: DataFrame) -> DataFrame:
+    """The openings that belong to refusal templates, from answers (opening, asked, verdict, unrelated, particulars).
 
-    A cluster is judged as a whole: most of its answers take up nothing of their prompts. With wording that
-    declines in half of them it needs two prompts. Without, it is one if it says the same over three prompts or
-    more that have no stretch in common: no names or figures that change from answer to answer, and no verdict
-    (yes, no, or too few letters to tell). Prompts are distinct questions by their looks.
+    Distinct openings are clustered by verified MinHash, and a cluster is judged as a whole, by no list of phrases:
+    it recurs over three prompts or more that have no stretch in common, most of its answers take up nothing of
+    their prompts, it says the same to all (no names or figures that change from answer to answer), and it is no
+    verdict (yes, no, or too few letters to tell). Prompts are distinct questions by their looks. Answers are
+    counted by opening before they meet the clusters, so an opening that a third of all answers share is a few rows.
     """
-    share = lambda c: F.avg(F.col(c).cast("double"))
-    shares = ("declines", "answering", "verdict", "unrelated", "apart")
-    judged = checkpointed(clustered.groupBy("cluster").agg(F.count_distinct("asked").alias("prompts"), F.count_distinct("particulars").alias("particulars"), *(share(c).alias(c) for c in shares)))
-    worded = judged.where((F.col("prompts") >= MIN_PROMPTS) & ((F.col("declines") >= MIN_DECLINE) & (F.col("unrelated") >= MIN_UNRELATED) | (F.col("answering") >= MIN_DECLINE) & (F.col("apart") >= MIN_UNRELATED)))
-    same = judged.where((F.col("prompts") >= MIN_UNWORDED) & (F.col("unrelated") >= MIN_UNRELATED) & (F.col("verdict") < 0.5) & (F.col("particulars") * 2 <= F.col("prompts"))).select("cluster", "prompts")
-    asked = clustered.where("asked is not null").join(same, "cluster").select("cluster", "prompts", "asked").distinct()
-    common = asked.select("cluster", "prompts", F.explode(stretches_udf("asked")).alias("stretch")).groupBy("cluster", "stretch").agg(F.count("*").alias("n"), F.first("prompts").alias("prompts"))
-    alike = common.where(F.col("n") >= SAME_PROMPTS * F.col("prompts")).select("cluster")
-    return worded.select("cluster").unionByName(same.join(alike, "cluster", "left_anti").select("cluster")).distinct()
+    n = F.count("*").alias("n")
+    by_opening = answers.groupBy("opening", "asked", "particulars").agg(n, *(F.count_if(c).alias(c) for c in ("verdict", "unrelated")))
+    grouped = checkpointed(by_opening.join(clusters(answers.select(F.col("opening").alias("text"))), F.col("opening") == F.col("text")))
+    judged = grouped.groupBy("cluster").agg(F.count_distinct("asked").alias("prompts"), F.count_distinct("particulars").alias("particulars"), *(F.sum(c).alias(c) for c in ("n", "verdict", "unrelated")))
+    same = checkpointed(judged.where((F.col("prompts") >= MIN_PROMPTS) & (F.col("unrelated") >= MIN_UNRELATED * F.col("n")) & (F.col("verdict") * 2 < F.col("n")) & (F.col("particulars") * 2 <= F.col("prompts"))).select("cluster", "prompts"))
+    asked = grouped.where("asked is not null").join(same, "cluster").select("cluster", "prompts", "asked").distinct()
+    common = asked.select("cluster", "prompts", F.explode(stretches_udf("asked")).alias("stretch")).groupBy("cluster", "stretch").agg(F.count("*").alias("held"), F.first("prompts").alias("prompts"))
+    alike = common.where(F.col("held") >= SAME_PROMPTS * F.col("prompts")).select("cluster")
+    return grouped.join(same.join(alike, "cluster", "left_anti"), "cluster", "left_semi").select("opening").distinct()
 
 
 def defective_pairs(questions: DataFrame) -> DataFrame:
@@ -306,20 +277,13 @@ def defective_pairs(questions: DataFrame) -> DataFrame:
     A null answer, conclusion or list of facts, or one of blanks and placeholders alone, is an empty answer; what
     is empty itself has no other defect. A null question is compared with nothing. Rows without an id are left out.
 
-    Refusals: openings of all conclusions are clustered by verified MinHash (names and numbers masked), and the
-    clusters that are refusal templates are refusals with all their answers (``templates``). So are single answers
-    that decline and take up nothing of their prompt, or decline to answer and take up no more than its names.
+    Refusals come from ``templates`` alone: the openings of all conclusions, and of what follows their first
+    clause, are clustered, and a template is judged as a whole: then all answers with its openings are refusals.
     Copies, languages and endings are checked pair by pair.
     """
     pairs = questions.where("id is not null").select("id", "question", F.col("expected_answer.conclusion").alias("conclusion"), F.col("expected_answer.key_facts").alias("facts")).distinct()
-    signed = checkpointed(spread(pairs).select("id", "question", "conclusion", "facts", signs_udf("question", "conclusion", "facts").alias("s")).select("id", "question", "conclusion", "facts", "s.*"))
-    openings = signed.where("opening is not null").select("id", "opening", "asked", "declines", "answering", "verdict", "unrelated", "apart", "particulars")
-    clustered = checkpointed(openings.join(clusters(openings.select(F.col("opening").alias("text"))), F.col("opening") == F.col("text")))
-    refused = clustered.join(templates(clustered), "cluster", "left_semi").select("id").unionByName(signed.where("declines and unrelated or answering and apart").select("id"))
-    pieces = signed.select("id", F.col("conclusion").alias("text")).unionByName(signed.select("id", F.explode("facts").alias("text")))
-    parts = [("empty_answer", signed.where("empty")), ("copies_question", signed.where("copied")), ("wrong_language", signed.where("foreign")), ("refusal", refused), ("truncated_answer", truncated_ids(pieces.dropna()))]
-    found = None
-    for defect, rows in parts:
-        one = rows.select("id", F.lit(defect).alias("defect"))
-        found = one if found is None else found.unionByName(one)
-    return found.distinct()
+    signed = checkpointed(pairs.select("id", signs_udf("question", "conclusion", "facts").alias("s")).select("id", "s.*"))
+    answers = signed.select("id", "asked", "verdict", "unrelated", "particulars", F.explode("openings").alias("opening"))
+    refused = answers.join(templates(answers), "opening", "left_semi")
+    parts = [("empty_answer", signed.where("empty")), ("copies_question", signed.where("copied")), ("wrong_language", signed.where("foreign")), ("refusal", refused), ("truncated_answer", truncated_ids(signed.select("id", F.explode("forms").alias("form"))))]
+    return reduce(DataFrame.unionByName, [rows.select("id", F.lit(defect).alias("defect")) for defect, rows in parts]).distinct()
