@@ -238,12 +238,21 @@ def test_leaks(spark, rows):
     assert leakage.leaked_passages(df, it.limit(0)).count() == 0 and leakage.leaked_passages(df.limit(0), it).count() == 0
 
 
-def test_long_text_windows_agree():
-    plain = "".join(random.Random(1).choices("abcdef", k=90_000))
-    (starts, prints), (dense, _) = leakage.fingerprints(plain, [(40, 21), (20, 1)])
-    assert len(starts) == len(range(0, 90_000 - 39, 21)) and len(dense) == 90_000 - 19
-    for i in (0, 1500, 1600, len(starts) - 1):
-        assert leakage.fingerprints(plain[starts[i] : starts[i] + 40], [(40, 1)])[0][1][0] == prints[i]
+def test_fingerprints_match_brute_force(monkeypatch):
+    monkeypatch.setattr(leakage, "TOGETHER", 7)
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abc Déｆ,", k=n)) for n in (0, 3, 19, 20, 45, 200)] + ["", "日本　語テキスト" * 9]
+    codes, starts = leakage.letter_codes(texts)
+    plain = [leakage.letters(t) for t in texts]
+    assert ["".join(map(chr, codes[a:b])) for a, b in zip(starts, starts[1:])] == plain
+    hashes = leakage.shingle_hashes(codes)
+    for width, step in ((20, 11), (40, 1)):
+        owner, start, place = leakage.windows(codes, starts, width, step)
+        assert list(zip(owner.tolist(), start.tolist())) == [(k, i) for k, t in enumerate(plain) for i in range(0, len(t) - width + 1, step)]
+        n = width - leakage.SHINGLE + 1
+        for at, got in zip(place.tolist(), leakage.simhash(hashes, place, n).tolist()):
+            counts = [sum(int(h) >> bit & 1 for h in hashes[at : at + n]) for bit in range(64)]
+            assert got == sum(1 << bit for bit in range(64) if counts[bit] * 2 > n)
 
 
 # --- 8 ---

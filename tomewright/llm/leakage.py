@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -15,30 +16,51 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType, StringType
 
 from ..functions.text import INVISIBLE
-from ..storage import checkpointed, spread
+from ..storage import checkpointed
 
 #: Letters and digits in a row that make a passage, by the item's language.
 PASSAGE = {"en": 60, "ja": 30}
 SHINGLE = 5
-RADIUS = 2
+RADIUS = 1
 #: Bits of a fingerprint in each block: one more block than the radius, so two fingerprints within it agree in one.
-BLOCKS = (22, 21, 21)
+BLOCKS = (32, 32)
+#: Leading bits of a block by which windows are filtered before they leave a task: 2 MB a block, whatever the data.
+FILTER_BITS = 24
+#: Bits in a piece of the filter, as Spark's bitmap functions cut it.
+PIECE = 1 << 15
 #: Least weighted similarity of two windows.
 SIMILARITY = 0.8
-#: Item windows up to which their blocks are sent to the tasks as a filter; more only leave the filter out.
-FILTER_WINDOWS = 1 << 21
-_CHUNK = 1 << 15
+#: Shares that the windows of documents are dealt to, so that a passage that a third of them hold is no single task.
+SALTS = 16
+#: Windows fingerprinted at once.
+TOGETHER = 1 << 14
 _DROP = re.compile(f"[{INVISIBLE}]+")
 _OTHER = re.compile(r"[\W_]+")
 
 
+def folded(text: str) -> str:
+    """Lower case, width forms folded, invisible characters gone."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", _DROP.sub("", text)).lower()
+
+
 def letters(text: str | None) -> str:
-    """Only letters and digits, lower case, width forms folded."""
-    if not text:
-        return ""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", _DROP.sub("", text))
-    return _OTHER.sub("", text.lower())
+    """Only letters and digits, folded."""
+    return _OTHER.sub("", folded(text)) if text else ""
+
+
+@cache
+def _kept() -> np.ndarray:
+    """Whether each code point is a letter or digit."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+def letter_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the ``letters`` of all texts in a row, and where each text starts."""
+    forms = [folded(t) for t in texts]
+    codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    keep = _kept()[codes]
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return codes[keep], before[np.cumsum([0, *map(len, forms)])]
 
 
 def window_of(passage: int) -> tuple[int, int]:
@@ -47,68 +69,69 @@ def window_of(passage: int) -> tuple[int, int]:
     return width, passage - width + 1
 
 
-def fingerprints(plain: str, shapes: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each (width, step) the starts and SimHash fingerprints of the windows of ``plain``: for each bit the majority over a window's shingles, by weight."""
-    codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    places = [np.arange(0, max(0, len(codes) - width + 1), step) for width, step in shapes]
-    prints = [np.empty(len(p), np.uint64) for p in places]
-    if not any(map(len, places)):
-        return list(zip(places, prints, strict=True))
-    n = len(codes) - SHINGLE + 1
-    h = np.zeros(n, dtype=np.uint64)
+def shingle_hashes(codes: np.ndarray) -> np.ndarray:
+    h = np.zeros(max(0, len(codes) - SHINGLE + 1), dtype=np.uint64)
     for i in range(SHINGLE):
-        h = h * np.uint64(0x100000001B3) + codes[i : n + i]
+        h = h * np.uint64(0x100000001B3) + codes[i : len(h) + i]
     for shift, mix in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(mix)
-    h ^= h >> np.uint64(33)
-    reach = max(width for width, _ in shapes)
-    for at in range(0, n, _CHUNK):  # in stretches, as the counts of a long text would need 128 bytes a letter at once
-        bits = np.unpackbits(h[at : at + _CHUNK + reach].view(np.uint8).reshape(-1, 8), axis=1)
-        total = np.zeros((len(bits) + 1, 64), np.uint16)  # counts wrap around, but their differences within a window do not
-        np.cumsum(bits, axis=0, dtype=np.uint16, out=total[1:])
-        for (width, _), place, out in zip(shapes, places, prints, strict=True):
-            inside = width - SHINGLE + 1
-            here = slice(*np.searchsorted(place, (at, at + _CHUNK)))
-            first = place[here] - at
-            if len(first):
-                majority = (total[first + inside] - total[first]) * 2 > inside
-                out[here] = np.packbits(majority, axis=1).view(np.uint64).ravel()
-    return list(zip(places, prints, strict=True))
-
-
-def _block_keys(prints: np.ndarray) -> list[np.ndarray]:
-    keys, shift = [], 0
-    for bits in BLOCKS:
-        keys.append(((prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64))
-        shift += bits
-    return keys
-
-
-def _windows(rows: DataFrame, passages: list[int], dense: bool, passing: dict[int, list[np.ndarray]] | None = None) -> DataFrame:
-    """id, passage, start, print of the windows of rows (id, passage or 0 for all, plain)."""
+    return h ^ (h >> np.uint64(33))
+
+
+def simhash(hashes: np.ndarray, places: np.ndarray, shingles: int) -> np.ndarray:
+    """Fingerprints of the windows of so many shingles at the places: for each bit the majority over a window's shingles, each as often as it occurs.
+
+    The 64 counts of a window are kept bit by bit, in planes of one word each, and shingles are added to all windows at once.
+    """
+    out = np.empty(len(places), np.uint64)
+    for at in range(0, len(places), TOGETHER):
+        here = places[at : at + TOGETHER]
+        planes = [np.zeros(len(here), np.uint64) for _ in range(shingles.bit_length())]
+        for i in range(shingles):
+            carry = hashes[here + i]
+            for k in range((i + 1).bit_length()):
+                planes[k], carry = planes[k] ^ carry, planes[k] & carry
+        # counts over half: compared with the half from the highest plane down
+        more, same = np.zeros(len(here), np.uint64), np.full(len(here), ~np.uint64(0))
+        for k in reversed(range(len(planes))):
+            if (shingles // 2) >> k & 1:
+                same = same & planes[k]
+            else:
+                more = more | same & planes[k]
+                same = same & ~planes[k]
+        out[at : at + len(here)] = more
+    return out
+
+
+def windows(codes: np.ndarray, starts: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of texts that lie in a row: the text's number, the start in it, and the start in the row."""
+    n = np.maximum(0, (np.diff(starts) - width) // step + 1)
+    owner = np.repeat(np.arange(len(n)), n)
+    start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+    return owner, start, starts[owner] + start
+
+
+def _block_values(prints: np.ndarray) -> list[np.ndarray]:
+    shifts = np.cumsum((0, *BLOCKS[:-1]))
+    return [(prints >> np.uint64(s)) & np.uint64((1 << b) - 1) for s, b in zip(shifts, BLOCKS, strict=True)]
+
+
+def _windows(rows: DataFrame, passage: int, step: int, passing: list[np.ndarray] | None = None) -> DataFrame:
+    """id, passage, start, print of the windows of rows (id, text) for passages of a length; with a filter only those of which it has a block."""
+    width, _ = window_of(passage)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-            for key, own, plain in batch.itertuples(index=False):
-                wanted = [own] if own else passages
-                shapes = [(width, 1 if dense else step) for width, step in map(window_of, wanted)]
-                for passage, (starts, prints) in zip(wanted, fingerprints(plain, shapes), strict=True):
-                    if passing is not None and len(starts):
-                        keep = np.logical_or.reduce([seen[k] for seen, k in zip(passing[passage], _block_keys(prints), strict=True)])
-                        starts, prints = starts[keep], prints[keep]
-                    if len(starts):
-                        parts.append((key, passage, starts, prints))
-            lengths = [len(p[2]) for p in parts]
-            join = lambda i, kind: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, kind)
-            yield pd.DataFrame(
-                {
-                    "id": np.repeat(np.array([p[0] for p in parts], dtype=np.int64), lengths), "passage": np.repeat(np.array([p[1] for p in parts], dtype=np.int32), lengths),
-                    "start": join(2, np.int64).astype(np.int32), "print": join(3, np.uint64).view(np.int64),
-                }
-            )
-
-    return rows.mapInPandas(cut, "id long, passage int, start int, print long")
+            codes, starts = letter_codes(batch["text"].tolist())
+            owner, start, place = windows(codes, starts, width, step)
+            prints = simhash(shingle_hashes(codes), place, width - SHINGLE + 1)
+            if passing is not None:
+                at = [(v >> np.uint64(b - FILTER_BITS)).astype(np.int64) for v, b in zip(_block_values(prints), BLOCKS, strict=True)]
+                keep = np.logical_or.reduce([seen[a >> 3] >> (a & 7).astype(np.uint8) & 1 > 0 for seen, a in zip(passing, at, strict=True)])
+                owner, start, prints = owner[keep], start[keep], prints[keep]
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[owner], "passage": np.full(len(owner), passage, np.int32), "start": start.astype(np.int32), "print": prints.view(np.int64)})
+
+    return rows.select("id", "text").mapInPandas(cut, "id long, passage int, start int, print long")
 
 
 def _blocks() -> Column:
@@ -116,6 +139,21 @@ def _blocks() -> Column:
     return F.posexplode(F.array(*(F.shiftrightunsigned("print", s).bitwiseAND((1 << b) - 1) for s, b in zip(shifts, BLOCKS, strict=True)))).alias("block", "value")
 
 
+def block_filter(wanted: DataFrame, passage: int) -> list[np.ndarray]:
+    """Per block the bits of the values that windows of a passage length have, by their leading FILTER_BITS.
+
+    Spark builds the bits where the windows are; the driver joins pieces of 4 KB, at most 512 a block.
+    """
+    own = wanted.where(F.col("passage") == passage).select(_blocks())
+    leading = F.expr("case " + " ".join(f"when block = {i} then shiftright(value, {b - FILTER_BITS})" for i, b in enumerate(BLOCKS)) + " end")
+    pieces = own.select("block", leading.alias("bit")).groupBy("block", (F.col("bit") / PIECE).cast("long").alias("piece")).agg(F.bitmap_construct_agg((F.col("bit") % PIECE)).alias("bits"))
+    bits = [np.zeros((1 << FILTER_BITS) // 8, np.uint8) for _ in BLOCKS]
+    for row in pieces.collect():
+        at = row["piece"] * PIECE // 8
+        bits[row["block"]][at : at + PIECE // 8] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
 @pandas_udf(StringType())
 def letters_udf(texts: pd.Series) -> pd.Series:
     return texts.map(letters)
@@ -123,36 +161,40 @@ def letters_udf(texts: pd.Series) -> pd.Series:
 
 def weighted_similarity(a: str, b: str) -> float:
     """Shingles that two texts share over all they have, each as often as it occurs."""
+    if a == b:
+        return 1.0
     x, y = (Counter(t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)) for t in (a, b))
     return (x & y).total() / max(1, (x | y).total())
 
 
-def shared_run(doc: str, item: str, at: int, to: int, width: int) -> int:
-    """Length of the longest stretch common to both texts within the alignment of two windows."""
-    longest = run = 0
-    shift = to - at
-    lo, hi = at, at + width
+def shared_run(doc: str, item: str, first: int, last: int, shift: int) -> int:
+    """Length of the longest stretch common to both texts that begins or ends among the places first to last of ``doc``, ``item`` being shifted against it."""
+    lo, hi = first, last
     while lo > 0 and lo + shift > 0 and doc[lo - 1] == item[lo - 1 + shift]:
         lo -= 1
     while hi < len(doc) and hi + shift < len(item) and doc[hi] == item[hi + shift]:
         hi += 1
-    for i in range(lo, hi):
-        run = run + 1 if doc[i] == item[i + shift] else 0
+    longest = run = 0
+    for x, y in zip(doc[lo:hi], item[lo + shift : hi + shift], strict=True):
+        run = run + 1 if x == y else 0
         longest = max(longest, run)
     return longest
 
 
 @pandas_udf(IntegerType())
-def run_udf(doc: pd.Series, item: pd.Series, passage: pd.Series, starts: pd.Series) -> pd.Series:
-    """The longest shared stretch over the aligned windows whose weighted similarity is high enough."""
+def run_udf(doc: pd.Series, item: pd.Series, passage: pd.Series, diagonals: pd.Series) -> pd.Series:
+    """The longest shared stretch over the alignments, given by shift and the first and last window that met along it.
+
+    A window alone on its alignment is first held to the weighted similarity; where several met, the stretch between decides.
+    """
     out = []
-    for d, i, p, pairs in zip(doc, item, passage, starts, strict=True):
+    for d, i, p, listed in zip(doc, item, passage, diagonals, strict=True):
         width, _ = window_of(p)
         best = 0
-        for pair in pairs:
-            at, to = pair["start"], pair["to"]
-            if weighted_similarity(d[at : at + width], i[to : to + width]) >= SIMILARITY:
-                best = max(best, shared_run(d, i, at, to, width))
+        for x in listed:
+            shift, first, last = x["shift"], x["first"], x["last"]
+            if first < last or weighted_similarity(d[first : first + width], i[first + shift : first + shift + width]) >= SIMILARITY:
+                best = max(best, shared_run(d, i, first, last + width, shift))
         out.append(best)
     return pd.Series(out, dtype="int32")
 
@@ -165,32 +207,29 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     holds one whole; each has a SimHash fingerprint. Fingerprints are cut into one block more than the radius, so
     those within it agree in a block and meet in the join; their Hamming distance is then checked, the windows'
     exact weighted similarity of shingles, and last the length of the shared stretch. As a passage brings two equal
-    windows, none is missed. Blocks that no item has are filtered out before rows leave a task, by bit sets whose
-    size does not depend on the data.
+    windows, none is missed. Windows none of whose blocks any item has stay in their task, by bits whose size does
+    not depend on the data. Windows that met are kept by alignment, the first and the last along each, so what a
+    pair of texts comes to is bounded by their lengths.
 
     Null and empty texts hold nothing; an item without a language is Japanese if it has a letter of its scripts.
     Repeated rows give one row. Extra columns are dropped.
     """
-    japanese = F.coalesce("lang", F.when(F.col("plain").rlike("[\u3040-ヿ一-鿿]"), "ja").otherwise("en")) == "ja"
-    plain_items = items.select(F.col("item_id").alias("id"), "lang", letters_udf("text").alias("plain")).where("plain != '' and id is not null").distinct()
-    plain_items = checkpointed(plain_items.select("id", F.when(japanese, PASSAGE["ja"]).otherwise(PASSAGE["en"]).alias("passage"), "plain"))
-    passages = sorted(PASSAGE.values())
-    wanted = checkpointed(_windows(plain_items, passages, dense=True))
-
-    passing = None
-    if wanted.count() <= FILTER_WINDOWS:
-        passing = {p: [np.zeros(1 << b, bool) for b in BLOCKS] for p in passages}
-        for row in wanted.select("passage", _blocks()).distinct().toLocalIterator():
-            passing[row["passage"]][row["block"]][row["value"]] = True
-
+    japanese = F.coalesce("lang", F.when(F.col("text").rlike("[\u3040-ヿ一-鿿]"), "ja").otherwise("en")) == "ja"
+    known = items.select(F.col("item_id").alias("id"), "lang", "text").dropna(subset=["id", "text"])
+    known = checkpointed(known.select("id", F.when(japanese, PASSAGE["ja"]).otherwise(PASSAGE["en"]).alias("passage"), "text").distinct())
     stored = documents.select(F.col("doc_id").alias("id"), "text").dropna()
-    plain = lambda df: df.select("id", F.lit(0).alias("passage"), letters_udf("text").alias("plain")).where("plain != ''")
-    held = _windows(plain(spread(stored)), passages, dense=False, passing=passing).select("id", "passage", "start", "print", _blocks())
-    sought = wanted.select(F.col("id").alias("item_id"), "passage", F.col("start").alias("to"), F.col("print").alias("item_print"), _blocks())
-    met = held.join(sought, ["passage", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    aligned = met.groupBy("id", "item_id", "passage").agg(F.collect_set(F.struct("start", "to")).alias("starts"))
-    aligned = checkpointed(aligned)
-    texts = plain(stored.join(aligned.select("id").distinct(), "id", "left_semi")).select("id", "plain").distinct()
-    item_texts = plain_items.select(F.col("id").alias("item_id"), "passage", F.col("plain").alias("item_plain"))
-    checked = aligned.join(texts, "id").join(item_texts, ["item_id", "passage"]).select("id", "item_id", "passage", run_udf("plain", "item_plain", "passage", "starts").alias("run"))
+    wanted, held = [], []
+    for passage in sorted(PASSAGE.values()):
+        own = checkpointed(_windows(known.where(F.col("passage") == passage), passage, 1))
+        wanted.append(own)
+        held.append(_windows(stored, passage, window_of(passage)[1], block_filter(own, passage)))
+    sought = reduce(DataFrame.unionByName, wanted).select(F.col("id").alias("item_id"), "passage", F.col("start").alias("to"), F.col("print").alias("item_print"), _blocks())
+    sought = sought.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    met = reduce(DataFrame.unionByName, held).select("id", "passage", "start", "print", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), _blocks()).join(sought, ["passage", "block", "value", "salt"])
+    near = met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    along = near.groupBy("id", "item_id", "passage", (F.col("to") - F.col("start")).alias("shift")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    aligned = checkpointed(along.groupBy("id", "item_id", "passage").agg(F.collect_list(F.struct("shift", "first", "last")).alias("diagonals")))
+    plain = stored.join(aligned.select("id").distinct(), "id", "left_semi").select("id", letters_udf("text").alias("plain")).distinct()
+    item_plain = known.select(F.col("id").alias("item_id"), "passage", letters_udf("text").alias("item_plain")).distinct()
+    checked = aligned.join(plain, "id").join(item_plain, ["item_id", "passage"]).select("id", "item_id", "passage", run_udf("plain", "item_plain", "passage", "diagonals").alias("run"))
     return checked.where("run >= passage").groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("run").alias("run"))
