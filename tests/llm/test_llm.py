@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -297,3 +299,35 @@ def test_rare_terms_at_every_size(n):
     machine = abuse.fit(texts + rare)
     known, unknown = machine.scores(["zorblat quimbly frandle.", "qwyx dorvle mimpt."])[:, 0]
     assert abuse.bucket("zorblat") in machine.rows and known >= abuse.THRESHOLD > unknown
+
+
+def test_interactions_find_what_linear_weights_miss():
+    # two insults of a thing, or two groups named kindly, are none; an insult of a group is: no sum of weights tells them apart
+    rng = random.Random(2)
+    groups, insults = [f"folk{c}" for c in "abcdefgh"], [f"curse{c}" for c in "abcdefgh"]
+
+    def sentence(kind):
+        a, b = {"hateful": (rng.choice(groups), rng.choice(insults)), "insults": rng.sample(insults, 2), "groups": rng.sample(groups, 2)}[kind]
+        return " は ".join(rng.sample([a, b], 2)), kind == "hateful"
+
+    train, held_out = ([sentence(k) for _ in range(n) for k in ("hateful", "hateful", "insults", "groups")] for n in (150, 60))
+    vocabulary = sorted({abuse.bucket(t) for s, _ in train for t in abuse.terms(s)})
+
+    def accuracy(linear_only):
+        machine = abuse._start(vocabulary)
+        if linear_only:
+            machine.factors[:] = 0  # without vectors there are no gradients for them either
+        target = np.array([[bad] * len(abuse.KINDS) for _, bad in train], np.float32)
+        abuse._fit(machine, *machine.encode([s for s, _ in train], abuse._Known(machine.rows)), target, np.ones_like(target), 200)
+        return np.mean((machine.scores([s for s, _ in held_out])[:, 1] >= 0.5) == [bad for _, bad in held_out])
+
+    assert accuracy(False) >= 0.95 and accuracy(True) <= 0.7
+
+
+def test_scores_do_not_depend_on_what_is_kept(monkeypatch):
+    texts = ["you stupid idiot. fine.", None, "", " ", "fine.\n\nfine. ok", "you stupid idiot. fine."] * 9
+    machine = abuse.fit([("you stupid idiot.", frozenset({"abusive"})), ("fine. ok", frozenset({"none"})), ("you stupid troll.", frozenset({"abusive"})), ("all fine. ok", frozenset({"none"}))])
+    whole = abuse.Scorer(machine).best(texts)
+    for name, value in (("TOGETHER", 2), ("SENTENCES", 1), ("REMEMBERED", 1)):
+        monkeypatch.setattr(abuse, name, value)
+    assert abs(abuse.Scorer(machine).best(texts) - whole).max() < 1e-6 and (whole[1:4] == 0).all()

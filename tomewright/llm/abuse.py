@@ -7,7 +7,8 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,6 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import INVISIBLE
-from ..storage import spread
 from .lookalikes import LATIN_LIKE
 
 KINDS = ("abusive", "hateful", "sexual")
@@ -27,6 +27,8 @@ MAX_LABELS = 2_500
 REMEMBERED = 200_000
 #: Sentences scored at once; their terms' vectors are what a task holds.
 TOGETHER = 1_000
+#: Scored sentences that a task keeps in mind.
+SENTENCES = 50_000
 #: Buckets terms are hashed to, and length of their interaction vectors.
 BUCKETS, FACTORS = 1 << 20, 6
 #: A term is known if so many labelled documents hold it, however many there are; the fit's regularization weighs rare ones.
@@ -55,8 +57,8 @@ _CJK = re.compile(r"[\u3040-ヿ㐀-鿿々]")
 _CARD = re.compile(r"《[^》]*》")
 
 
-def plain_sentences(text: str | None) -> list[str]:
-    """The text's sentences in one spelling: width, case, look-alikes and kana folded, invisible characters, laughs and spacing inside words gone."""
+def pieces(text: str | None) -> list[str]:
+    """The text's sentences as stored, but for width, look-alikes, invisible characters and names."""
     if not text:
         return []
     if not text.isascii():
@@ -64,18 +66,23 @@ def plain_sentences(text: str | None) -> list[str]:
         if _FOREIGN.search(text):
             text = text.translate(_FOLD)
     text = _CARD.sub("《》", _MENTION.sub("", text))
-    out = []
-    for s in _SENTENCE.split(text):
-        if s and not s.isspace():
-            s = s.lower()
-            if not s.isascii():
-                s = _KATAKANA.sub(lambda m: m[0].translate(_KANA), s)
-                if _CJK.search(s):
-                    s = _LAUGH.sub("", s)
-            s = _SPACED.sub(lambda m: _GAP.sub("", m[0]), s)
-            s = _LEET_WORD.sub(lambda m: m[0].translate(_LEET), s)
-            out.append(_REPEAT.sub(r"\1", _MASKED.sub("", s)))
-    return out
+    return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
+
+
+def plain_sentence(s: str) -> str:
+    """A sentence in one spelling: case and kana folded, laughs, letters repeated and spacing inside words gone."""
+    s = s.lower()
+    if not s.isascii():
+        s = _KATAKANA.sub(lambda m: m[0].translate(_KANA), s)
+        if _CJK.search(s):
+            s = _LAUGH.sub("", s)
+    s = _SPACED.sub(lambda m: _GAP.sub("", m[0]), s)
+    s = _LEET_WORD.sub(lambda m: m[0].translate(_LEET), s)
+    return _REPEAT.sub(r"\1", _MASKED.sub("", s))
+
+
+def plain_sentences(text: str | None) -> list[str]:
+    return [plain_sentence(s) for s in pieces(text)]
 
 
 def terms(sentence: str) -> set[str]:
@@ -84,7 +91,9 @@ def terms(sentence: str) -> set[str]:
     before = ""
     for w in _WORD.findall(sentence):
         if _CJK.match(w):
-            found.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if n > 1 or w[i] > "ヿ")
+            found.update(c for c in w if c > "ヿ")
+            found.update(map(add, w, w[1:]))
+            found.update(map(add, map(add, w, w[1:]), w[2:]))
             before = ""
         else:
             found.add(w)
@@ -98,6 +107,18 @@ def bucket(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+class _Known(dict):
+    """Rows of terms met lately; a new one is looked up by its bucket, -1 if no labelled text has it."""
+
+    def __init__(self, rows: dict[int, int]) -> None:
+        super().__init__()
+        self.rows = rows
+
+    def __missing__(self, term: str) -> int:
+        row = self[term] = self.rows.get(bucket(term), -1)
+        return row
+
+
 @dataclass
 class Machine:
     """A factorization machine per kind: bias, linear weights and interaction vectors of the buckets in ``rows``."""
@@ -106,25 +127,18 @@ class Machine:
     bias: np.ndarray  # (kinds,)
     linear: np.ndarray  # (buckets, kinds)
     factors: np.ndarray  # (buckets, kinds, FACTORS)
-    known: dict[str, int] = field(default_factory=dict)  # rows of terms met lately
 
-    def encode(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, sentences: list[str], known: _Known) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of the known terms of all sentences in a row, and where each sentence starts."""
         ids: list[int] = []
         starts = []
-        known = self.known
         for s in sentences:
             starts.append(len(ids))
-            found = set()
-            for t in terms(s):
-                r = known.get(t)
-                if r is None:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    r = known[t] = self.rows.get(bucket(t), -1)
-                if r >= 0:
-                    found.add(r)
+            found = set(map(known.__getitem__, terms(s)))
+            found.discard(-1)
             ids.extend(found)
+        if len(known) > REMEMBERED:
+            known.clear()
         return np.array(ids, dtype=np.int64), np.array([*starts, len(ids)], dtype=np.int64)
 
     def raw(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,14 +150,48 @@ class Machine:
         inter = 0.5 * ((s**2).sum(-1) - _sums((v**2).sum(-1), starts)) * (scale**2)[:, None]
         return self.bias + lin + inter, s, scale
 
-    def scores(self, sentences: list[str]) -> np.ndarray:
+    def scores(self, sentences: list[str], known: _Known | None = None) -> np.ndarray:
         """Probability per sentence and kind."""
         if not sentences:
             return np.zeros((0, len(KINDS)))
-        parts = [self.raw(*self.encode(sentences[i : i + TOGETHER]))[0] for i in range(0, len(sentences), TOGETHER)]
+        known = _Known(self.rows) if known is None else known
+        parts = [self.raw(*self.encode(sentences[i : i + TOGETHER], known))[0] for i in range(0, len(sentences), TOGETHER)]
         return 1 / (1 + np.exp(-np.clip(np.concatenate(parts), -30, 30)))
 
 
+class Scorer:
+    """Scores texts by a machine: each its highest sentence. Sentences scored lately are kept, as many recur from text to text."""
+
+    def __init__(self, machine: Machine) -> None:
+        self.machine, self.known = machine, _Known(machine.rows)
+        self.row: dict[str, int] = {}
+        self.table = np.zeros((0, len(KINDS)))
+
+    def best(self, texts: list[str | None]) -> np.ndarray:
+        """The highest score of each kind per text; a text without sentences has 0."""
+        out = np.zeros((len(texts), len(KINDS)))
+        held: list[list[str]] = []
+        first = 0
+        for i, text in enumerate(texts):
+            held.append(pieces(text))
+            if i + 1 == len(texts) or sum(map(len, held)) >= TOGETHER:
+                self._score(held, out[first : i + 1])
+                held, first = [], i + 1
+        return out
+
+    def _score(self, held: list[list[str]], out: np.ndarray) -> None:
+        if len(self.row) > SENTENCES:
+            self.row, self.table = {}, self.table[:0]
+        fresh = [s for s in dict.fromkeys(x for own in held for x in own) if s not in self.row]
+        self.row.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
+        self.table = np.concatenate([self.table, self.machine.scores([plain_sentence(s) for s in fresh], self.known)])
+        owners = [i for i, own in enumerate(held) if own]
+        if owners:
+            places = np.array([self.row[s] for own in held for s in own])
+            starts = np.cumsum([0, *(len(held[i]) for i in owners[:-1])])
+            out[owners] = np.maximum.reduceat(self.table[places], starts, axis=0)
+
+
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the stretches between starts; an empty stretch has 0."""
     if not len(values):
@@ -278,23 +326,12 @@ def scored(documents: DataFrame, labels: DataFrame, machine: Machine | None = No
     machine = machine or fit(labelled_texts(documents, labels))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(machine)
         for texts in batches:
-            best = np.zeros((len(texts), len(KINDS)))
-            held: list[str] = []
-            owner: list[int] = []
-            for i, text in enumerate(texts):
-                own = plain_sentences(text)
-                held += own
-                owner += [i] * len(own)
-                if len(held) >= TOGETHER:
-                    np.maximum.at(best, owner, machine.scores(held))
-                    held, owner = [], []
-            if held:
-                np.maximum.at(best, owner, machine.scores(held))
-            yield pd.DataFrame(np.round(best, 6), columns=list(KINDS))
+            yield pd.DataFrame(np.round(scorer.best(texts.tolist()), 6), columns=list(KINDS))
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return spread(documents).withColumn("scores", pandas_udf(score, _SCORES)("text")).select("*", "scores.*").drop("scores")
+    return documents.withColumn("scores", pandas_udf(score, _SCORES)("text")).select("*", "scores.*").drop("scores")
 
 
 def found_kinds(scores: DataFrame) -> DataFrame:
