@@ -313,12 +313,12 @@ def test_interactions_find_what_linear_weights_miss():
     train, held_out = ([sentence(k) for _ in range(n) for k in ("hateful", "hateful", "insults", "groups")] for n in (150, 60))
     vocabulary = sorted({abuse.bucket(t) for s, _ in train for t in abuse.terms(s)})
 
-    def accuracy(linear_only):
+    def accuracy(linear_only, epochs=600):
         machine = abuse._start(vocabulary)
         if linear_only:
             machine.factors[:] = 0  # without vectors there are no gradients for them either
         target = np.array([[bad] * len(abuse.KINDS) for _, bad in train], np.float32)
-        abuse._fit(machine, *machine.encode([s for s, _ in train], abuse._Known(machine.rows)), target, np.ones_like(target), 200)
+        abuse._fit(machine, *machine.encode([s for s, _ in train], abuse._Known(machine.rows)), target, np.ones_like(target), epochs)
         return np.mean((machine.scores([s for s, _ in held_out])[:, 1] >= 0.5) == [bad for _, bad in held_out])
 
     assert accuracy(False) >= 0.95 and accuracy(True) <= 0.7
