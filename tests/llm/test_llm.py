@@ -118,12 +118,30 @@ def test_consistent(stored, form):
     assert lookalikes.consistent(stored) == form and lookalikes.consistent(form) == form and lookalikes.look(stored) == lookalikes.look(form)
 
 
-def test_lookalike_pairs(spark, rows):
+def looks(spark, data):
+    return spark.createDataFrame(data, "key string, stored string").withColumn("source_table", F.lit("t")).withColumn("form", F.lit(1))
+
+
+def test_lookalike_pairs(spark, rows, monkeypatch):
+    monkeypatch.setattr(lookalikes, "SHARE", 2)
     data = [("a", "カード"), ("b", "力ード"), ("c", "ｶｰﾄﾞ"), ("c", "ｶｰﾄﾞ"), ("d", "カード"), ("e", "カ ード"), ("f", None), (None, "カード"), ("g", ""), ("h", "​"), ("i", "Card"), ("j", "card"), ("k", "Саrd")]
-    df = spark.createDataFrame(data, "k string, t string").withColumn("key", F.lit(1))
-    assert rows(lookalikes.lookalike_pairs(df, "k", "t")) == [("a", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("c", "d"), ("i", "k")]
-    assert lookalikes.lookalike_pairs(df.limit(0), "k", "t").count() == 0
-    assert {r["stored"]: r["consistent"] for r in lookalikes.normalized(df.drop("key"), "k", "t").collect()}[None] is None
+    df = looks(spark, data)
+    assert rows(lookalikes.lookalike_pairs(df).drop("source_table")) == [("a", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("c", "d"), ("i", "k")]
+    assert rows(lookalikes.lookalike_classes(df).select("key", "form", "spellings", "members", "links")) == [("a", "カード", 3, 4, 2), ("b", "カード", 3, 4, 3), ("c", "カード", 3, 4, 3), ("d", "カード", 3, 4, 2), ("i", "Card", 2, 2, 1), ("k", "Card", 2, 2, 1)]
+    assert lookalikes.lookalike_pairs(df.limit(0)).count() == lookalikes.lookalike_classes(df.limit(0)).count() == 0
+    assert {r["stored"]: r["consistent"] for r in lookalikes.normalized(df).collect()}[None] is None
+    other = df.withColumn("source_table", F.lit("u")).where("key = 'b'")
+    assert lookalikes.lookalike_pairs(df.where("key = 'a'").unionByName(other)).count() == 0
+
+
+def test_scripts_told_by_other_texts(spark):
+    # what the letters alone leave open, the same word elsewhere tells; where it tells nothing, prototypes would be wrong
+    data = [("1", "サイコ口等は"), ("2", "サイコロ等は"), ("3", "八一卜が"), ("4", "ハートが"), ("5", "二八の数"), ("6", "人力車"), ("7", "クりア"), ("8", "カード一枚"), ("9", "そのサイコロ。ハート")]
+    forms = {r["key"]: r["consistent"] for r in lookalikes.normalized(looks(spark, data)).collect()}
+    assert [forms[k] for k in "12345678"] == ["サイコロ等は", "サイコロ等は", "ハートが", "ハートが", "二八の数", "人力車", "クリア", "カード一枚"]
+    # 人力車 and 人カ車 share a prototype, but only the script sets say that the second is the first misspelled
+    pairs_ = lookalikes.lookalike_pairs(looks(spark, [*data, ("x", "人カ車")])).collect()
+    assert {(r["key_a"], r["key_b"]) for r in pairs_} == {("1", "2"), ("3", "4"), ("6", "x")}
 
 
 # --- 5 ---

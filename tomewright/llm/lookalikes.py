@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import INVISIBLE
-from ..storage import checkpointed, spread
+from ..storage import checkpointed
 
 # Characters of different scripts that look alike, one group a word, the first being the prototype.
 LATIN_LIKE = """
@@ -22,8 +22,12 @@ aаαɑ bЬᏏ cсϲᴄ dԁᏧ eе gɡց hһհᏂ iіιɩ jјϳ kκк lӏ nոռ
 """
 KANA_LIKE = "ロ口囗 ト卜 ー一 ハ八 カ力 タ夕 ニ二 エ工 チ千 オ才 へヘ べベ ぺペ リり ミ三 ム厶 ヌ又 メ乄 ノ丿"
 
-#: Kana that a kanji or the other kana resembles too loosely to be the same look; named so that the choice can be seen.
+#: Kana that a kanji or the other kana resembles too loosely to be the same look; named so that the choice can be seen. Between katakana り and 乄, which are no words there, are taken for リ and メ.
 LOOSE = set("チ千 オ才 リり ミ三 ヌ又 メ乄".replace(" ", ""))
+_AMONG_KANA = {"り": "リ", "乄": "メ"}
+
+#: Members of a class that one task pairs with the whole class.
+SHARE = 10_000
 
 _PROTOTYPE: dict[str, str] = {}
 for _group in (LATIN_LIKE + KANA_LIKE).split():
@@ -38,6 +42,7 @@ _HIDDEN = re.compile(f"[{INVISIBLE}\ufe00-\ufe0f]+")
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[\w\u3099\u309a\u0300-\u036f]+")
 _KANA_RUN = re.compile("[ァ-ヺーヽヾ" + "".join(c for p, g in _OF_PROTOTYPE.items() if p not in "へべぺ" and not p.isascii() for c in g) + "]+")
+_LONE = re.compile("(?<=[ァ-ヺー])[り乄](?=[ァ-ヺー])")
 _TO_PROTOTYPE = str.maketrans(_PROTOTYPE)
 
 JAPANESE = frozenset({"Hani", "Hira", "Kana"})
@@ -92,7 +97,7 @@ def spell_token(token: str) -> str:
             runs = re.findall(r"[\u3040-ヿ㐀-鿿豈-\ufaff々〆]+|[^\u3040-ヿ㐀-鿿豈-\ufaff々〆]+", token)
             if len(runs) > 1:
                 return "".join(map(spell_token, runs))
-    if "Jpan" in (shared or ()) and any(ch in _PROTOTYPE for ch in token):
+    if "Jpan" in (shared or ()) and any(ch in _PROTOTYPE or ch in _AMONG_KANA for ch in token):
         return _spell_japanese(token)
     return token
 
@@ -115,6 +120,7 @@ def _spell_japanese(token: str) -> str:
         keep = {0 if beside[0] else None, len(run) - 1 if beside[1] else None}
         return "".join(ch if i in keep and "Hani" in (scripts_of(ch) or ()) else _as_script(ch, "Kana") for i, ch in enumerate(run))
 
+    token = _LONE.sub(lambda m: _AMONG_KANA[m[0]], token)
     token = _KANA_RUN.sub(respell, token)
     spelled = []
     for i, ch in enumerate(token):
@@ -156,37 +162,79 @@ def look(text: str | None) -> str | None:
     return None if form is None else form.translate(_TO_PROTOTYPE)
 
 
-@pandas_udf(StringType())
-def consistent_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(consistent)
+def either_runs(form: str) -> list[str]:
+    """The runs of katakana and its look-alikes in a consistent form that hold a letter of which there is a look-alike."""
+    return [] if form.isascii() else [r for r in dict.fromkeys(_KANA_RUN.findall(form)) if len(r) > 1 and any(ch in _PROTOTYPE for ch in r)]
+
+
+_FORM = StructType([StructField("form", StringType()), StructField("runs", ArrayType(StringType()))])
+
+
+@pandas_udf(_FORM)
+def form_udf(texts: pd.Series) -> pd.DataFrame:
+    forms = [consistent(t) for t in texts]
+    return pd.DataFrame({"form": forms, "runs": [either_runs(f or "") for f in forms]})
 
 
 @pandas_udf(StringType())
-def look_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(look)
+def as_kana_udf(forms: pd.Series, runs: pd.Series) -> pd.Series:
+    """The forms with the runs given spelled in katakana."""
+    return pd.Series([_KANA_RUN.sub(lambda m: m[0].translate(_TO_PROTOTYPE) if m[0] in known else m[0], f) for f, r in zip(forms, runs, strict=True) for known in (set(r),)], dtype=object)
+
+
+@pandas_udf(ArrayType(StringType()))
+def prototypes_udf(runs: pd.Series) -> pd.Series:
+    return runs.map(lambda listed: [r.translate(_TO_PROTOTYPE) for r in listed])
 
 
-def normalized(records: DataFrame, key: str, text: str) -> DataFrame:
-    """key, stored text, consistent form and whether it differs, one row per distinct record; null text stays null."""
-    return records.select(F.col(key).alias("key"), F.col(text).alias("stored")).distinct().select("key", "stored", consistent_udf("stored").alias("consistent")).withColumn("altered", ~F.col("stored").eqNullSafe(F.col("consistent")))
+def spelled(texts: DataFrame) -> DataFrame:
+    """stored and its consistent form for the distinct texts (stored); null stays null.
+
+    Tokens are spelled by themselves first (``consistent``). A run that is made of look-alikes alone (八一卜), or
+    whose last look-alike touches a kanji (サイコ口等), has nothing in its token that tells its script; it is katakana if
+    the same run stands in katakana anywhere in the texts (ハート, サイコロ), else it stays as it is. Runs meet by their
+    prototype spelling, each distinct one once.
+    """
+    forms = checkpointed(texts.select("stored").distinct().select("stored", form_udf("stored").alias("f")).select("stored", "f.form", "f.runs"))
+    runs = forms.where("size(runs) > 0").select("stored", F.explode(F.arrays_zip("runs", prototypes_udf("runs").alias("kana"))).alias("r")).select("stored", "r.*")
+    unsure = runs.where("runs != kana")
+    in_kana = runs.where("runs = kana").select("kana").distinct()
+    sure = unsure.select("kana").distinct().join(in_kana, "kana", "left_semi")
+    found = unsure.join(sure, "kana", "left_semi").groupBy(F.col("stored").alias("_of")).agg(F.collect_set("runs").alias("found"))
+    return forms.join(found, forms.stored == F.col("_of"), "left").select("stored", "form", F.coalesce("found", F.array().cast("array<string>")).alias("found")).select("stored", F.when(F.size("found") > 0, as_kana_udf(F.coalesce("form", F.lit("")), "found")).otherwise(F.col("form")).alias("form"))
+
+
+def normalized(records: DataFrame) -> DataFrame:
+    """source_table, key, stored text, consistent form and whether it differs, one row per distinct record (source_table, key, stored); null text stays null."""
+    rows = records.select("source_table", "key", "stored").distinct()
+    forms = spelled(rows.dropna(subset=["stored"])).withColumnRenamed("stored", "_stored")
+    return rows.join(forms, F.col("stored") == F.col("_stored"), "left").select("source_table", "key", "stored", F.col("form").alias("consistent"), (~F.col("stored").eqNullSafe(F.col("form"))).alias("altered"))
+
+
+def lookalike_classes(records: DataFrame) -> DataFrame:
+    """One row per distinct record (source_table, key, stored) whose text has another spelling of the same look in its table.
+
+    Output: source_table, key, stored, form (the class: the consistent form), spellings in the class, members, and
+    links: the members that store another string. Texts are spelled once each, and counted by spelling before they
+    meet, so a string that many records store costs a row. Null texts and keys, and texts that look empty, have no class.
+    """
+    rows = checkpointed(records.select("source_table", "key", "stored").dropna().distinct())
+    counted = rows.groupBy("source_table", "stored").agg(F.count("*").alias("same"))
+    formed = checkpointed(counted.join(spelled(rows), "stored").where("form != ''"))
+    classes = formed.groupBy("source_table", "form").agg(F.count("*").alias("spellings"), F.sum("same").alias("members")).where("spellings > 1")
+    several = formed.join(classes, ["source_table", "form"])
+    return rows.join(several, ["source_table", "stored"]).select("source_table", "key", "stored", "form", "spellings", "members", (F.col("members") - F.col("same")).alias("links"))
 
 
-def lookalike_pairs(records: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs of records (key_a < key_b) whose texts look the same but are different strings.
+def lookalike_pairs(records: DataFrame) -> DataFrame:
+    """Pairs of records of a table (source_table, key_a < key_b) whose texts look the same but are different strings.
 
-    Texts are compared spelling by spelling: the distinct spellings of a look are paired, and only looks with two
-    spellings or more go on to the records, so records that store the very same string, however many, cost no
-    pairs. Null texts and keys, and texts that look empty, pair with nothing; a record is never paired with
-    itself, even if it is stored with two spellings.
+    They are expanded from ``lookalike_classes``, each class in shares of a bounded number of members, so that a
+    class of any size is spread over as many tasks as it has shares. A record is never paired with itself, even if
+    it is stored with two spellings.
     """
-    rows = records.select(F.col(key).alias("key"), F.col(text).alias("stored")).dropna().distinct()
-    spellings = checkpointed(spread(rows.select("stored").distinct()).select("stored", look_udf("stored").alias("look")).where("look != ''"))
-    several = spellings.groupBy("look").count().where("count > 1").select("look")
-    spelled = spellings.join(several, "look", "left_semi")
-    twins = spelled.alias("a").join(spelled.alias("b"), "look").where("a.stored < b.stored").select(F.col("a.stored").alias("one"), F.col("b.stored").alias("other"))
-    left = rows.select(F.col("key").alias("k"), F.col("stored").alias("one"))
-    right = rows.select(F.col("key").alias("l"), F.col("stored").alias("other"))
-    return (
-        twins.join(left, "one").join(right, "other").where("k != l")
-        .select(F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b")).distinct()
-    )
+    classes = checkpointed(lookalike_classes(records)).withColumn("shares", F.ceil(F.col("members") / SHARE).cast("int"))
+    left = classes.select("source_table", "form", F.pmod(F.xxhash64("key", "stored"), F.col("shares")).cast("int").alias("share"), F.col("key").alias("k"), F.col("stored").alias("one"))
+    right = classes.select("source_table", "form", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("key").alias("l"), F.col("stored").alias("other"))
+    met = left.join(right, ["source_table", "form", "share"]).where("one != other and k < l")
+    return met.select("source_table", F.col("k").alias("key_a"), F.col("l").alias("key_b")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..storage import table
 from .abuse import found_kinds, rates, scored
 from .leakage import leaked_passages
-from .lookalikes import lookalike_pairs, normalized
+from .lookalikes import lookalike_classes, lookalike_pairs, normalized
 from .packing import containers
 from .pairs import defective_pairs
 from .sentences import sentences
@@ -24,15 +24,22 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return defective_pairs(table(spark, sf, "questions"))
 
 
+def _looks(spark: SparkSession, sf: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [table(spark, sf, t).select(F.lit(t).alias("source_table"), F.col(k).alias("key"), F.col(x).alias("stored")) for t, k, x in LOOKS])
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [lookalike_pairs(table(spark, sf, t), k, x).select(F.lit(t).alias("source_table"), "key_a", "key_b") for t, k, x in LOOKS]
-    return reduce(DataFrame.unionByName, parts)
+    return lookalike_pairs(_looks(spark, sf))
+
+
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record that has a look-alike, with its class and number of links."""
+    return lookalike_classes(_looks(spark, sf))
 
 
 def p3_consistent(spark: SparkSession, sf: str) -> DataFrame:
     """Every text of problem 3 with its consistent form."""
-    parts = [normalized(table(spark, sf, t), k, x).withColumn("source_table", F.lit(t)) for t, k, x in LOOKS]
-    return reduce(DataFrame.unionByName, parts)
+    return normalized(_looks(spark, sf))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,5 +69,5 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rates(p8_scores(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p5_found, p6_containers, p7_found, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_classes, p3_consistent, p5_found, p6_containers, p7_found, p8_found, p8_scores, p8_rates)}
 SQL: dict[str, str] = {}
