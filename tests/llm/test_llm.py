@@ -169,13 +169,13 @@ def test_sentences(spark):
         assert [t[s:e] for s, e in got.get(str(i), [])] == want
     assert sentences.sentences(df.limit(0), ["number"]).count() == 0
     long = "One two. " * 50_000
-    assert len(sentences.split_text(long, {"": 1.0})) == 50_000
+    assert len(sentences.split_text(long, None)) == 50_000
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab. !?。「」()\n\"'A1…　", max_size=60))
 def test_sentences_cover_text(text):
-    spans = sentences.split_text(text, {"": 1.0})
+    spans = sentences.split_text(text, None)
     assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
     assert "".join(text[a:b] for a, b in spans).replace(" ", "").replace("　", "") == "".join(text.split())
 

@@ -104,7 +104,7 @@ def language(text: str) -> str | None:
 
 def copies(question: str, conclusion: str) -> bool:
     """The conclusion is the question or its last sentence, once or more, apart from framing."""
-    ends = split_text(question, {"": 1.0})
+    ends = split_text(question, None)
     said = bare(conclusion)
     for whole in (question, question[ends[-1][0] :] if ends else question):
         asked = bare(whole)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import INVISIBLE
-from ..storage import checkpointed, spread
+from ..storage import checkpointed
 
-#: Features the classifier keeps: the most frequent ones, a bound on what goes to every task.
-MAX_FEATURES = 4096
+#: Buckets that the words before marks are hashed to, so that the features are bounded and no word is left out.
+WORD_BUCKETS = 4096
 
 # English abbreviations, by what follows them.
 TITLES = set("mr mrs ms dr prof st rev gen col capt lt sgt hon pres gov sen rep messrs mt ft".split())
@@ -91,7 +93,7 @@ def _kind(ch: str) -> str:
 
 
 def _candidates(line: str, following: str) -> Iterator[tuple[int, int | None, list[str]]]:
-    """Possible boundaries in a line: end, label where it is sure (1, 0, else None), features.
+    """Possible boundaries in a line: end, label where a rule is reliable enough to train on (1, 0, else None), features.
 
     ``following`` is the first visible character of the next line, for what a boundary at this line's end is like.
     """
@@ -131,13 +133,17 @@ def _candidates(line: str, following: str) -> Iterator[tuple[int, int | None, li
             label = 0
         elif dot and (token in INSIDE or token in TITLES and kind == "upper" or token in BEFORE_NUMBERS and kind == "digit"):
             label = 0
+        elif dot and glued and kind == "upper" and len(token) > 4 and token.isalpha() and token.islower():
+            label = 1
         family = "title" if token in TITLES else "number" if token in BEFORE_NUMBERS else "inside" if token in INSIDE else "either" if token in EITHER else "letters" if re.fullmatch(r"(?:\w\.)+\w", token) else "word"
-        shape = _kind(token[-1:]) + ("1" if len(token) == 1 else "s" if len(token) <= 3 else "l")
+        shape = _kind(token[-1:]) + ("a" if "." in token else "1" if len(token) == 1 else "s" if len(token) <= 3 else "l")
+        what = "pause" if pause else "close" if closing else "list" if listed else unicodedata.normalize("NFKC", mark)[:2]
+        around = f"{what}|{'glued' if glued else 'apart'}|{kind}{'|initials' if dot and (len(token) == 1 or family == 'letters') else ''}"  # a line's end is as good as a space
         features = [
-            f"mark={'pause' if pause else 'close' if closing else unicodedata.normalize('NFKC', mark)[:2]}", f"next={kind}", f"before={shape}", f"abbreviation={family if dot else 'none'}", f"both={family if dot else 'none'}|{kind}",
-            f"shape={shape}|{kind}", f"marked={'pause' if pause else 'close' if closing else 'mark'}|{kind}", f"first={nxt or following}" if kind in ("hira", "han", "other", "open") else "first=_", f"token={token if token.isascii() and len(token) <= 8 else '_'}",
+            f"mark={what}", f"next={kind}", f"before={shape}", f"around={around}", f"abbreviation={family if dot else 'none'}", f"both={family if dot else 'none'}|{kind}", f"shape={shape}|{kind}", f"shaped={shape}|{around}",
+            f"first={nxt or following}" if kind in ("hira", "han", "other", "open") else "first=_", f"closed={nxt}|{what}" if closing or kind == "other" else "closed=_", f"word={zlib.crc32(token.encode('utf-8', 'surrogatepass')) % WORD_BUCKETS if dot else '_'}",
         ]
-        yield end, label, [*features, "listed"] if listed else features
+        yield end, label, features
 
 
 def _lines(text: str) -> Iterator[tuple[int, str, str]]:
@@ -153,17 +159,26 @@ def _lines(text: str) -> Iterator[tuple[int, str, str]]:
 
 
 def _sure(text: str) -> list[tuple[list[str], int]]:
-    return [(f, label) for _, line, following in _lines(text) for _, label, f in _candidates(line, following) if label is not None and "listed" not in f]
+    return [(f, label) for _, line, following in _lines(text) for _, label, f in _candidates(line, following) if label is not None]
+
 
+def split_text(text: str, weights: dict[str, float] | None) -> list[tuple[int, int]]:
+    """[start, end) of each sentence; ``weights`` has the classifier's weight per feature and its intercept under ''.
 
-def split_text(text: str, weights: dict[str, float]) -> list[tuple[int, int]]:
-    """[start, end) of each sentence; ``weights`` has the classifier's weight per feature and its intercept under ''."""
+    The classifier decides every mark but the last of a line, which ends a sentence by definition. Without weights
+    the reliable rules decide, and where there is none a mark ends a sentence.
+    """
     found = []
     for at, line, following in _lines(text):
         begin = 0
         cuts = {}
         for end, label, features in _candidates(line, following):
-            cuts[end] = label == 1 if label is not None else weights.get("", 0.0) + sum(weights.get(f, 0.0) for f in features) > 0
+            if not line[end:].strip():
+                cuts[end] = True
+            elif weights is None:
+                cuts[end] = label != 0
+            else:
+                cuts[end] = weights.get("", 0.0) + sum(weights.get(f, 0.0) for f in features) > 0
         for s, e in _spans(line):  # a bracket between sentences is one of its own
             if line[s] in ROUND:
                 before = line[:s].rstrip()
@@ -180,29 +195,26 @@ def split_text(text: str, weights: dict[str, float]) -> list[tuple[int, int]]:
     return found
 
 
-def train_boundaries(texts: DataFrame) -> dict[str, float]:
-    """Weights of the maximum-entropy classifier, from the sure boundaries and non-boundaries of all texts (column text).
+def train_boundaries(texts: DataFrame) -> dict[str, float] | None:
+    """Weights of the maximum-entropy classifier, from the reliable boundaries and non-boundaries of all texts (column text).
 
-    Sure are: line ends and ideographic full stops; and, against, marks before lower case, inside numbers and
+    Reliable are: line ends, ideographic full stops, and full stops between a long word and a capital; and, against, marks before lower case, inside numbers and
     acronyms, of list numbers, after titles and such abbreviations. They are counted by feature set before the
     fit, which runs on Spark, so that the model's input grows with the sets and not with the texts. With fewer
-    than two classes (as in an empty table) there are no weights, and only sure boundaries cut.
+    than two classes (as in an empty table) there are no weights.
     """
 
     def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts: dict[tuple[str, int], int] = {}
-            for text in batch["text"]:
-                for features, label in _sure(text):
-                    key = "\t".join(features), label
-                    counts[key] = counts.get(key, 0) + 1
+            counts = Counter(("\t".join(features), label) for text in batch["text"] for features, label in _sure(text))
             yield pd.DataFrame([(k, float(label), n) for (k, label), n in counts.items()], columns=["features", "label", "n"])
 
-    counted = spread(texts.select("text").dropna()).mapInPandas(sure, "features string, label double, n long").groupBy("features", "label").agg(F.sum("n").cast("double").alias("n"))
+    counted = texts.select("text").dropna().mapInPandas(sure, "features string, label double, n long").groupBy("features", "label").agg(F.sum("n").cast("double").alias("n"))
     counted = checkpointed(counted.select(F.split("features", "\t").alias("terms"), "label", "n"))
-    if counted.select("label").distinct().count() < 2:
-        return {}
-    terms = CountVectorizer(inputCol="terms", outputCol="vector", vocabSize=MAX_FEATURES, binary=True).fit(counted)
+    about = counted.select("label", F.explode("terms").alias("term")).agg(F.count_distinct("label").alias("labels"), F.count_distinct("term").alias("terms")).first()
+    if about["labels"] < 2:
+        return None
+    terms = CountVectorizer(inputCol="terms", outputCol="vector", vocabSize=about["terms"], binary=True).fit(counted)
     # counts are damped: a template that recurs a million times is no million kinds of evidence
     model = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", regParam=0.002, maxIter=60, standardization=False).fit(terms.transform(counted.withColumn("weight", F.log1p("n"))))
     return {"": float(model.intercept)} | {t: float(w) for t, w in zip(terms.vocabulary, model.coefficients.toArray(), strict=True) if w}
@@ -222,4 +234,4 @@ def sentences(texts: DataFrame, keys: list[str]) -> DataFrame:
             rows = [(*key, s, e) for *key, text in batch[[*keys, "text"]].itertuples(index=False) for s, e in split_text(text, weights)]
             yield pd.DataFrame(rows, columns=[*keys, "start_pos", "end_pos"])
 
-    return spread(texts.select(*keys, "text").dropna(subset=["text"]).distinct()).mapInPandas(split, schema)
+    return texts.select(*keys, "text").dropna(subset=["text"]).distinct().mapInPandas(split, schema)
