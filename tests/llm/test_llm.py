@@ -1,5 +1,6 @@
 """The training-data operators against brute force, with their edge cases."""
 
+import os
 import random
 
 import numpy as np
@@ -228,6 +229,12 @@ def test_containers(spark, monkeypatch):
     assert packing.containers(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_containers_reach_the_lower_bound(spark):
+    got = packing.containers(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg(F.count_distinct("container").alias("used"), F.sum("n_tokens").alias("tokens")).first()
+    assert got["used"] <= -(-got["tokens"] // packing.CAPACITY) + 1
+
+
 # --- 7 ---
 
 

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..storage import checkpointed, spread
+from ..storage import checkpointed
 
 CAPACITY = 2048
 #: Vocabulary file in ranks, and the module beside it that has the pattern words are split by.
@@ -24,25 +26,32 @@ RANKED_TOGETHER = 100_000
 
 
 @lru_cache(2)
-def _encoding(vocabulary: str):
-    import public_tokenizers
+def _encoding(vocabulary: str, pattern: str):
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("from-file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("from-file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """key and n_tokens of every row; a null or empty text has 0."""
+def token_counts(documents: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
+    """key and n_tokens of every row; a null or empty text has 0.
+
+    The vocabulary is a file of the driver's, which Spark sends to the workers. The pattern that words are split by
+    is that of the public tokenizers unless given.
+    """
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = _encoding(vocabulary)
+        encoding = _encoding(SparkFiles.get(name), pattern)
         for texts in batches:
             yield pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return spread(documents.select(key, text)).select(F.col(key).alias("key"), pandas_udf(count, LongType())(F.col(text)).alias("n_tokens"))
+    return documents.select(F.col(key).alias("key"), pandas_udf(count, LongType())(F.col(text)).alias("n_tokens"))
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
