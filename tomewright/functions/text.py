@@ -58,14 +58,16 @@ def iso_date(text: Column) -> Column:
     pattern = r"(\d{4})[^0-9]{0,2}(\d{1,2})[^0-9]{0,2}(\d{1,2})"
     plain = F.regexp_replace(narrow(text), f"[{INVISIBLE}]", "")
     part = lambda i: F.regexp_extract(plain, pattern, i)
-    return F.when(plain.rlike(pattern), F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
+    read = F.when(plain.rlike(pattern), F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).otherwise(read)  # most are written so and need no more
 
 
 def rule_number(text: Column) -> Column:
     """A rule number without decoration, lower case; text that holds none as it is, stripped; null where nothing is left."""
     plain = F.lower(F.regexp_replace(narrow(text), f"[{INVISIBLE}]|{SPACE_CLASS}", ""))
     number = F.regexp_extract(plain, r"(\d{3}\.\d+[a-z]?)", 1)
-    return F.nullif(F.coalesce(F.nullif(number, F.lit("")), plain), F.lit(""))
+    read = F.nullif(F.coalesce(F.nullif(number, F.lit("")), plain), F.lit(""))
+    return F.when(text.rlike(r"^\d{3}\.\d+[a-z]?$"), text).otherwise(read)  # most are plain and need no more
 
 
 def rule_mentions(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_date, rule_mentions, rule_number
-from ..storage import checkpointed
+from ..storage import checkpointed, salted_join
 from .snapshots import snapshot_rows
 
 EDGE = ["source_table", "field_name", "record_id", "edition", "number"]
@@ -19,35 +19,31 @@ def reference_edges(glossary: DataFrame, questions: DataFrame) -> DataFrame:
 
     Null and blank members are no references; neither are those of records without an id or a readable edition.
     """
-    listed = [
-        ("glossary", "rules", glossary, "term_en", "effective_date", "rules"),
-        ("questions", "retrieval_relevant_rules", questions, "id", "source", "retrieval_relevant_rules"),
-        ("questions", "rules_cited", questions, "id", "source", "expected_answer.rules_cited"),
-        ("questions", "must_cite_rules", questions, "id", "source", "evaluation_criteria.must_cite_rules"),
-    ]
-    parts = [
-        df.select(F.lit(name).alias("source_table"), F.lit(field).alias("field_name"), F.col(key).alias("record_id"), iso_date(F.col(edition)).alias("edition"), F.explode(members).alias("member"))
-        .select(*EDGE[:4], rule_number(F.col("member")).alias("number"))
-        .dropna()
-        for name, field, df, key, edition, members in listed
+    fields = [
+        ("glossary", glossary, "term_en", "effective_date", {"rules": "rules"}),
+        ("questions", questions, "id", "source", {"retrieval_relevant_rules": "retrieval_relevant_rules", "rules_cited": "expected_answer.rules_cited", "must_cite_rules": "evaluation_criteria.must_cite_rules"}),
     ]
+    parts = []
+    for name, df, key, edition, lists in fields:
+        listed = F.array(*(F.struct(F.lit(field).alias("field_name"), F.col(c).alias("members")) for field, c in lists.items()))
+        dated = df.select(F.lit(name).alias("source_table"), F.col(key).alias("record_id"), iso_date(F.col(edition)).alias("edition"), listed.alias("lists")).dropna(subset=["record_id", "edition"])
+        named = dated.select("source_table", "record_id", "edition", F.inline("lists")).select("source_table", "field_name", "record_id", "edition", F.explode("members").alias("member"))
+        parts.append(named.select(*EDGE[:4], rule_number(F.col("member")).alias("number")).where("number is not null"))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def rule_edges(rules: DataFrame) -> DataFrame:
     """What rules refer to in their own snapshot: rules named in the text, and for a sub-rule its parent.
 
-    ``rules`` has effective_date, number, text. Output as of ``reference_edges``; a rule naming itself is no edge.
+    ``rules`` has effective_date, number, text, a row to a number and date. A text is read once, however many
+    snapshots repeat it. Output as of ``reference_edges``; a rule naming itself is no edge.
     """
     parent = F.regexp_extract("number", r"^(\d{3}\.\d+)[a-z]$", 1)
     named = F.transform(rule_mentions(F.coalesce("text", F.lit(""))), lambda n: F.struct(F.lit("text").alias("field_name"), n.alias("to")))
     up = F.when(parent != "", F.array(F.struct(F.lit("parent").alias("field_name"), parent.alias("to")))).otherwise(F.array().cast("array<struct<field_name:string,to:string>>"))
-    return (
-        rules.select(F.lit("rule_entries").alias("source_table"), F.col("number").alias("record_id"), F.col("effective_date").alias("edition"), F.explode(F.concat(named, up)).alias("edge"))
-        .select("source_table", "edge.field_name", "record_id", "edition", F.col("edge.to").alias("number"))
-        .where("number != record_id")
-        .distinct()
-    )
+    texts = rules.groupBy("number", "text").agg(F.collect_set("effective_date").alias("editions"))
+    edges = texts.select("number", "editions", F.explode(F.filter(F.concat(named, up), lambda e: e.to != F.col("number"))).alias("edge"))
+    return edges.select(F.lit("rule_entries").alias("source_table"), "edge.field_name", F.col("number").alias("record_id"), F.explode("editions").alias("edition"), F.col("edge.to").alias("number"))
 
 
 def orphan_cascade(edges: DataFrame, rules: DataFrame) -> DataFrame:
@@ -61,7 +57,8 @@ def orphan_cascade(edges: DataFrame, rules: DataFrame) -> DataFrame:
     orphan is never also an inherited one, as its number names no rule of that edition.
 
     Only distinct (number, edition) pairs are held against the snapshots, so a number that a third of all records
-    name is looked up once. ``rules`` are ``snapshot_rows`` of one language. Empty inputs give no rows.
+    name is looked up once; what is found meets the references again in shares of each pair. A round writes the
+    rules it reached first and nothing else. ``rules`` are ``snapshot_rows`` of one language. Empty inputs give no rows.
     Output: source_table, field_name, record_id, edition, number, status, depth.
     """
     held = rules.select("number", F.col("effective_date").alias("edition")).distinct()
@@ -71,18 +68,16 @@ def orphan_cascade(edges: DataFrame, rules: DataFrame) -> DataFrame:
     status = F.when(F.col("first") < F.col("edition"), "deleted").when(F.col("last") > F.col("edition"), "late").otherwise("missing")
     lost = every.select("number", "edition").distinct().join(held, ["number", "edition"], "left_anti").join(span, "number", "left").select("number", "edition", status.alias("status"))
     lost = checkpointed(lost)
-    direct = every.join(lost, ["number", "edition"]).withColumn("depth", F.lit(0))
+    direct = salted_join(every, lost, ["number", "edition"], "record_id").withColumn("depth", F.lit(0))
 
     nodes = ["edition", "number"]
     as_node = lambda df: df.where("source_table = 'rule_entries'").select("edition", F.col("record_id").alias("number")).distinct()
-    seen = fresh = checkpointed(as_node(direct).withColumn("depth", F.lit(1)))
-    step = 1
-    while not fresh.isEmpty():
-        step += 1
-        reached = as_node(inner.join(fresh, nodes, "left_semi"))
-        fresh = checkpointed(reached.join(seen, nodes, "left_anti").withColumn("depth", F.lit(step)))
-        seen = checkpointed(seen.unionByName(fresh))
-    inherited = every.join(seen, nodes).withColumn("status", F.lit("inherited"))
+    rounds = [checkpointed(as_node(direct))]
+    while not rounds[-1].isEmpty():
+        reached = as_node(salted_join(inner, rounds[-1], nodes, "record_id", how="left_semi"))
+        rounds.append(checkpointed(reduce(lambda df, seen: df.join(seen, nodes, "left_anti"), rounds, reached)))
+    seen = reduce(DataFrame.unionByName, [r.withColumn("depth", F.lit(i)) for i, r in enumerate(rounds, 1)])
+    inherited = salted_join(every, seen, nodes, "record_id").withColumn("status", F.lit("inherited"))
     return direct.unionByName(inherited).select(*EDGE, "status", "depth")
 
 

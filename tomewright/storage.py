@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes that a shuffle's partition holds at least.
@@ -20,24 +21,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, with its lineage cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (a local
-    session, as in tests) a temporary one is made. Every executor can read it, so losing one costs nothing.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session, as in tests, may leave
+    it unset and gets a temporary one; on a cluster that is an error, as no machine's own folder outlives its loss.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least two partitions a core, for work that costs far more than reading.
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread_by: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``few`` (inner or semi), which has a row or so to a key, in a number of shares of each key.
 
-    Decided by Spark's own estimate of the size, so nothing runs for it: a table large enough to be read in that
-    many splits is left as it is, without a shuffle; a smaller one is dealt out.
+    A key that a third of all rows have is so many tasks' work, not one's; ``few`` is repeated once a share.
     """
-    spark = df.sparkSession
-    wanted = 2 * spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    return df if size >= wanted * split else df.repartition(wanted)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    return dealt.join(few.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts))))), [*keys, "_salt"], how).drop("_salt")
