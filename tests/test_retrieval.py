@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -145,11 +146,21 @@ def test_running_count(spark, rows):
 
 
 def test_vector_blocks(spark, rows, monkeypatch):
-    v = spark.createDataFrame([(i, [float((i * 7) % 11), float(i % 5)]) for i in range(40)], "doc_id int, embedding array<float>")
-    q = v.select(F.col("doc_id").alias("query_id"), "embedding")
-    whole = rows(ranking.vector_ranking(v, q, 3))
-    monkeypatch.setattr(ranking, "BLOCK", 7)
-    assert rows(ranking.vector_ranking(v, q, 3)) == whole and len(whole) == 120
+    rng = random.Random(3)
+    data = [(i % 30, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(70)] + [(99, None)]
+    asked = [(f"q{i}", [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(11)] + [("none", None)]
+    v, q = spark.createDataFrame(data, "doc_id int, embedding array<float>"), spark.createDataFrame(asked, "query_id string, embedding array<float>")
+    want = []
+    for name, x in asked[:-1]:
+        best = {}
+        for d, y in data[:-1]:
+            best[d] = max(best.get(d, -99.0), sum(a * b for a, b in zip(x, y)))
+        want += [(name, d, s, i + 1) for i, (d, s) in enumerate(sorted(best.items(), key=lambda t: (-t[1], t[0]))[:7])]
+    for chunk, block in ((512, 256), (3, 2), (1, 1)):
+        monkeypatch.setattr(ranking, "CHUNK", chunk)
+        monkeypatch.setattr(ranking, "BLOCK", block)
+        assert rows(ranking.vector_ranking(v, q, 7)) == sorted(want)
+    assert ranking.vector_ranking(v.limit(0), q, 7).count() == ranking.vector_ranking(v, q.limit(0), 7).count() == 0
 
 
 def test_validation(spark):

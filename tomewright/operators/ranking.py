@@ -5,6 +5,10 @@ Queries, documents and rankings are tables keyed by ``query_id`` and ``doc_id``;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +17,8 @@ from ..storage import checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 POOL, RRF_K, DIGITS = 50, 60, 6
-#: Query vectors that a task holds at once.
-BLOCK = 1024
+#: Vectors and query vectors that are multiplied at once.
+CHUNK, BLOCK = 512, 256
 
 
 def top(scored: DataFrame, k: int, by: list[Column], key: str = "query_id") -> DataFrame:
@@ -61,29 +65,52 @@ def bm25_ranking(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Colum
     return top(scored, k, [F.desc("score"), F.asc("doc_id")])
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def _packed(rows: DataFrame, key: str, vector: str, at_once: int) -> DataFrame:
+    """key and vector of the rows (nulls left out), so many to a row: ids, and their vectors one after the other."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cuts = range(0, len(batch), at_once)
+            yield pd.DataFrame({"ids": [batch["id"].iloc[i : i + at_once].tolist() for i in cuts], "matrix": [np.concatenate(batch["v"].iloc[i : i + at_once].tolist()) for i in cuts]})
+
+    plain = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).dropna()
+    return plain.mapInPandas(pack, f"ids array<{dict(plain.dtypes)['id']}>, matrix array<double>")
+
+
+def _best_of(ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row of ``asked`` the k items of most inner product, ties by id, and their scores; of an item's vectors the best counts."""
+    items, place = np.unique(ids, return_inverse=True)
+    scores = np.full((len(items), len(asked)), -np.inf)
+    np.maximum.at(scores, place, vectors @ asked.T)
+    scores = np.round(scores, DIGITS)
+    least = np.partition(scores, -k, axis=0)[-k] if len(items) > k else np.full(len(asked), -np.inf)
+    for column, bound in zip(scores.T, least, strict=True):
+        own = np.flatnonzero(column >= bound)
+        own = own[np.argsort(-column[own], kind="stable")[:k]]
+        yield items[own], column[own]
 
 
 def vector_ranking(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
     """The k nearest items per query by inner product of unit vectors, exactly.
 
     vectors has doc_id and embedding, with as many rows to an item as it has languages: its best one counts.
-    queries has query_id and embedding, a stated set. Up to BLOCK of them are sent to every task; more meet the
-    vectors in blocks, by a join on (block of queries, share of the vectors), so no task holds more than a block
-    at once. A filter on ``vectors`` is applied before the cut.
+    queries has query_id and embedding, a stated set. Both are packed, a few hundred vectors to a row, and each block
+    of queries meets each block of vectors; the two are multiplied as matrices and only the k best of the block
+    leave the task, which is enough as an item among the best of all is among the best where its best vector is.
+    Spark sends the blocks of queries to every task if they are small enough, else parts of both sides meet. A
+    filter on ``vectors`` is applied before the cut. Null vectors have no place.
     """
-    asked = queries.select("query_id", F.col("embedding").alias("q"))
-    blocks = -(-asked.count() // BLOCK)
-    if blocks <= 1:
-        met = vectors.crossJoin(F.broadcast(asked))
-    else:
-        shares = vectors.sparkSession.sparkContext.defaultParallelism
-        left = vectors.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(shares))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-        met = left.join(right, ["block", "share"])
-    scored = met.select("query_id", "doc_id", dot(F.col("embedding"), F.col("q")).alias("s"))
-    best = scored.groupBy("query_id", "doc_id").agg(F.round(F.max("s"), DIGITS).alias("score"))
+    pairs = _packed(vectors, "doc_id", "embedding", CHUNK).crossJoin(_packed(queries, "query_id", "embedding", BLOCK).toDF("asked", "asked_matrix"))
+    kinds = dict(pairs.dtypes)
+    out = f"query_id {kinds['asked'][6:-1]}, doc_id {kinds['ids'][6:-1]}, score double"
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, matrix, asked, asked_matrix in batch.itertuples(index=False):
+                best = list(_best_of(np.asarray(ids), matrix.reshape(len(ids), -1), asked_matrix.reshape(len(asked), -1), k))
+                yield pd.DataFrame({"query_id": np.repeat(np.asarray(asked), [len(i) for i, _ in best]), "doc_id": np.concatenate([i for i, _ in best]), "score": np.concatenate([s for _, s in best])})
+
+    best = pairs.mapInPandas(score, out).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return top(best, k, [F.desc("score"), F.asc("doc_id")])
 
 
@@ -126,6 +153,6 @@ def fold_groups(ranking: DataFrame, members: DataFrame, k: int) -> DataFrame:
         F.min("rank").alias("first"), F.max("score").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x.doc_id).alias("matched"), F.map_from_entries(F.collect_list(F.struct("doc_id", "score"))).alias("by_doc")
     )
     best = groups.withColumn("group_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).where(F.col("group_rank") <= k)
-    whole = members.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("ord", "doc_id"))).alias("all"))
+    whole = members.join(best.select("parent").distinct(), "parent", "left_semi").groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("ord", "doc_id"))).alias("all"))
     rules = F.transform("all", lambda m: F.struct(m.doc_id.alias("doc_id"), F.coalesce(F.element_at("by_doc", m.doc_id), F.lit(0.0)).alias("score")))
     return best.join(whole, "parent").select("query_id", "group_rank", "parent", "score", "matched", rules.alias("rules"))
