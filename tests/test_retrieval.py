@@ -207,7 +207,94 @@ def test_index_reuse(spark, tmp_path):
     mark = search.fingerprint(spark.createDataFrame([(1, "bb"), (0, "aa")], "ord int, sha256 string"), "model").first()[0]
     assert mark == "aa+bb+model+dual"
     rows = spark.range(3)
-    assert [search.build_or_load(spark, str(tmp_path / "v"), r, m)[1] for r, m in ((rows, mark), (rows, mark), (rows, "other"), (spark.range(4), "other"))] == [False, True, False, False]
+    assert [search.build_or_load(spark, str(tmp_path / "v"), r, m, r.count())[1] for r, m in ((rows, mark), (rows, mark), (rows, "other"), (spark.range(4), "other"))] == [False, True, False, False]
+    assert [search.build_or_load(spark, str(tmp_path / "w"), spark.range(n), m)[1] for n, m in ((3, "a"), (3, "a"), (3, "b"))] == [False, True, False]
+
+
+def test_encoded(spark):
+    def encoder():
+        return lambda texts: [[len(t), 3.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "abcd"), (2, None), (3, "")], "doc_id int, text string")
+    got = {r["doc_id"]: r["embedding"] for r in search.encoded(df, encoder).collect()}
+    assert [round(x, 6) for x in got[1]] == [0.8, 0.6] and got[2] is None and [round(x, 6) for x in got[3]] == [0.0, 1.0]
+    assert {round(r["embedding"][0], 6) for r in search.encoded(df.where("doc_id = 3"), encoder, "multilingual-e5-small", "query").collect()} == {round(7 / math.hypot(7, 3), 6)}
+    assert spark.createDataFrame([("a",), ("",), (None,)], "text_ja string").agg(search.vector_count().alias("n")).first()["n"] == 4
+
+
+def test_groups_judged(spark, rows):
+    found = spark.createDataFrame([("q", 0, 1, "100.1", ["100.1"]), ("q", 0, 2, "200.1", ["200.1", "200.1a"]), ("q", 1, 1, "300.1", ["300.1"]), ("z", 0, 1, "100.1", ["100.1"])], "question_id string, query_ord int, group_rank int, parent string, numbers array<string>")
+    wanted = spark.createDataFrame([("q", "c", ["200.1a", "300.1", "400.1"], ["300.1"]), ("n", "c", ["1"], []), ("e", "d", [], ["1"])], "question_id string, category string, relevant array<string>, must array<string>")
+    judged = evaluation.judged_groups(found, wanted)
+    assert rows(judged.drop("must_recall")) == [("n", "c", 1, 0, 0.0, 0.0), ("q", "c", 3, 1, round(2 / 3, 6), 0.5)]
+    assert {r["question_id"]: r["must_recall"] for r in judged.collect()} == {"n": None, "q": 1.0}
+    total = evaluation.group_summary(judged).where("is_total = 1").first()
+    assert (total["n_questions"], total["recall"], total["must_recall"], total["mrr"]) == (2, 0.333333, 1.0, 0.25)
+    assert rows(evaluation.group_misses(found, wanted)) == [("n", 0.0, ["1"], [])] and evaluation.judged_groups(found.limit(0), wanted.limit(0)).count() == 0
+
+
+def test_answers_scored(spark, rows):
+    questions = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("c", "y", 3), ("d", "y", 4)], "id string, category string, ord int")
+    answers = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "id string, conclusion string")
+    scores = spark.createDataFrame([("a", 6), ("b", 7), ("d", 9)], "id string, score int")
+    assert rows(evaluation.unfinished(questions, answers, scores)) == [("c", "y", "score"), ("d", "y", "answer")]
+    done = evaluation.scored_questions(questions, answers, scores)
+    assert [(r["category"], r["id"], r["conclusion"]) for r in evaluation.first_passes(done).collect()] == [("x", "b", "B")]
+    assert evaluation.first_passes(done.limit(0)).count() == 0
+
+
+def test_percentiles_in_stretches(spark, rows):
+    rng = random.Random(4)
+    data = [("a", rng.randint(-50, 50)) for _ in range(101)] + [(None, 5), (None, None), ("b", 1)]
+    want = sorted((g, *(v[min(int(len(v) * s), len(v) - 1)] for s in (0.5, 0.95))) for g in ("a", "b") for v in [sorted(x for k, x in data if k == g)])
+    for stretch in (1, 7, 1000):
+        got = evaluation.percentiles(spark.createDataFrame(data, "g string, v int"), "g", "v", {"p50": 0.5, "p95": 0.95}, stretch)
+        assert rows(got.where("g is not null")) == want and rows(got.where("g is null")) == [(None, 5, 5)]
+
+
+def test_cards_by_rough_names(spark):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choices("abcd", k=rng.randint(1, 12))) for _ in range(80)})
+    asked = sorted({"".join(rng.choices("abcd", k=rng.randint(1, 12))) for _ in range(60)} | {names[0], names[5].upper(), "zzzzzz", ""})
+
+    def levenshtein(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for q in asked:
+        near = sorted((d, n) for n in names if (d := levenshtein(q.lower(), n)) * 3 <= len(q))
+        want[q] = (near[0][1], near[0][0], "ok") if near and q else (None, None, "not_found")
+    found = cards.find_cards(spark.createDataFrame([(q,) for q in [*asked, None]], "query string"), spark.createDataFrame([(n,) for n in [*names, None, ""]], "name string"))
+    assert {r["query"]: (r["name"], r["distance"], r["status"]) for r in found.collect()} == want
+
+
+def test_lines_of_splits(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("".join(f"line {i} {'x' * (i % 40)}\n" for i in range(3000)))
+    (tmp_path / "short.txt").write_text("one\n\nthree")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = records.numbered_lines(spark, str(tmp_path / "*.txt")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    long = {r["line_no"]: r["line"] for r in got if r["file"].endswith("long.txt")}
+    assert len(long) == 3000 and all(long[i + 1].startswith(f"line {i} ") for i in range(3000))
+    assert {r["line_no"]: r["line"] for r in got if r["file"].endswith("short.txt")} == {1: "one", 2: "", 3: "three"}
+
+
+def test_written_records(spark, tmp_path):
+    g = spark.createDataFrame([("A", None, "d", None, ["1"], [])], records.GLOSSARY)
+    records.write_glossary(g, str(tmp_path / "g"))
+    assert records.optional_json(spark, str(tmp_path / "g" / "*.json"), records.GLOSSARY).first()["definition_en"] == "d"
+    c = spark.createDataFrame([("q", 2, "b", [("b", "B", None)]), ("q", 1, "a", [("a", "A", "あ")])], "question_id string, place int, parent string, rules array<struct<number:string,text_en:string,text_ja:string>>")
+    records.write_contexts(c, str(tmp_path / "c"))
+    line = spark.read.text(str(tmp_path / "c")).first()[0]
+    assert line.index('"parent":"a"') < line.index('"parent":"b"') and '"text_ja":null' in line
 
 
 def test_records(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FACE = "struct<name:string,mana_cost:string,oracle_text:string,power:string,toughness:string,loyalty:string>"
@@ -38,18 +38,29 @@ def with_rulings(cards: DataFrame, rulings: DataFrame) -> DataFrame:
 def find_cards(names: DataFrame, cards: DataFrame) -> DataFrame:
     """query, name, distance, status: the card whose name is the query's, or the nearest within a third of its length.
 
-    The reference leaves the choice to a remote service; this rule is our own. Names are compared in lower case and
-    met by equal first two letters or equal last two, so a slip at both ends at once is not found. Ties go by name.
+    The reference leaves the choice to a remote service; this rule is our own. Names are compared in lower case. A
+    query that d slips may part from a name is cut into d + 1 pieces, of which one must stand in the name as it is,
+    at most d places off; so names meet by piece and place, and none within the bound is missed. Ties go by name.
     """
-    q = names.select("query").distinct().withColumn("q", F.lower("query"))
+    slips = F.floor(F.length("q") / 3).cast("int")
+    q = names.select("query").dropna().distinct().withColumn("q", F.lower("query")).withColumn("slips", slips)
     c = cards.select("name").dropna().distinct().withColumn("c", F.lower("name"))
-    ends = lambda x: F.array(F.concat(F.lit("^"), F.substring(x, 1, 2)), F.concat(F.lit("$"), F.right(F.col(x), F.lit(2))))
-    met = q.withColumn("end", F.explode(ends("q"))).join(c.withColumn("end", F.explode(ends("c"))), "end").select("query", "q", "name", F.levenshtein("q", "c").alias("distance"))
-    near = met.where(F.col("distance") * 3 <= F.length("q"))
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("distance", "name"))).where("n = 1").select("query", "name", "distance")
+    cut = lambda i: F.floor(i * F.length("q") / (F.col("slips") + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("slips")), lambda i: F.struct(cut(i).alias("at"), F.substr("q", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
+    asked = q.select("query", "q", "slips", F.inline(pieces)).where("piece != ''").withColumn("at", F.explode(F.sequence(F.col("at") - F.col("slips"), F.col("at") + F.col("slips"))))
+    parts = F.transform(F.sequence(F.lit(0), F.length("c") - 1), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.struct(i.alias("at"), F.substr("c", i + 1, n).alias("piece"))))
+    held = c.where("c != ''").select("name", "c", F.inline(F.array_distinct(F.flatten(parts))))
+    met = asked.join(held, ["piece", "at"]).where(F.abs(F.length("q") - F.length("c")) <= F.col("slips")).select("query", "q", "slips", "name", "c").distinct()
+    near = met.select("query", "name", "slips", F.levenshtein("q", "c").alias("distance")).where("distance <= slips")
+    best = near.groupBy("query").agg(F.min(F.struct("distance", "name")).alias("best")).select("query", "best.name", "best.distance")
     return q.select("query").join(best, "query", "left").withColumn("status", F.when(F.col("name").isNull(), "not_found").otherwise("ok"))
 
 
+def plain_term(term: Column) -> Column:
+    """Whether a term begins with an ASCII character, as the names of keywords do."""
+    return (F.coalesce(term, F.lit("")) != "") & (F.ascii(term) < 128)
+
+
 def keyword_rules(cards: DataFrame, glossary: DataFrame) -> DataFrame:
     """key, keyword, rules: the glossary's rules for each keyword of a card, by lower case; '-' without any. The last of repeated terms counts."""
     last = glossary.withColumn("keyword", F.lower("term_en")).withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("ord")))).where("n = 1").select("keyword", F.nullif(F.array_join("rules", " "), F.lit("")).alias("rules"))

@@ -26,11 +26,12 @@ def top(scored: DataFrame, k: int, by: list[Column], key: str = "query_id") -> D
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, token, tf and the document's length dl; docs has doc_id and text. Documents without tokens have none."""
-    listed = docs.select("doc_id", tokens(F.col("text")).alias("list"))
-    counted = listed.select("doc_id", F.size("list").alias("dl"), F.explode("list").alias("token"))
-    return counted.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, keep: Column | None = None) -> DataFrame:
+    """doc_id, token, tf, the document's length dl, and whether it is kept; docs has doc_id and text. Documents without tokens have none."""
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    listed = docs.select("doc_id", kept.alias("kept"), tokens(F.col("text")).alias("list"))
+    counted = listed.select("doc_id", "kept", F.size("list").alias("dl"), F.explode("list").alias("token"))
+    return counted.groupBy("doc_id", "kept", "dl", "token").agg(F.count("*").alias("tf"))
 
 
 def idf_weights(post: DataFrame, stats: DataFrame) -> DataFrame:
@@ -41,28 +42,40 @@ def idf_weights(post: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
+def _block_scores(docs: DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
+    """block, query_id, doc_id, score > 0; all rows of a block of documents are in one partition."""
+    post = checkpointed(postings(docs, keep))
+    stats = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    weighted = asked.join(idf_weights(post, stats), "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = post.where("kept").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    every = weighted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "block")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scores = dealt.crossJoin(F.broadcast(stats.select("avgdl"))).join(every, ["block", "token"]).select("block", "query_id", "doc_id", part.alias("part"))
+    return scores.groupBy("block", "query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score > 0")
+
+
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score > 0 of all documents for all queries, by Okapi BM25 with an idf floor.
 
     Statistics are those of all documents, empty ones included; a token counts as often as the query has it.
-    Postings are made once and stored, as frequencies, lengths and scores all read them. Query tokens are joined
-    to them, so documents that share no token with a query never meet it.
+    Postings are made once and stored, as frequencies, lengths and scores all read them. They are dealt to blocks by
+    document, and each block is given the weights of all query tokens: so a token that most documents have is spread
+    over all blocks, a document's score is summed where its postings are, and documents that share no token with a
+    query never meet it.
     """
-    post = checkpointed(postings(docs))
-    stats = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(idf_weights(post, stats), "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = post.crossJoin(F.broadcast(stats.select("avgdl"))).join(weighted, "token").select("query_id", "doc_id", part.alias("part"))
-    return scores.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score > 0")
+    return _block_scores(docs, queries).drop("block")
 
 
 def bm25_ranking(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None = None) -> DataFrame:
-    """The k best documents per query, ties by doc_id. ``keep`` filters after scoring: statistics stay those of all documents."""
-    scored = bm25(docs, queries)
-    if keep is not None:
-        scored = scored.join(docs.where(keep).select("doc_id"), "doc_id", "left_semi")
-    return top(scored, k, [F.desc("score"), F.asc("doc_id")])
+    """The k best documents per query, ties by doc_id. ``keep`` filters after scoring: statistics stay those of all documents.
+
+    The k best of each block are cut where they are scored; only they are shuffled.
+    """
+    by = [F.desc("score"), F.asc("doc_id")]
+    best = _block_scores(docs, queries, keep).withColumn("rank", F.row_number().over(Window.partitionBy("block", "query_id").orderBy(*by))).where(F.col("rank") <= k)
+    return top(best.select("query_id", "doc_id", "score"), k, by)
 
 
 def _packed(rows: DataFrame, key: str, vector: str, at_once: int) -> DataFrame:

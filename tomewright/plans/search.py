@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from ..functions.numbers import number_query, parent_of
 from ..functions.tokens import normalized, tokens
@@ -112,10 +114,14 @@ def contexts(groups: DataFrame, corpus: DataFrame) -> DataFrame:
     return groups.join(whole, "parent").select("question_id", "place", "parent", F.transform("all", lambda r: F.struct(r.number.alias("number"), r.text_en.alias("text_en"), r.text_ja.alias("text_ja"))).alias("rules"))
 
 
-def question_queries(questions: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, question_id, query_ord, text: each question (query_id, text) and, if it contains terms, a second query of them."""
-    second = secondary_queries(questions, terms)
-    return questions.select(F.concat_ws("#", "query_id", F.lit("0")).alias("id"), "query_id", F.lit(0).alias("query_ord"), "text").unionByName(second.select(F.concat_ws("#", "query_id", F.lit("1")).alias("id"), "query_id", F.lit(1).alias("query_ord"), "text")).select(F.col("id").alias("query_id"), F.col("query_id").alias("question_id"), "query_ord", "text")
+def question_queries(questions: DataFrame, terms: DataFrame, rephrasings: DataFrame | None = None) -> DataFrame:
+    """query_id, question_id, query_ord, text: each question (query_id, text), if it contains terms a second query of them, and its rephrasings (id, queries) in order."""
+    second = secondary_queries(questions, terms).select("query_id", F.lit(1).alias("query_ord"), "text")
+    several = questions.select("query_id", F.lit(0).alias("query_ord"), "text").unionByName(second)
+    if rephrasings is not None:
+        own = rephrasings.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi")
+        several = several.unionByName(own.select(F.col("id").alias("query_id"), F.posexplode("queries").alias("pos", "text")).select("query_id", (F.col("pos") + 2).alias("query_ord"), "text"))
+    return several.select(F.concat_ws("#", "query_id", "query_ord").alias("query_id"), F.col("query_id").alias("question_id"), "query_ord", "text")
 
 
 def fingerprint(hashes: DataFrame, model: str) -> DataFrame:
@@ -124,19 +130,54 @@ def fingerprint(hashes: DataFrame, model: str) -> DataFrame:
     return hashes.agg(F.concat(joined, F.lit(f"+{model}+dual")).alias("fingerprint"))
 
 
-def reusable(spark: SparkSession, path: str, mark: str, count: int) -> bool:
-    """Whether a stored table has this fingerprint and row count; a table that is not there can't be reused, other errors are raised."""
+def reusable(spark: SparkSession, path: str, mark: str, count: int | None = None) -> bool:
+    """Whether a stored table has this fingerprint and, if given, row count; a table that is not there can't be reused, other errors are raised."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return False
     stored = spark.read.parquet(path)
     row = stored.agg(F.count("*").alias("n"), F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")).first()
-    return row["n"] == count and row["low"] == row["high"] == mark
+    return count in (None, row["n"]) and row["low"] == row["high"] == mark
 
 
-def build_or_load(spark: SparkSession, path: str, rows: DataFrame, mark: str) -> tuple[DataFrame, bool]:
-    """The stored table of ``rows`` and whether it was reused: it is written anew unless its fingerprint and count are the same."""
-    old = reusable(spark, path, mark, rows.count())
+def build_or_load(spark: SparkSession, path: str, rows: DataFrame, mark: str, count: int | None = None) -> tuple[DataFrame, bool]:
+    """The stored table of ``rows`` and whether it was reused: it is written anew unless its fingerprint and count are the same.
+
+    Without an expected count (as of ``vector_count``) the fingerprint decides, and rows are computed only to be written.
+    """
+    old = reusable(spark, path, mark, count)
     if not old:
         rows.withColumn("fingerprint", F.lit(mark)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).drop("fingerprint"), old
+
+
+def vector_count() -> Column:
+    """The vectors that an index of a corpus has: one a rule, two with a Japanese text."""
+    return F.sum(F.when(F.coalesce("text_ja", F.lit("")) != "", 2).otherwise(1))
+
+
+def model_text(text: Column, model: str, role: str) -> Column:
+    """A text as the model wants it: models of the e5 family take ``query: `` or ``passage: `` before it."""
+    return F.concat(F.lit(f"{role}: "), text) if "e5" in model.lower() else text
+
+
+def encoded(rows: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], model: str = "", role: str = "passage") -> DataFrame:
+    """The rows with the unit vectors (embedding) of their texts; null texts have none.
+
+    ``encoder`` makes, once a task, a function from texts to a matrix: no model file comes with this package.
+    """
+
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = encoder()
+        for texts in batches:
+            out = pd.Series([None] * len(texts), dtype=object)
+            own = np.flatnonzero(texts.notna())
+            if len(own):
+                matrix = np.asarray(of(texts.iloc[own].tolist()), np.float32)
+                matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+                for i, v in zip(own, matrix, strict=True):
+                    out[i] = v
+            yield out
+
+    encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return rows.withColumn("embedding", pandas_udf(encode, ArrayType(FloatType()))(model_text(F.col("text"), model, role)))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .functions.numbers import parent_of, sort_key
 from .functions.text import nfkc_lower, references, rule_mentions, rule_number
 from .functions.tokens import tokens
-from .operators.cards import find_cards, read_cards
-from .operators.evaluation import judged_queries, percentiles, score_report, summary
+from .operators.cards import find_cards, keyword_rules, plain_term, read_cards, with_rulings
+from .operators.evaluation import first_passes, group_misses, group_summary, judged_groups, judged_queries, percentiles, score_report, scored_questions, summary, unfinished
 from .operators.glossary import glossary_ranking, secondary_queries, term_hits, term_table
 from .operators.ingest import bilingual, glossary_blocks, html_glossary, html_lines, keep_first, line_blocks, merge_glossaries, parse_rules, self_check
 from .operators.lookup import direct_lookup
@@ -23,8 +23,9 @@ from .operators.ordered import forward_fill, next_value
 from .operators.ranking import bm25, bm25_ranking, fold_groups, minmax_fusion, rrf, top, vector_ranking
 from .operators.snapshots import chosen_deliveries
 from .operators.validation import question_problems
-from .plans.search import Index, contexts, corpus_members, language_passages, multi_query_groups, passages, question_queries, search
+from .plans.search import Index, contexts, corpus_members, language_passages, multi_query_groups, passages, question_queries, search, vector_count
 from .queries_data import _ASCII, _SNAPSHOTS, _SPACES, _WIDE, _number
+from .sources.records import parsed_lines
 from .storage import checkpointed, table
 
 # The categories and tools that questions may name.
@@ -57,9 +58,22 @@ def relevant_of(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", rule_number(F.col("r")).alias("doc_id")).where("doc_id is not null").distinct()
 
 
-def index_of(spark: SparkSession, sf: str) -> Index:
+def _drawn(spark: SparkSession, sf: str, rows: DataFrame, name: str) -> DataFrame:
+    """The rows (id and more) with the vector that their id draws: no table says what a vector stands for, so a hash does."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    size = vectors.agg((F.max("vec_id") + 1).alias("size"))
+    place = F.conv(F.substring(F.md5(F.col(name)), 1, 8), 16, 10).cast("long")
+    return rows.crossJoin(F.broadcast(size)).withColumn("vec_id", F.pmod(place, "size")).join(vectors, "vec_id").drop("vec_id", "size")
+
+
+def index_of(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> Index:
+    """The index of the corpus; with queries (query_id) also with vectors, two to a bilingual rule."""
     corpus = corpus_of(spark, sf)
-    return Index(passages(corpus), corpus_members(corpus), terms=term_table(glossary_of(spark, sf), corpus))
+    index = Index(passages(corpus), corpus_members(corpus), terms=term_table(glossary_of(spark, sf), corpus))
+    if asked is not None:
+        index.vectors = _drawn(spark, sf, language_passages(corpus).select("id", "doc_id"), "id").select("doc_id", "embedding")
+        index.query_vectors = _drawn(spark, sf, asked.select("query_id"), "query_id")
+    return index
 
 
 def items_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,18 +302,53 @@ def q_json_projection(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+def _raw_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """Card records as JSON, made of the questions: the first card's names, the facts as faces, and for ids that end in an even figure the conclusion as text; every 17th record is cut off."""
+    number = F.regexp_extract("id", r"(\d+)$", 1).try_cast("int")
+    faces = F.transform("expected_answer.key_facts", lambda f: F.struct(f.alias("oracle_text"), F.length(f).cast("string").alias("power")))
+    card = F.struct(F.get("cards", F.lit(0))["en"].alias("name"), F.get("cards", F.lit(0))["ja"].alias("printed_name"), F.when(number % 2 == 0, F.col("expected_answer.conclusion")).otherwise("").alias("oracle_text"), F.array("category").alias("keywords"), faces.alias("card_faces"))
+    return records_of(spark, sf).select(F.col("id").alias("key"), F.when(number % 17 == 0, F.substring(F.to_json(card), 1, 9)).otherwise(F.to_json(card)).alias("json"))
+
+
 def q_cards(spark: SparkSession, sf: str) -> DataFrame:
-    named = records_of(spark, sf).select(F.explode("cards").alias("c")).select("c.en", "c.ja").dropna().distinct()
-    face = F.struct(F.lit("A").alias("oracle_text"), F.lit("3").alias("power"))
-    other = F.struct(F.lit("B").alias("oracle_text"), F.lit("5").alias("power"))
-    raw = named.select(F.col("en").alias("key"), F.to_json(F.struct(F.col("en").alias("name"), F.col("ja").alias("printed_name"), F.lit("").alias("oracle_text"), F.array(face, other).alias("card_faces"))).alias("json"))
-    return read_cards(raw).select("key", "status", "name", "printed_name", "oracle_text", "power")
+    return read_cards(_raw_cards(spark, sf)).select("key", "status", "name", "printed_name", "oracle_text", "power", F.array_join("keywords", " ").alias("keywords"))
+
+
+def q_with_rulings(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards by name with the rulings that each question on them is."""
+    named = records_of(spark, sf).select(F.explode("cards").alias("c"), "category", "question")
+    cards = named.select(F.col("c.en").alias("key"), F.to_json(F.struct(F.col("c.en").alias("id"), F.col("c.en").alias("name"))).alias("json")).dropna().distinct()
+    rulings = named.select(F.col("c.en").alias("card_id"), F.to_json(F.struct(F.array(F.struct(F.col("category").alias("source"), F.col("question").alias("comment"))).alias("data"))).alias("json"))
+    ruled = with_rulings(read_cards(cards), rulings)
+    return ruled.select("key", F.size("rulings").alias("n"), F.element_at("rulings", 1)["source"].alias("source"), F.element_at("rulings", 1)["published_at"].alias("published_at"), F.element_at("rulings", 1)["comment"].alias("comment"))
+
+
+def q_keyword_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of the keywords of cards; a card for each term, with it and one that is no term as keywords."""
+    g = glossary_of(spark, sf)
+    raw = g.select(F.col("term_en").alias("key"), F.to_json(F.struct(F.col("term_en").alias("name"), F.array(F.upper("term_en"), F.lit("No such term")).alias("keywords"))).alias("json")).distinct()
+    return keyword_rules(read_cards(raw), g)
 
 
 def q_find_cards(spark: SparkSession, sf: str) -> DataFrame:
-    """Cards by a name whose last letter is missing."""
+    """Cards by a name whose first and last letter are missing, and by one whose halves are swapped."""
     named = records_of(spark, sf).select(F.explode("cards").alias("c")).select(F.col("c.en").alias("name")).dropna().distinct()
-    return find_cards(named.select(F.expr("substring(name, 1, length(name) - 1)").alias("query")), named)
+    slips = F.array(F.expr("substring(name, 2, length(name) - 2)"), F.expr("concat(substring(name, 1 + length(name) div 2), substring(name, 1, length(name) div 2))"))
+    return find_cards(named.select(F.explode(slips).alias("query")).where("query != ''"), named)
+
+
+def q_jsonl_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Records as lines of JSON, every 19th cut in the middle: which lines can be read."""
+    number = F.regexp_extract("id", r"(\d+)$", 1).try_cast("int")
+    record = F.to_json(F.struct("id", "category"))
+    lines = records_of(spark, sf).select(F.col("category").alias("file"), number.alias("line_no"), F.when(number % 19 == 0, F.substring(record, 1, 7)).otherwise(record).alias("line"))
+    return parsed_lines(lines, "id string, category string").select("file", "line_no", F.col("record.id").alias("id"), "error")
+
+
+def q_glossary_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many terms there are, with Japanese, with rules, and spelled in plain Latin letters; and the vectors that an index of the corpus holds."""
+    terms = glossary_of(spark, sf).agg(F.count("*").alias("n_terms"), F.count_if(F.col("term_ja").isNotNull()).alias("n_ja"), F.count_if(F.size(F.coalesce("rules", F.array().cast("array<string>"))) > 0).alias("n_rules"), F.count_if(plain_term(F.col("term_en"))).alias("n_plain"))
+    return terms.crossJoin(corpus_of(spark, sf).agg(vector_count().alias("n_vectors")))
 
 
 def q_passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -357,16 +406,32 @@ def q_ablation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: groups of rules for the questions, by BM25 and glossary."""
-    return _flat(search(index_of(spark, sf), asked_of(spark, sf)))
+    """The flagship: groups of rules for the questions, by vectors, BM25 and glossary."""
+    asked = asked_of(spark, sf)
+    return _flat(search(index_of(spark, sf, asked), asked))
 
 
 def hybrid_of_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(search(index_of(spark, sf), records_of(spark, sf).select(F.col("id").alias("query_id"), F.col("question").alias("text"))))
+    asked = records_of(spark, sf).select(F.col("id").alias("query_id"), F.col("question").alias("text"))
+    return _flat(search(index_of(spark, sf, asked), asked))
 
 
 def q_hybrid_reranked(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(search(index_of(spark, sf), asked_of(spark, sf), rerank=True))
+    asked = asked_of(spark, sf)
+    return _flat(search(index_of(spark, sf, asked), asked, rerank=True))
+
+
+def q_hybrid_section(spark: SparkSession, sf: str) -> DataFrame:
+    """The same inside one section: vectors and terms filtered before they are ranked, BM25 after it is scored."""
+    asked = asked_of(spark, sf)
+    return _flat(search(index_of(spark, sf, asked), asked, section="702"))
+
+
+def q_search_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Searches for the numbers that the glossary names, which are looked up, and for its terms, which are not."""
+    g = glossary_of(spark, sf).where("definition_en != ''")
+    named = g.select(F.explode("rules").alias("text")).dropna().distinct().unionByName(g.select(F.lower("term_en").alias("text")).distinct())
+    return _flat(search(index_of(spark, sf), named.select(F.col("text").alias("query_id"), "text"), groups=3))
 
 
 def _flat(groups: DataFrame) -> DataFrame:
@@ -378,7 +443,77 @@ def q_contexts(spark: SparkSession, sf: str) -> DataFrame:
     index = index_of(spark, sf)
     queries = question_queries(asked_of(spark, sf), index.terms)
     found = multi_query_groups(search(index, queries.select("query_id", "text")), queries)
-    return contexts(found, corpus_of(spark, sf)).select("question_id", "place", "parent", F.to_json("rules").alias("rules"))
+    shown = F.array_join(F.transform("rules", lambda r: F.concat_ws("|", r.number, F.coalesce(r.text_en, F.lit("")), F.coalesce(r.text_ja, F.lit("-")))), "\n")
+    return contexts(found, corpus_of(spark, sf)).select("question_id", "place", "parent", F.size("rules").alias("n_rules"), F.md5(shown).alias("md5"))
+
+
+def _without_cards(spark: SparkSession, sf: str) -> DataFrame:
+    return asked_of(spark, sf).join(records_of(spark, sf).where("category != 'card_interactions'").select(F.col("id").alias("query_id")), "query_id", "left_semi")
+
+
+def _searched(spark: SparkSession, sf: str, several: bool) -> DataFrame:
+    """What searches find: question_id, query_ord, group_rank, parent and the numbers of the group, for the questions but those on cards."""
+    asked = _without_cards(spark, sf)
+    index = index_of(spark, sf)
+    queries = question_queries(asked, index.terms, rephrasings_of(spark, sf)) if several else asked.select("query_id", F.col("query_id").alias("question_id"), F.lit(0).alias("query_ord"), "text")
+    found = search(index, queries.select("query_id", "text"), groups=5).join(queries.select("query_id", "question_id", "query_ord"), "query_id")
+    return found.select("question_id", "query_ord", "group_rank", "parent", F.transform("rules", lambda r: r.doc_id).alias("numbers"))
+
+
+def rephrasings_of(spark: SparkSession, sf: str) -> DataFrame:
+    """id, queries: other wordings of a question; here those facts of its answer that have words."""
+    facts = F.filter("expected_answer.key_facts", lambda f: F.coalesce(F.trim(f), F.lit("")) != "")
+    return records_of(spark, sf).select("id", facts.alias("queries")).where("size(queries) > 0")
+
+
+def _wanted(spark: SparkSession, sf: str) -> DataFrame:
+    plain = lambda c: F.array_compact(F.transform(F.coalesce(c, F.array().cast("array<string>")), rule_number))
+    rows = records_of(spark, sf).join(_without_cards(spark, sf).select(F.col("query_id").alias("id")), "id", "left_semi")
+    return rows.select(F.col("id").alias("question_id"), "category", F.array_distinct(plain("retrieval_relevant_rules")).alias("relevant"), F.array_distinct(plain("evaluation_criteria.must_cite_rules")).alias("must"))
+
+
+def q_group_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of the relevant rules and of those that must be cited over the groups found, and the rank of the first group that holds a relevant one."""
+    return judged_groups(_searched(spark, sf, False), _wanted(spark, sf))
+
+
+def q_group_eval_several(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where a question is also asked by its terms and in other words: what any of them finds counts, the rank is that of the first."""
+    return judged_groups(_searched(spark, sf, True), _wanted(spark, sf))
+
+
+def q_group_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return group_summary(q_group_eval(spark, sf))
+
+
+def q_group_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions of which less than half was found, with what was expected and the groups that were got."""
+    return group_misses(_searched(spark, sf, False), _wanted(spark, sf)).select("question_id", "recall", F.array_join("expected", " ").alias("expected"), F.array_join("got", " ").alias("got"))
+
+
+def _scored_answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, the answers they hold, and scores of them: facts stated, two points each. Answers of every 11th and scores of every 13th question are withheld."""
+    number = F.regexp_extract("id", r"(\d+)$", 1).try_cast("int")
+    r = records_of(spark, sf).where("category != 'card_interactions'")
+    facts = F.size(F.filter(F.coalesce("expected_answer.key_facts", F.array().cast("array<string>")), lambda f: F.coalesce(F.trim(f), F.lit("")) != ""))
+    answers = r.where(number % 11 != 0).select("id", F.col("expected_answer.conclusion").alias("conclusion"))
+    scores = r.where(number % 13 != 0).select("id", F.least(F.lit(10), facts * 3).alias("score"))
+    return r.select("id", "category", F.col("id").alias("ord")), answers, scores
+
+
+def q_answer_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the questions that are answered and scored, over all and by category."""
+    return score_report(scored_questions(*_scored_answers(spark, sf)), "category")
+
+
+def q_unanswered(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions that lack an answer or a score, with what they lack."""
+    return unfinished(*_scored_answers(spark, sf))
+
+
+def q_first_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """The first question of each category whose answer passes, as an example."""
+    return first_passes(scored_questions(*_scored_answers(spark, sf))).select("category", "id", "score", "conclusion")
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
@@ -515,6 +650,47 @@ def _gloss_rank(queries: str, kind: str) -> str:
   from {_hits(queries)} h join terms t using (term) where t.kind = '{kind}') group by 1, 2)"""
 
 
+def _draw_sql(inside: str = "true") -> str:
+    place = "('0x' || substr(md5({0}), 1, 8))::bigint % (select max(vec_id) + 1 from embeddings)"
+    return f"""
+rule_vec as (select doc_id, embedding::double[] as e from (select doc_id, {place.format("doc_id || '#en'")} as vec_id from en union all select doc_id, {place.format("doc_id || '#ja'")} from ja) join embeddings using (vec_id) where {inside}),
+query_vec as (select query_id, embedding::double[] as e from (select query_id, {place.format("query_id")} as vec_id from asked) join embeddings using (vec_id)),
+v as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select query_id, doc_id, round(max(list_dot_product(r.e, q.e)), 6) as score from rule_vec r, query_vec q group by 1, 2) qualify rank <= 50)"""
+
+
+_DRAWN = _draw_sql()
+
+_SECOND = f"""
+second as (select query_id, string_agg(term, ' ' order by n) as text from (select h.query_id, h.term, row_number() over (partition by h.query_id order by -length(h.term), o.first, h.term) as n
+  from {_hits('asked')} h join (select term, min((ord, lang)) as first from terms group by 1) o using (term)) where n <= 4 group by 1)"""
+
+
+def _eval(queries: str) -> str:
+    """Groups found for queries (query_id, question_id, query_ord, text) of the questions but those on cards, judged."""
+    plain = lambda c: f"list_distinct(list_filter(list_transform(coalesce({c}, []), lambda m: {_number('m')}), lambda n: n is not null))"
+    share = "round(len(list_intersect({0}, got)) / len({0}), 6)"
+    return f"""{_BASE.replace("cast(regexp_extract(id, '([0-9]+)$', 1) as int) % 20 = 0", "cast(regexp_extract(id, '([0-9]+)$', 1) as int) % 20 = 0 and category <> 'card_interactions'")},{_TERMS},{_SECOND},
+qs as ({queries}),
+{_bm('r', 'passages', 'qs', 50)}, g as ({_gloss_rank('qs', 'explicit')}),{_rrf('f', [('r', 1.0), ('g', 1.0)])},{_GROUPS.replace('{0}', 'f').replace('<= 7', '<= 5')},
+found as (select question_id, query_ord, group_rank, parent, string_split(rules, ' ') as numbers from groups join qs using (query_id)),
+lists as (select id as question_id, category, {plain('retrieval_relevant_rules')} as relevant, {plain('evaluation_criteria.must_cite_rules')} as must from recs where id in (select query_id from asked)),
+got as (select question_id, list_distinct(flatten(list(numbers))) as got from found group by 1),
+firsts as (select question_id, min(group_rank) as first from found join lists using (question_id) where query_ord = 0 and len(list_intersect(numbers, relevant)) > 0 group by 1),
+judged as (select question_id, category, len(relevant)::int as n_relevant, len(must)::int as n_must, {share.format('relevant')} as recall, case when len(must) > 0 then {share.format('must')} end as must_recall, round(coalesce(1.0 / first, 0), 6) as rr
+  from (select l.*, coalesce(g.got, []) as got from lists l left join got g using (question_id)) left join firsts using (question_id) where len(relevant) > 0)"""
+
+
+_EVAL_ONE = _eval("select query_id, query_id as question_id, 0 as query_ord, text from asked")
+_EVAL_SEVERAL = _eval(
+    """select query_id || '#0' as query_id, query_id as question_id, 0 as query_ord, text from asked union all select query_id || '#1', query_id, 1, text from second
+  union all select id || '#' || (pos + 1), id, pos + 1, text from (select id, unnest(facts) as text, generate_subscripts(facts, 1) as pos from (select id, list_filter(expected_answer.key_facts, lambda k: coalesce(trim(k, ' '), '') <> '') as facts from recs)) where id in (select query_id from asked)"""
+)
+
+_ANSWERS = f"""{_BASE}, qq as (select id, category, expected_answer, cast(regexp_extract(id, '([0-9]+)$', 1) as int) as k from recs where category <> 'card_interactions'),
+answers as (select id, expected_answer.conclusion as conclusion from qq where k % 11 <> 0),
+scores as (select id, least(10, 3 * len(list_filter(coalesce(expected_answer.key_facts, []), lambda k: coalesce(trim(k, ' '), '') <> ''))) as score from qq where k % 13 <> 0),
+done as (select id, category, conclusion, score from qq join answers using (id) join scores using (id))"""
+
 _NEWEST = f"""with {_SNAPSHOTS},
 top_seq as (select language, max(seq) as seq from chosen group by 1),
 lasts as (select s.*, e.section, e.category from snaps s join top_seq using (language, seq) join (select distinct delivery_id, {_number('number')} as number, ord, text, coalesce(section, '') as section, coalesce(category, '') as category from rule_entries) e
@@ -598,11 +774,25 @@ select doc_id, block, cast(count(*) as int) as n_lines, cast(sum(length(line)) +
     "q_lead_segments": "select delivery_id, ord, min(number) as number, lead(min(number)) over (partition by delivery_id order by ord) as next_number from rule_entries where number is not null group by 1, 2",
     "q_rule_refs": f"""select number, count(distinct doc_id) as n_documents from (select doc_id, unnest(regexp_extract_all(regexp_replace({_plain("coalesce(text, '')")}, '([0-9]{{3}}\\.[0-9]+[a-z]?)', ' \\1 ', 'g'), '(?:^|[^0-9.])\\s([0-9]{{3}}\\.[0-9]+[a-z]?)\\s(?:[^a-z0-9]|$)', 1)) as number from documents) group by 1""",
     "q_json_projection": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
-    "q_cards": f"with {_BASE} select distinct c.en as key, 'ok' as status, c.en as name, c.ja as printed_name, 'A' || chr(10) || '//' || chr(10) || 'B' as oracle_text, '3' as power from (select unnest(cards) as c from recs) where c.en is not null and c.ja is not null",
-    "q_find_cards": f"""with {_BASE}, names as (select distinct c.en as name from (select unnest(cards) as c from recs) where c.en is not null), asks as (select distinct substr(name, 1, length(name) - 1) as query from names),
-near as (select query, name, levenshtein(lower(query), lower(name)) as distance from asks, names where left(lower(query), 2) = left(lower(name), 2) or right(lower(query), 2) = right(lower(name), 2)),
+    "q_nfkc": f"with {_BASE} select term_en, {_plain('term_ja')} as term from gloss",
+    "q_cards": f"""with {_BASE}, k as (select *, cast(regexp_extract(id, '([0-9]+)$', 1) as int) as n, list_filter(expected_answer.key_facts, lambda f: true) as facts from recs),
+c as (select id, n % 17 = 0 as cut, cards[1].en as name, cards[1].ja as printed_name, case when n % 2 = 0 then expected_answer.conclusion else '' end as said, facts, category from k)
+select id as key, case when cut or name is null then 'error' else 'ok' end as status, case when not cut then name end as name, case when not cut then printed_name end as printed_name,
+  case when cut then '' else coalesce(nullif(said, ''), array_to_string(list_transform(coalesce(facts, []), lambda f: coalesce(f, '')), chr(10) || '//' || chr(10)), '') end as oracle_text,
+  case when not cut then length(facts[1])::varchar end as power, case when cut then '' else category end as keywords from c""",
+    "q_with_rulings": f"""with {_BASE}, named as (select unnest(cards) as c, category, question from recs), keys as (select distinct c.en as key from named where c.en is not null)
+select key, case when comment is null then 0 else 1 end::int as n, source, case when comment is not null then '' end as published_at, comment from (select k.key, category as source, coalesce(question, '') as comment from keys k left join named n on n.c.en = k.key)""",
+    "q_keyword_rules": f"""with {_BASE}, cards0 as (select distinct term_en as key from gloss), lasts as (select lower(term_en) as kw, coalesce(nullif(array_to_string(list_filter(rules, lambda r: r is not null), ' '), ''), '-') as rules from gloss qualify row_number() over (partition by lower(term_en) order by term_en desc) = 1)
+select key, upper(key) as keyword, coalesce(l.rules, '-') as rules from cards0 left join lasts l on l.kw = lower(key) union all select key, 'No such term', '-' from cards0""",
+    "q_find_cards": f"""with {_BASE}, names as (select distinct c.en as name from (select unnest(cards) as c from recs) where c.en is not null),
+asks as (select distinct query from (select substr(name, 2, length(name) - 2) as query from names union all select substr(name, 1 + length(name) // 2) || substr(name, 1, length(name) // 2) from names) where query <> ''),
+near as (select query, name, levenshtein(lower(query), lower(name)) as distance from asks, names where abs(length(query) - length(name)) * 3 <= length(query)),
 best as (select * from near where distance * 3 <= length(query) qualify row_number() over (partition by query order by distance, name) = 1)
-select a.query, b.name, b.distance, case when b.name is null then 'not_found' else 'ok' end as status from asks a left join best b using (query)""",
+select a.query, b.name, b.distance::int as distance, case when b.name is null then 'not_found' else 'ok' end as status from asks a left join best b using (query)""",
+    "q_jsonl_errors": f"""with {_BASE}, k as (select *, cast(regexp_extract(id, '([0-9]+)$', 1) as int) as n from recs)
+select category as file, n as line_no, case when n % 19 <> 0 then id end as id, case when n % 19 = 0 then substr('{{"id":"' || id || '"', 1, 7) end as error from k""",
+    "q_glossary_counts": f"""with {_BASE} select count(*) as n_terms, count(term_ja) as n_ja, count(*) filter (len(rules) > 0) as n_rules, count(*) filter (term_en <> '' and ascii(term_en) < 128) as n_plain,
+  (select sum(1 + cast(coalesce(text_ja, '') <> '' as int)) from corp)::bigint as n_vectors from gloss""",
     "q_passages": f"""with {_BASE}, t as (select number, section, 'en' as lang, text_en as t from corp union all select number, section, 'ja', text_ja from corp)
 select number || '#' || lang as id, lang, section, length(number || ' ' || t) as n_chars, sha256(number || ' ' || t) as sha256 from t where coalesce(t, '') <> ''""",
     "q_percentiles": "select source, list_sort(list(n_chars))[least(floor(count(n_chars) * 0.5), count(n_chars) - 1)::int + 1] as p50, list_sort(list(n_chars))[least(floor(count(n_chars) * 0.95), count(n_chars) - 1)::int + 1] as p95 from documents where n_chars is not null group by 1",
@@ -614,9 +804,29 @@ select category, grouping(category) as is_total, count(score) as n, count(*) fil
     "q_ablation": f"""with {_BASE},{_bm('a', 'en', 'asked', 50)},{_bm('b', 'ja', 'asked', 50)},{_rrf('f', [('a', 1.0), ('b', 1.0)])},{_minmax('m0', [('a', 0.5), ('b', 0.5)])},
 m as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from m0 qualify rank <= 50),{_judge('ja1', 'a')},{_judge('jb', 'b')},{_judge('jf', 'f')},{_judge('jm', 'm')}
 select 'bm25 en' as config, {_SUM} from ja1 union all select 'bm25 ja', {_SUM} from jb union all select 'rrf', {_SUM} from jf union all select 'minmax', {_SUM} from jm""",
-    "q_hybrid": f"with {_BASE},{_TERMS},{_bm('r', 'passages', 'asked', 50)}, g as ({_gloss_rank('asked', 'explicit')}),{_rrf('f', [('r', 1.0), ('g', 1.0)])},{_GROUPS.replace('{0}', 'f')} select * from groups",
-    "q_hybrid_reranked": f"""with {_BASE},{_TERMS},{_bm('r', 'passages', 'asked', 50)}, g as ({_gloss_rank('asked', 'explicit')}), gs as ({_gloss_rank('asked', 'section')}),{_rrf('f', [('r', 1.0), ('g', 1.0), ('gs', 0.3)])},
+    "q_hybrid": f"with {_BASE},{_TERMS},{_DRAWN},{_bm('r', 'passages', 'asked', 50)}, g as ({_gloss_rank('asked', 'explicit')}),{_rrf('f', [('v', 1.0), ('r', 1.0), ('g', 1.0)])},{_GROUPS.replace('{0}', 'f')} select * from groups",
+    "q_hybrid_section": f"""with {_BASE},{_TERMS},{_draw_sql("substr(doc_id, 1, 3) = '702'")},{_bm('r', 'passages', 'asked', 50, "substr(doc_id, 1, 3) = '702'")}, g0 as ({_gloss_rank('asked', 'explicit')}),
+g as (select query_id, doc_id, row_number() over (partition by query_id order by rank) as rank from g0 where substr(doc_id, 1, 3) = '702'),{_rrf('f', [('v', 1.0), ('r', 1.0), ('g', 1.0)])},{_GROUPS.replace('{0}', 'f')} select * from groups""",
+    "q_hybrid_reranked": f"""with {_BASE},{_TERMS},{_DRAWN},{_bm('r', 'passages', 'asked', 50)}, g as ({_gloss_rank('asked', 'explicit')}), gs as ({_gloss_rank('asked', 'section')}),{_rrf('f', [('v', 1.0), ('r', 1.0), ('g', 1.0), ('gs', 0.3)])},
 cut as (select c.query_id, c.doc_id, c.rank as old, round(len(list_intersect(q.t, p.t)) / greatest(1, len(q.t)), 9) as s from f c
   join (select query_id, list_distinct({_tok('text')}) as t from asked) q using (query_id) join (select doc_id, list_distinct({_tok('text')}) as t from passages) p using (doc_id) where c.rank <= 50),
 rr as (select query_id, doc_id, 1.0 / rank as score, rank from (select *, row_number() over (partition by query_id order by s desc, old) as rank from cut)),{_GROUPS.replace('{0}', 'rr')} select * from groups""",
+    "q_search_numbers": f"""with {_BASE},{_TERMS}, spoken as (select distinct text from (select unnest(rules) as text from gloss where definition_en <> '') where text is not null union select distinct lower(term_en) from gloss where definition_en <> ''),
+pref as (select text as query_id, text, regexp_extract({_plain('text')}, '^\\s*([0-9]{{3}}(?:\\.[0-9]+[a-z]?)?)\\.?\\s*$', 1) as prefix from spoken),
+words0 as (select query_id, text from pref where prefix = ''),{_bm('r', 'passages', 'words0', 50)}, g as ({_gloss_rank('words0', 'explicit')}),{_rrf('h', [('r', 1.0), ('g', 1.0)])},
+hit as (select distinct query_id, number, prefix from pref, (select distinct number from corp) where prefix <> '' and (number = prefix or substr(number, 1, 3) = prefix or {_parent('number')} = prefix)),
+f as (select query_id, number as doc_id, 1.0::double as score, row_number() over (partition by query_id order by number <> prefix, {_key('number')}) as rank from hit union all select query_id, doc_id, score, rank from h),{_GROUPS.replace('{0}', 'f').replace('<= 7', '<= 3')} select * from groups""",
+    "q_contexts": f"""with {_BASE},{_TERMS},{_SECOND},
+qs as (select query_id || '#0' as query_id, query_id as question_id, 0 as query_ord, text from asked union all select query_id || '#1', query_id, 1, text from second),
+{_bm('r', 'passages', 'qs', 50)}, g as ({_gloss_rank('qs', 'explicit')}),{_rrf('f', [('r', 1.0), ('g', 1.0)])},{_GROUPS.replace('{0}', 'f')},
+placed as (select question_id, parent, row_number() over (partition by question_id order by first, parent) as place from (select question_id, parent, min((query_ord, group_rank)) as first from groups join qs using (query_id) group by 1, 2)),
+whole2 as (select {_parent('number')} as parent, count(*)::int as n_rules, md5(string_agg(number || '|' || coalesce(text_en, '') || '|' || coalesce(nullif(substr(text_ja, 1, 600), ''), '-'), chr(10) order by {_key('number')}, number)) as md5 from corp group by 1)
+select question_id, place, parent, n_rules, md5 from placed join whole2 using (parent)""",
+    "q_group_eval": f"with {_EVAL_ONE} select * from judged",
+    "q_group_eval_several": f"with {_EVAL_SEVERAL} select * from judged",
+    "q_group_summary": f"""with {_EVAL_ONE} select category, grouping(category) as is_total, count(*) as n_questions, round(avg(recall), 6) as recall, round(avg(must_recall), 6) as must_recall, round(avg(rr), 6) as mrr from judged group by rollup (category)""",
+    "q_group_misses": f"""with {_EVAL_ONE} select question_id, recall, array_to_string(list_sort(relevant), ' ') as expected, coalesce((select string_agg(parent, ' ' order by group_rank) from found f where f.question_id = j.question_id and query_ord = 0), '') as got from judged j join lists using (question_id) where recall < 0.5""",
+    "q_answer_report": f"""with {_ANSWERS} select category, grouping(category) as is_total, count(score) as n, count(*) filter (score >= 7) as passed, round(avg(cast(score >= 7 as double)), 6) as pass_rate, round(avg(score), 6) as mean, median(score) as median from done group by rollup (category)""",
+    "q_unanswered": f"with {_ANSWERS} select id, category, case when a.id is null and s.id is null then 'answer score' when a.id is null then 'answer' else 'score' end as lacks from qq left join answers a using (id) left join scores s using (id) where a.id is null or s.id is null",
+    "q_first_passes": f"with {_ANSWERS} select category, id, score, conclusion from done where score >= 7 qualify row_number() over (partition by category order by id) = 1",
 }

@@ -37,14 +37,27 @@ def optional_json(spark: SparkSession, path: str, schema: str, multi_line: bool
     return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """file, line_no from 1, record, error for every non-blank line: broken ones have an error and a null record."""
-    lines = whole_texts(spark, path).select(F.col("doc").alias("file"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_no", "line")).where("trim(line) != ''")
-    parsed = lines.select("file", (F.col("line_no") + 1).alias("line_no"), "line", F.from_json("line", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("record"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no from 1, line of text files, read in splits: a line's number is its place in its split after the lines of the splits before."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(splits.select("file", "split", "first", before.alias("before")), ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
+
+
+def parsed_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """file, line_no, record, error for every non-blank line (file, line_no, line): broken ones have an error and a null record."""
+    own = lines.where("trim(line) != ''")
+    parsed = own.select("file", "line_no", "line", F.from_json("line", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("record"))
     broken = F.col("record").isNull() | F.col("record._corrupt_record").isNotNull()
     return parsed.select("file", "line_no", F.when(~broken, F.col("record").dropFields("_corrupt_record")).alias("record"), F.when(broken, F.col("line")).alias("error"))
 
 
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``parsed_lines`` of files of JSON lines."""
+    return parsed_lines(numbered_lines(spark, path), schema)
+
+
 def merged_lines(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """The last record of each id over all files: those named retry come after the others, else files by name."""
     rows = json_lines(spark, pattern, schema).where("record is not null and record.id is not null")
@@ -61,3 +74,14 @@ def markdown_table(report: DataFrame) -> str:
     """A small aggregated report as Markdown."""
     rows = [report.columns, ["---"] * len(report.columns), *[["" if v is None else str(v) for v in r] for r in report.collect()]]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n"
+
+
+def write_glossary(glossary: DataFrame, path: str) -> None:
+    """A JSON record per term."""
+    glossary.select("term_en", "term_ja", "definition_en", "definition_ja", "rules", "sections").write.mode("overwrite").json(path)
+
+
+def write_contexts(contexts: DataFrame, path: str) -> None:
+    """A JSON line per question: its groups in order, each with its parent and rules; empty texts are null."""
+    groups = F.transform(F.array_sort(F.collect_list(F.struct("place", "parent", "rules"))), lambda g: F.struct(g.parent.alias("parent"), g.rules.alias("rules")))
+    contexts.groupBy(F.col("question_id").alias("id")).agg(groups.alias("groups")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
