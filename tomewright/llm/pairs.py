@@ -102,21 +102,23 @@ def language(text: str) -> str | None:
     return "ja" if han + kata + hira and not words else None
 
 
-def copies(question: str, conclusion: str) -> bool:
-    """The conclusion is the question or its last sentence, once or more, apart from framing."""
+def copies(question: str, asked: str, said: str) -> bool:
+    """The conclusion is the question or its last sentence, once or more, apart from framing; asked and said are the bare question and conclusion."""
+    if len(asked) < 3 or asked[-3:] not in said:  # both end alike
+        return False
     ends = split_text(question, None)
-    said = bare(conclusion)
-    for whole in (question, question[ends[-1][0] :] if ends else question):
-        asked = bare(whole)
-        if len(asked) >= 3 and asked in said and not FRAMING.sub("", FRAMING.sub("", said.replace(asked, ""))):
+    for whole in (asked, bare(question[ends[-1][0] :]) if ends else asked):
+        if len(whole) >= 3 and whole in said and not FRAMING.sub("", FRAMING.sub("", said.replace(whole, ""))):
             return True
     return False
 
 
-def related(question: str, conclusion: str) -> bool:
-    """The conclusion takes up something of the question: a name, or a stretch of four letters (eight in Latin ones) that is more than grammar."""
-    asked, said = bare(question), bare(conclusion)
-    if any(bare(n) in said for n in re.findall(r"《([^》]+)》|\b([A-Z][a-z]{5,})\b", consistent(question) or "") for n in n if n):
+def related(form: str, asked: str, said: str) -> bool:
+    """The conclusion takes up something of the question: a name, or a stretch of four letters (eight in Latin ones) that is more than grammar.
+
+    ``form`` is the question's consistent form; asked and said are the bare question and conclusion.
+    """
+    if any(bare(n) in said for n in re.findall(r"《([^》]+)》|\b([A-Z][a-z]{5,})\b", form) for n in n if n):
         return True
     width = 8 if said.isascii() else 4
     return any((p := said[i : i + width]) in asked and not re.fullmatch("[ぁ-ゖ]+", p) for i in range(len(said) - width + 1))
@@ -181,13 +183,14 @@ def signs_udf(question: pd.Series, conclusion: pd.Series, facts: pd.Series) -> p
     for q, c, k in zip(question, conclusion, facts, strict=True):
         stated = [f for x in (k if k is not None else []) if x and (f := stated_fact(x))[0]]
         no_answer = is_empty(c)
-        asked = language(q) if q else None
-        foreign = bool(asked) and (not no_answer and (x := language(c)) is not None and x != asked or bool(stated) and all(x is not None and x != asked for _, x in stated))
-        form = "" if no_answer else consistent(c) or ""
-        unrelated = not no_answer and not (q and related(q, c))
-        verdict = bool(VERDICT.search(form)) or len(bare(form)) < MIN_LETTERS
+        form, said = ("", "") if no_answer else (consistent(c) or "", bare(c))
+        asked = bare(q) if q else ""
+        lang = language(q) if q else None
+        foreign = bool(lang) and (not no_answer and (x := language(c)) is not None and x != lang or bool(stated) and all(x is not None and x != lang for _, x in stated))
+        unrelated = not no_answer and not (q and related(consistent(q) or "", asked, said))
+        verdict = bool(VERDICT.search(form)) or len(said) < MIN_LETTERS
         forms = [x for x, _ in stated] + ([] if no_answer else [masked(c).rstrip()])
-        rows.append((no_answer or not stated, bool(q) and not no_answer and copies(q, c), verdict, unrelated, foreign, (bare(q) or None) if q else None, " ".join(_PARTICULAR.findall(form)), [] if no_answer else openings(c), forms))
+        rows.append((no_answer or not stated, bool(q) and not no_answer and copies(q, asked, said), verdict, unrelated, foreign, asked or None, " ".join(_PARTICULAR.findall(form)), [] if no_answer else openings(c), forms))
     return pd.DataFrame(rows, columns=_SIGNS.names)
 
 
@@ -253,15 +256,16 @@ def truncated_ids(pieces: DataFrame) -> DataFrame:
 def templates(answers: DataFrame) -> DataFrame:
     """The openings that belong to refusal templates, from answers (opening, asked, verdict, unrelated, particulars).
 
-    Distinct openings are clustered by verified MinHash, and a cluster is judged as a whole, by no list of phrases:
-    it recurs over three prompts or more that have no stretch in common, most of its answers take up nothing of
-    their prompts, it says the same to all (no names or figures that change from answer to answer), and it is no
+    Distinct openings of answers that take up nothing of their prompt are clustered by verified MinHash, and a
+    cluster is judged as a whole, with all answers that have its openings, and by no list of phrases: it recurs over
+    three prompts or more that have no stretch in common, most of its answers take up nothing of them, it says the same to all (no names or figures that change from answer to answer), and it is no
     verdict (yes, no, or too few letters to tell). Prompts are distinct questions by their looks. Answers are
     counted by opening before they meet the clusters, so an opening that a third of all answers share is a few rows.
     """
     n = F.count("*").alias("n")
     by_opening = answers.groupBy("opening", "asked", "particulars").agg(n, *(F.count_if(c).alias(c) for c in ("verdict", "unrelated")))
-    grouped = checkpointed(by_opening.join(clusters(answers.select(F.col("opening").alias("text"))), F.col("opening") == F.col("text")))
+    apart = answers.where("unrelated and not verdict").select(F.col("opening").alias("text"))
+    grouped = checkpointed(by_opening.join(clusters(apart), F.col("opening") == F.col("text")))
     judged = grouped.groupBy("cluster").agg(F.count_distinct("asked").alias("prompts"), F.count_distinct("particulars").alias("particulars"), *(F.sum(c).alias(c) for c in ("n", "verdict", "unrelated")))
     same = checkpointed(judged.where((F.col("prompts") >= MIN_PROMPTS) & (F.col("unrelated") >= MIN_UNRELATED * F.col("n")) & (F.col("verdict") * 2 < F.col("n")) & (F.col("particulars") * 2 <= F.col("prompts"))).select("cluster", "prompts"))
     asked = grouped.where("asked is not null").join(same, "cluster").select("cluster", "prompts", "asked").distinct()
