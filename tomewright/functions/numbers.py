@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The form of a rule number (section, rule, letter), and where malformed ones sort.
 NUMBER = r"^(\d{3})(?:\.(\d+)([a-z])?)?$"
+LAST = 999
 
 
 def parent_of(number: Column) -> Column:
@@ -23,8 +25,8 @@ def sort_key(number: Column) -> Column:
     good = number.rlike(NUMBER)
     as_int = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
     return F.struct(
-        F.when(good, as_int(part(1))).otherwise(999).alias("section"),
-        F.when(good, as_int(part(2))).otherwise(999).alias("sub"),
+        F.when(good, as_int(part(1))).otherwise(LAST).alias("section"),
+        F.when(good, as_int(part(2))).otherwise(LAST).alias("sub"),
         F.when(good, F.coalesce(part(3), F.lit(""))).otherwise(number).alias("letter"),
     )
 

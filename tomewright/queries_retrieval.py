@@ -17,7 +17,7 @@ from .functions.tokens import tokens
 from .operators.cards import find_cards, keyword_rules, plain_term, read_cards, with_rulings
 from .operators.evaluation import first_passes, group_misses, group_summary, judged_groups, judged_queries, percentiles, score_report, scored_questions, summary, unfinished
 from .operators.glossary import glossary_ranking, secondary_queries, term_hits, term_table
-from .operators.ingest import bilingual, glossary_blocks, html_glossary, html_lines, keep_first, line_blocks, merge_glossaries, parse_rules, self_check
+from .operators.ingest import bilingual, glossary_blocks, html_glossary, html_lines, keep_first, line_blocks, merge_glossaries, nth_line, parse_rules, self_check
 from .operators.lookup import direct_lookup
 from .operators.ordered import forward_fill, next_value
 from .operators.ranking import bm25, bm25_ranking, fold_groups, minmax_fusion, rrf, top, vector_ranking
@@ -215,12 +215,13 @@ def q_glossary_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The deliveries as rulebooks: section headings and rule lines; what follows a line break is a line of its own."""
+    """The deliveries as rulebooks: section headings and rule lines; what follows a line break is a line of its own. The glossary is named in the contents, and comes after place 150."""
     rows = table(spark, sf, "rule_entries")
     rules = rows.select(F.col("delivery_id").alias("doc"), (F.col("ord").cast("long") * 1000 + 1).alias("base"), F.split(F.concat_ws(". ", F.trim("number"), "text"), "\n").alias("parts"), "number", "text")
     rules = rules.groupBy("doc", "base").agg(F.min("parts").alias("parts")).select("doc", "base", F.posexplode("parts").alias("pos", "line")).select("doc", (F.col("base") + F.col("pos")).alias("line_no"), F.trim("line").alias("line"))
     heads = rows.where("section is not null and category is not null and category != ''").groupBy(F.col("delivery_id").alias("doc"), (F.col("ord").cast("long") * 1000).alias("line_no")).agg(F.min(F.concat_ws(". ", "section", "category")).alias("line"))
-    return rules.unionByName(heads)
+    titles = rows.select(F.col("delivery_id").alias("doc")).distinct().select("doc", F.explode(F.array(F.lit(-1).cast("long"), F.lit(150_999).cast("long"))).alias("line_no"), F.lit("Glossary").alias("line"))
+    return rules.unionByName(heads).unionByName(titles)
 
 
 def q_parse_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,8 +284,9 @@ def q_forward_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_nth_occurrence(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    return table(spark, sf, "events").select("event_id", "user_id", "event_type", F.row_number().over(w).alias("n")).where("n = 2").drop("n")
+    """The second signup of each user, as the second glossary title of a book is found."""
+    lines = table(spark, sf, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("line_no"), F.col("event_type").alias("line"))
+    return nth_line(lines, ("signup",), 2).select(F.col("doc").alias("user_id"), F.col("line_no").alias("event_id"))
 
 
 def q_lead_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -740,7 +742,7 @@ lines as (select doc, base + generate_subscripts(parts, 1) - 1 as line_no, trim(
 marked as (select *, regexp_matches(line, '^[0-9]{3}\\.[0-9]+[a-z]?\\.?\\s+.+$') as is_rule from lines),
 filled as (select *, last_value(case when not is_rule and regexp_matches(line, '^[0-9]{3}\\.\\s+.+$') then regexp_extract(line, '^[0-9]{3}\\.\\s+(.+)$', 1) end ignore nulls) over (partition by doc order by line_no rows unbounded preceding) as category from marked)
 select doc, number, text, section, coalesce(category, '') as category from (
-  select doc, line_no, category, regexp_extract(line, '^([0-9]{3}\\.[0-9]+[a-z]?)', 1) as number, regexp_extract(line, '^[0-9]{3}\\.[0-9]+[a-z]?\\.?\\s+(.+)$', 1) as text, substr(line, 1, 3) as section from filled where is_rule)
+  select doc, line_no, category, regexp_extract(line, '^([0-9]{3}\\.[0-9]+[a-z]?)', 1) as number, regexp_extract(line, '^[0-9]{3}\\.[0-9]+[a-z]?\\.?\\s+(.+)$', 1) as text, substr(line, 1, 3) as section from filled where is_rule) where line_no < 150999
 qualify row_number() over (partition by doc, number order by line_no) = 1""",
     "q_html_lines": f"""with {_BASE}, said as (select number as doc, unnest([(1, number), (2, {_squeezed("coalesce(text_en, '')")}), (3, {_squeezed("coalesce(text_ja, '')")}), (4, '&'), (5, {_squeezed("coalesce(category, '')")})], recursive := false) as x, hash(number, text_en, text_ja, category) as h from corp),
 lines as (select doc, h, x[1] as pos, x[2] as line from said where x[2] <> '')
@@ -770,7 +772,7 @@ select doc_id, block, cast(count(*) as int) as n_lines, cast(sum(length(line)) +
     "q_keep_first": "select delivery_id, number, ord, text from rule_entries where number is not null qualify row_number() over (partition by delivery_id, number order by ord, text nulls first) = 1",
     "q_keep_last": f"with {_BASE} select id, question, loaded_at from recs",
     "q_forward_fill": "select event_id, user_id, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as last_signup from events",
-    "q_nth_occurrence": "select event_id, user_id, event_type from events qualify row_number() over (partition by user_id, event_type order by event_id) = 2",
+    "q_nth_occurrence": "select event_id, user_id from events where event_type = 'signup' qualify row_number() over (partition by user_id order by event_id) = 2",
     "q_lead_segments": "select delivery_id, ord, min(number) as number, lead(min(number)) over (partition by delivery_id order by ord) as next_number from rule_entries where number is not null group by 1, 2",
     "q_rule_refs": f"""select number, count(distinct doc_id) as n_documents from (select doc_id, unnest(regexp_extract_all(regexp_replace({_plain("coalesce(text, '')")}, '([0-9]{{3}}\\.[0-9]+[a-z]?)', ' \\1 ', 'g'), '(?:^|[^0-9.])\\s([0-9]{{3}}\\.[0-9]+[a-z]?)\\s(?:[^a-z0-9]|$)', 1)) as number from documents) group by 1""",
     "q_json_projection": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
