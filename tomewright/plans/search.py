@@ -28,9 +28,10 @@ def passages(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.col("number").alias("doc_id"), F.concat(F.col("number"), F.lit(" "), F.coalesce("text_en", F.lit("")), ja).alias("text"))
 
 
-def language_passages(corpus: DataFrame) -> DataFrame:
-    """id (number#language), doc_id, lang, section, text: a row per language that has a text."""
-    both = F.array(F.struct(F.lit("en").alias("lang"), F.col("text_en").alias("t")), F.struct(F.lit("ja").alias("lang"), F.col("text_ja").alias("t")))
+def language_passages(corpus: DataFrame, fallback: bool = False) -> DataFrame:
+    """id (number#language), doc_id, lang, section, text: a row per language that has a text; with ``fallback`` the English stands in for a missing Japanese one."""
+    ja = F.coalesce(F.nullif("text_ja", F.lit("")), F.col("text_en")) if fallback else F.col("text_ja")
+    both = F.array(F.struct(F.lit("en").alias("lang"), F.col("text_en").alias("t")), F.struct(F.lit("ja").alias("lang"), ja.alias("t")))
     rows = corpus.select("number", "section", F.explode(both).alias("p")).where("coalesce(p.t, '') != ''")
     return rows.select(F.concat_ws("#", "number", "p.lang").alias("id"), F.col("number").alias("doc_id"), F.col("p.lang").alias("lang"), "section", F.concat_ws(" ", "number", "p.t").alias("text"))
 

@@ -23,7 +23,7 @@ from .operators.ordered import forward_fill, next_value
 from .operators.ranking import bm25, bm25_ranking, fold_groups, minmax_fusion, rrf, top, vector_ranking
 from .operators.snapshots import chosen_deliveries
 from .operators.validation import question_problems
-from .plans.search import Index, contexts, corpus_members, language_passages, multi_query_groups, passages, question_queries, search, vector_count
+from .plans.search import Index, contexts, corpus_members, language_passages, multi_query_groups, passages, question_queries, reranked, search, vector_count
 from .queries_data import _ASCII, _SNAPSHOTS, _SPACES, _WIDE, _number
 from .sources.records import parsed_lines
 from .storage import checkpointed, table
@@ -400,10 +400,21 @@ def q_score_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """How well systems and their fusions find what they should: vectors of one language and of two, words of each language and of both, and the best fusion reranked."""
     asked = asked_of(spark, sf)
-    en, ja = (checkpointed(bm25_ranking(one_language(spark, sf, x), asked)) for x in ("en", "ja"))  # each is read by three of the four
+    corpus = corpus_of(spark, sf)
+    docs, dual = passages(corpus), language_passages(corpus, fallback=True).select("id", "doc_id", "lang")
+    en, ja = (checkpointed(bm25_ranking(one_language(spark, sf, x), asked)) for x in ("en", "ja"))  # each is read by several
+    both = checkpointed(bm25_ranking(docs, asked))
+    query_vectors = _drawn(spark, sf, asked.select("query_id"), "query_id")
+    vectors = checkpointed(_drawn(spark, sf, dual, "id").select("doc_id", "lang", "embedding"))
+    one, two = (checkpointed(vector_ranking(v, query_vectors)) for v in (vectors.where("lang = 'en'"), vectors))
     fused = top(minmax_fusion([(en, 0.5), (ja, 0.5)]), 50, [F.desc("score"), F.asc("doc_id")])
-    configs = [("bm25 en", en), ("bm25 ja", ja), ("rrf", rrf([(en, 1.0), (ja, 1.0)])), ("minmax", fused)]
+    mixed = checkpointed(rrf([(two, 1.0), (both, 1.0)]))
+    configs = [
+        ("bm25 en", en), ("bm25 ja", ja), ("bm25 both", both), ("vector en", one), ("vector dual", two), ("rrf en ja", rrf([(en, 1.0), (ja, 1.0)])), ("minmax en ja", fused), ("rrf dual ja", rrf([(two, 1.0), (ja, 1.0)])), ("rrf dual both", mixed),
+        ("rrf dual both ja", rrf([(two, 1.0), (both, 1.0), (ja, 1.0)])), ("rrf dual both, reranked", reranked(mixed, asked, docs)),
+    ]
     return reduce(DataFrame.unionByName, [summary(_judged(spark, sf, r), []).withColumn("config", F.lit(name)) for name, r in configs])
 
 
@@ -652,14 +663,20 @@ def _gloss_rank(queries: str, kind: str) -> str:
   from {_hits(queries)} h join terms t using (term) where t.kind = '{kind}') group by 1, 2)"""
 
 
-def _draw_sql(inside: str = "true") -> str:
+def _draw_sql(inside: str = "true", name: str = "v", langs: tuple[str, ...] = ("en", "ja"), fallback: bool = False, shared: bool = True) -> str:
+    """The 50 rules whose drawn vectors are nearest; with fallback a rule without Japanese has its English text twice."""
     place = "('0x' || substr(md5({0}), 1, 8))::bigint % (select max(vec_id) + 1 from embeddings)"
-    return f"""
-rule_vec as (select doc_id, embedding::double[] as e from (select doc_id, {place.format("doc_id || '#en'")} as vec_id from en union all select doc_id, {place.format("doc_id || '#ja'")} from ja) join embeddings using (vec_id) where {inside}),
-query_vec as (select query_id, embedding::double[] as e from (select query_id, {place.format("query_id")} as vec_id from asked) join embeddings using (vec_id)),
-v as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select query_id, doc_id, round(max(list_dot_product(r.e, q.e)), 6) as score from rule_vec r, query_vec q group by 1, 2) qualify rank <= 50)"""
+    source = {"en": "en", "ja": "(select doc_id from en union select doc_id from ja)" if fallback else "ja"}
+    ids = " union all ".join(f"select doc_id, {place.format(f"doc_id || '#{x}'")} as vec_id from {source[x]}" for x in langs)
+    asked = f"""
+query_vec as (select query_id, embedding::double[] as e from (select query_id, {place.format("query_id")} as vec_id from asked) join embeddings using (vec_id)),"""
+    return f"""{asked if shared else ''}
+rule_{name} as (select doc_id, embedding::double[] as e from ({ids}) join embeddings using (vec_id) where {inside}),
+{name} as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select query_id, doc_id, round(max(list_dot_product(r.e, q.e)), 6) as score from rule_{name} r, query_vec q group by 1, 2) qualify rank <= 50)"""
 
 
+#: The rankings of q_ablation, as SQL names them.
+_ABLATION = {"a": "bm25 en", "b": "bm25 ja", "c": "bm25 both", "ve": "vector en", "vd": "vector dual", "f": "rrf en ja", "m": "minmax en ja", "x": "rrf dual ja", "y": "rrf dual both", "z": "rrf dual both ja", "rr": "rrf dual both, reranked"}
 _DRAWN = _draw_sql()
 
 _SECOND = f"""
@@ -803,9 +820,13 @@ select number || '#' || lang as id, lang, section, length(number || ' ' || t) as
     "q_misses": f"with {_BASE},{_bm('r', 'passages', 'asked', 50)},{_judge('j', 'r')} select j.query_id, j.recall, string_agg(w.doc_id, ' ' order by w.doc_id) as expected from j join wanted w using (query_id) where recall < 0.5 group by 1, 2",
     "q_score_report": f"""with {_BASE},{_bm('r', 'passages', 'asked', 50)},{_judge('j', 'r')}, s as (select category, cast(floor(recall * 10) as int) as score from j join recs on recs.id = j.query_id)
 select category, grouping(category) as is_total, count(score) as n, count(*) filter (score >= 7) as passed, round(avg(cast(score >= 7 as double)), 6) as pass_rate, round(avg(score), 6) as mean, median(score) as median from s group by rollup (category)""",
-    "q_ablation": f"""with {_BASE},{_bm('a', 'en', 'asked', 50)},{_bm('b', 'ja', 'asked', 50)},{_rrf('f', [('a', 1.0), ('b', 1.0)])},{_minmax('m0', [('a', 0.5), ('b', 0.5)])},
-m as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from m0 qualify rank <= 50),{_judge('ja1', 'a')},{_judge('jb', 'b')},{_judge('jf', 'f')},{_judge('jm', 'm')}
-select 'bm25 en' as config, {_SUM} from ja1 union all select 'bm25 ja', {_SUM} from jb union all select 'rrf', {_SUM} from jf union all select 'minmax', {_SUM} from jm""",
+    "q_ablation": f"""with {_BASE},{_draw_sql(name='vd', fallback=True)},{_draw_sql(name='ve', langs=('en',), fallback=True, shared=False)},{_bm('a', 'en', 'asked', 50)},{_bm('b', 'ja', 'asked', 50)},{_bm('c', 'passages', 'asked', 50)},{_rrf('f', [('a', 1.0), ('b', 1.0)])},{_rrf('x', [('vd', 1.0), ('b', 1.0)])},{_rrf('y', [('vd', 1.0), ('c', 1.0)])},{_rrf('z', [('vd', 1.0), ('c', 1.0), ('b', 1.0)])},
+{_minmax('m0', [('a', 0.5), ('b', 0.5)])}, m as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from m0 qualify rank <= 50),
+cut as (select c.query_id, c.doc_id, c.rank as old, round(len(list_intersect(q.t, p.t)) / greatest(1, len(q.t)), 9) as s from y c
+  join (select query_id, list_distinct({_tok('text')}) as t from asked) q using (query_id) join (select doc_id, list_distinct({_tok('text')}) as t from passages) p using (doc_id) where c.rank <= 50),
+rr as (select query_id, doc_id, row_number() over (partition by query_id order by s desc, old) as rank from cut),
+{','.join(_judge('j_' + r, r) for r in _ABLATION)}
+{' union all '.join(f"select '{name}' as config, {_SUM} from j_{r}" for r, name in _ABLATION.items())}""",
     "q_hybrid": f"with {_BASE},{_TERMS},{_DRAWN},{_bm('r', 'passages', 'asked', 50)}, g as ({_gloss_rank('asked', 'explicit')}),{_rrf('f', [('v', 1.0), ('r', 1.0), ('g', 1.0)])},{_GROUPS.replace('{0}', 'f')} select * from groups",
     "q_hybrid_section": f"""with {_BASE},{_TERMS},{_draw_sql("substr(doc_id, 1, 3) = '702'")},{_bm('r', 'passages', 'asked', 50, "substr(doc_id, 1, 3) = '702'")}, g0 as ({_gloss_rank('asked', 'explicit')}),
 g as (select query_id, doc_id, row_number() over (partition by query_id order by rank) as rank from g0 where substr(doc_id, 1, 3) = '702'),{_rrf('f', [('v', 1.0), ('r', 1.0), ('g', 1.0)])},{_GROUPS.replace('{0}', 'f')} select * from groups""",
