@@ -229,7 +229,7 @@ def test_groups_judged(spark, rows):
     assert rows(judged.drop("must_recall")) == [("n", "c", 1, 0, 0.0, 0.0), ("q", "c", 3, 1, round(2 / 3, 6), 0.5)]
     assert {r["question_id"]: r["must_recall"] for r in judged.collect()} == {"n": None, "q": 1.0}
     total = evaluation.group_summary(judged).where("is_total = 1").first()
-    assert (total["n_questions"], total["recall"], total["must_recall"], total["mrr"]) == (2, 0.333333, 1.0, 0.25)
+    assert (total["n_questions"], total["recall"], total["must_recall"], total["mrr"]) == (2, 0.333334, 1.0, 0.25)
     assert rows(evaluation.group_misses(found, wanted)) == [("n", 0.0, ["1"], [])] and evaluation.judged_groups(found.limit(0), wanted.limit(0)).count() == 0
 
 

@@ -50,7 +50,8 @@ def _block_scores(docs: DataFrame, queries: DataFrame, keep: Column | None = Non
     weighted = asked.join(idf_weights(post, stats), "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = post.where("kept").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    every = weighted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "block")
+    # by hint, as Spark takes the repeated weights for fewer than they are and might send them all to every task
+    every = weighted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "block").hint("shuffle_hash")
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = dealt.crossJoin(F.broadcast(stats.select("avgdl"))).join(every, ["block", "token"]).select("block", "query_id", "doc_id", part.alias("part"))
     return scores.groupBy("block", "query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score > 0")

@@ -51,4 +51,4 @@ def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread_by: str
     A key that a third of all rows have is so many tasks' work, not one's; ``few`` is repeated once a share.
     """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    return dealt.join(few.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts))))), [*keys, "_salt"], how).drop("_salt")
+    return dealt.join(few.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts))))).hint("merge"), [*keys, "_salt"], how).drop("_salt")
