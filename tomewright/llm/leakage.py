@@ -31,7 +31,7 @@ PIECE = 1 << 15
 #: Least weighted similarity of two windows.
 SIMILARITY = 0.8
 #: Shares that the windows of documents are dealt to, so that a passage that a third of them hold is no single task.
-SALTS = 16
+SALTS = 8
 #: Windows fingerprinted at once.
 TOGETHER = 1 << 14
 _DROP = re.compile(f"[{INVISIBLE}]+")
@@ -224,7 +224,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
         wanted.append(own)
         held.append(_windows(stored, passage, window_of(passage)[1], block_filter(own, passage)))
     sought = reduce(DataFrame.unionByName, wanted).select(F.col("id").alias("item_id"), "passage", F.col("start").alias("to"), F.col("print").alias("item_print"), _blocks())
-    sought = sought.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    # shuffled by hint: Spark takes the repeated windows for fewer than they are and would send them all to every task
+    sought = sought.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).hint("shuffle_hash")
     met = reduce(DataFrame.unionByName, held).select("id", "passage", "start", "print", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), _blocks()).join(sought, ["passage", "block", "value", "salt"])
     near = met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     along = near.groupBy("id", "item_id", "passage", (F.col("to") - F.col("start")).alias("shift")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
