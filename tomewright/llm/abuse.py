@@ -28,7 +28,7 @@ REMEMBERED = 200_000
 #: Sentences scored at once; their terms' vectors are what a task holds.
 TOGETHER = 1_000
 #: Scored sentences that a task keeps in mind.
-SENTENCES = 50_000
+SENTENCES = 100_000
 #: Buckets terms are hashed to, and length of their interaction vectors.
 BUCKETS, FACTORS = 1 << 20, 6
 #: A term is known if so many labelled documents hold it, however many there are; the fit's regularization weighs rare ones.
@@ -55,12 +55,15 @@ _MENTION = re.compile(r"(?<!\w)@\w{3,}")
 _WORD = re.compile(r"[a-z']+|[\u3040-ヿ㐀-鿿々]+|[가-힣]+|[^\W\d_a-z]+")
 _CJK = re.compile(r"[\u3040-ヿ㐀-鿿々]")
 _CARD = re.compile(r"《[^》]*》")
+#: What stands between sentences that are spelled together.
+_END = "\0"
 
 
 def pieces(text: str | None) -> list[str]:
     """The text's sentences as stored, but for width, look-alikes, invisible characters and names."""
     if not text:
         return []
+    text = text.replace(_END, " ")
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _DROP.sub("", text))
         if _FOREIGN.search(text):
@@ -69,20 +72,16 @@ def pieces(text: str | None) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
 
 
-def plain_sentence(s: str) -> str:
-    """A sentence in one spelling: case and kana folded, laughs, letters repeated and spacing inside words gone."""
-    s = s.lower()
-    if not s.isascii():
-        s = _KATAKANA.sub(lambda m: m[0].translate(_KANA), s)
-        if _CJK.search(s):
-            s = _LAUGH.sub("", s)
-    s = _SPACED.sub(lambda m: _GAP.sub("", m[0]), s)
-    s = _LEET_WORD.sub(lambda m: m[0].translate(_LEET), s)
-    return _REPEAT.sub(r"\1", _MASKED.sub("", s))
-
-
-def plain_sentences(text: str | None) -> list[str]:
-    return [plain_sentence(s) for s in pieces(text)]
+def plain_sentences(sentences: list[str]) -> list[str]:
+    """Sentences in one spelling: case and kana folded, laughs, letters repeated and spacing inside words gone."""
+    text = _END.join(sentences).lower()
+    if not text.isascii():
+        text = _KATAKANA.sub(lambda m: m[0].translate(_KANA), text)
+        if "ww" in text:
+            text = _END.join(_LAUGH.sub("", s) if "ww" in s and _CJK.search(s) else s for s in text.split(_END))
+    text = _SPACED.sub(lambda m: _GAP.sub("", m[0]), text)
+    text = _LEET_WORD.sub(lambda m: m[0].translate(_LEET), text)
+    return _REPEAT.sub(r"\1", _MASKED.sub("", text)).split(_END)
 
 
 def terms(sentence: str) -> set[str]:
@@ -90,8 +89,8 @@ def terms(sentence: str) -> set[str]:
     found: set[str] = set()
     before = ""
     for w in _WORD.findall(sentence):
-        if _CJK.match(w):
-            found.update(c for c in w if c > "ヿ")
+        if "\u3040" <= (c := w[0]) <= "ヿ" or "㐀" <= c <= "鿿" or c == "々":
+            found.update([c for c in w if c > "ヿ"])
             found.update(map(add, w, w[1:]))
             found.update(map(add, map(add, w, w[1:]), w[2:]))
             before = ""
@@ -184,7 +183,7 @@ class Scorer:
             self.row, self.table = {}, self.table[:0]
         fresh = [s for s in dict.fromkeys(x for own in held for x in own) if s not in self.row]
         self.row.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
-        self.table = np.concatenate([self.table, self.machine.scores([plain_sentence(s) for s in fresh], self.known)])
+        self.table = np.concatenate([self.table, self.machine.scores(plain_sentences(fresh) if fresh else [], self.known)])
         owners = [i for i, own in enumerate(held) if own]
         if owners:
             places = np.array([self.row[s] for own in held for s in own])
@@ -239,8 +238,7 @@ def fit(labelled: list[tuple[str | None, frozenset[str]]]) -> Machine:
     unlabelled; so is a labelled text no sentence of which stands out, and a sentence of a text labelled none
     that scores high, as a few labels are wrong. A sentence is of the kind most of its texts are labelled with.
     """
-    docs = [(list(dict.fromkeys(plain_sentences(t))), kinds) for t, kinds in labelled]
-    docs = [(s, k) for s, k in docs if s]
+    docs = [(list(dict.fromkeys(plain_sentences(p))), kinds) for t, kinds in labelled if (p := pieces(t))]
     hashed = [[{bucket(t) for t in terms(x)} for x in s] for s, _ in docs]
     seen = Counter(b for d in hashed for b in set().union(*d))
     machine = _start(sorted(b for b, n in seen.items() if n >= MIN_DOCUMENTS))
