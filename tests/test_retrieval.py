@@ -192,6 +192,13 @@ def test_search(spark):
     q = spark.createDataFrame([("n", "100.1a"), ("m", "300.1"), ("t", "a tall tale of 200.1"), ("e", "")], "query_id string, text string")
     got = {(r["query_id"], r["group_rank"]): r["parent"] for r in search.search(index, q).collect()}
     assert got[("n", 1)] == "100.1" and ("m", 1) not in got and ("e", 1) not in got and {got[("t", 1)], got[("t", 2)]} == {"200.1", "200.2"}
+    v = spark.createDataFrame([("100.1", [1.0, 0.0]), ("200.1", [0.0, 1.0]), ("200.2", [0.6, 0.8]), ("200.2", [0.8, 0.6])], "doc_id string, embedding array<float>")
+    asked = spark.createDataFrame([("n", [0.0, 1.0]), ("e", [0.0, 1.0]), ("t", [1.0, 0.0])], "query_id string, embedding array<float>")
+    near = {(r["query_id"], r["group_rank"]): r["parent"] for r in search.search(search.Index(index.docs, index.members, vectors=v, terms=index.terms, query_vectors=asked), q).collect()}
+    assert near[("n", 1)] == "100.1" and ("n", 2) not in near  # a number is looked up, whatever its vector is near
+    assert [near[("e", i)] for i in (1, 2, 3)] == ["200.1", "200.2", "100.1"]  # an empty query has its vector alone
+    inside = search.search(search.Index(index.docs, index.members, vectors=v, query_vectors=asked), q, section="100")
+    assert {(r["query_id"], r["parent"]) for r in inside.collect()} == {("n", "100.1"), ("e", "100.1"), ("t", "100.1")}
     only = search.search(index, q, section="200").collect()
     assert {r["parent"] for r in only} <= {"200.1", "200.2"} and only
     again = search.search(index, q, rerank=True)

@@ -69,7 +69,8 @@ def hybrid_ranking(index: Index, queries: DataFrame, section: str | None = None,
     within = lambda df: df if inside is None else df.join(inside, "doc_id", "left_semi")
     systems: list[tuple[DataFrame, float]] = []
     if index.vectors is not None and index.query_vectors is not None:
-        systems.append((vector_ranking(within(index.vectors), index.query_vectors), 1.0))
+        asked = index.query_vectors.join(queries.select("query_id"), "query_id", "left_semi")
+        systems.append((vector_ranking(within(index.vectors), asked), 1.0))
     sections = index.docs if section is None else index.docs.join(index.members.select("doc_id", "section"), "doc_id", "left")
     systems.append((bm25_ranking(sections, queries, keep=None if section is None else F.col("section") == section), 1.0))
     if index.terms is not None:
@@ -111,7 +112,8 @@ def multi_query_groups(results: DataFrame, query_of: DataFrame) -> DataFrame:
 def contexts(groups: DataFrame, corpus: DataFrame) -> DataFrame:
     """question_id, place, parent, rules (number, text_en, text_ja) of the groups as given to a generator: Japanese texts cut to 600 characters, empty ones null."""
     shown = F.nullif(F.substring(F.coalesce("text_ja", F.lit("")), 1, SHOWN), F.lit(""))
-    whole = corpus.groupBy(parent_of(F.col("number")).alias("parent")).agg(F.array_sort(F.collect_list(F.struct("ord", "number", "text_en", shown.alias("text_ja")))).alias("all"))
+    shown_ones = corpus.withColumn("parent", parent_of(F.col("number"))).join(groups.select("parent").distinct(), "parent", "left_semi")
+    whole = shown_ones.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("ord", "number", "text_en", shown.alias("text_ja")))).alias("all"))
     return groups.join(whole, "parent").select("question_id", "place", "parent", F.transform("all", lambda r: F.struct(r.number.alias("number"), r.text_en.alias("text_en"), r.text_ja.alias("text_ja"))).alias("rules"))
 
 
