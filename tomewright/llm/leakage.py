@@ -116,20 +116,22 @@ def _block_values(prints: np.ndarray) -> list[np.ndarray]:
     return [(prints >> np.uint64(s)) & np.uint64((1 << b) - 1) for s, b in zip(shifts, BLOCKS, strict=True)]
 
 
-def _windows(rows: DataFrame, passage: int, step: int, passing: list[np.ndarray] | None = None) -> DataFrame:
-    """id, passage, start, print of the windows of rows (id, text) for passages of a length; with a filter only those of which it has a block."""
-    width, _ = window_of(passage)
+def _windows(rows: DataFrame, shapes: list[tuple[int, int, list[np.ndarray] | None]]) -> DataFrame:
+    """id, passage, start, print of the windows of rows (id, text) for passages of each length, at its step; with a filter only those of which it has a block."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             codes, starts = letter_codes(batch["text"].tolist())
-            owner, start, place = windows(codes, starts, width, step)
-            prints = simhash(shingle_hashes(codes), place, width - SHINGLE + 1)
-            if passing is not None:
-                at = [(v >> np.uint64(b - FILTER_BITS)).astype(np.int64) for v, b in zip(_block_values(prints), BLOCKS, strict=True)]
-                keep = np.logical_or.reduce([seen[a >> 3] >> (a & 7).astype(np.uint8) & 1 > 0 for seen, a in zip(passing, at, strict=True)])
-                owner, start, prints = owner[keep], start[keep], prints[keep]
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[owner], "passage": np.full(len(owner), passage, np.int32), "start": start.astype(np.int32), "print": prints.view(np.int64)})
+            hashes = shingle_hashes(codes)
+            for passage, step, passing in shapes:
+                width, _ = window_of(passage)
+                owner, start, place = windows(codes, starts, width, step)
+                prints = simhash(hashes, place, width - SHINGLE + 1)
+                if passing is not None:
+                    at = [(v >> np.uint64(b - FILTER_BITS)).astype(np.int64) for v, b in zip(_block_values(prints), BLOCKS, strict=True)]
+                    keep = np.logical_or.reduce([seen[a >> 3] >> (a & 7).astype(np.uint8) & 1 > 0 for seen, a in zip(passing, at, strict=True)])
+                    owner, start, prints = owner[keep], start[keep], prints[keep]
+                yield pd.DataFrame({"id": batch["id"].to_numpy()[owner], "passage": np.full(len(owner), passage, np.int32), "start": start.astype(np.int32), "print": prints.view(np.int64)})
 
     return rows.select("id", "text").mapInPandas(cut, "id long, passage int, start int, print long")
 
@@ -218,15 +220,15 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     known = items.select(F.col("item_id").alias("id"), "lang", "text").dropna(subset=["id", "text"])
     known = checkpointed(known.select("id", F.when(japanese, PASSAGE["ja"]).otherwise(PASSAGE["en"]).alias("passage"), "text").distinct())
     stored = documents.select(F.col("doc_id").alias("id"), "text").dropna()
-    wanted, held = [], []
+    parts, shapes = [], []
     for passage in sorted(PASSAGE.values()):
-        own = checkpointed(_windows(known.where(F.col("passage") == passage), passage, 1))
-        wanted.append(own)
-        held.append(_windows(stored, passage, window_of(passage)[1], block_filter(own, passage)))
-    sought = reduce(DataFrame.unionByName, wanted).select(F.col("id").alias("item_id"), "passage", F.col("start").alias("to"), F.col("print").alias("item_print"), _blocks())
+        parts.append(checkpointed(_windows(known.where(F.col("passage") == passage), [(passage, 1, None)])))
+        shapes.append((passage, window_of(passage)[1], block_filter(parts[-1], passage)))
+    held = _windows(stored, shapes)
+    sought = reduce(DataFrame.unionByName, parts).select(F.col("id").alias("item_id"), "passage", F.col("start").alias("to"), F.col("print").alias("item_print"), _blocks())
     # shuffled by hint: Spark takes the repeated windows for fewer than they are and would send them all to every task
     sought = sought.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).hint("shuffle_hash")
-    met = reduce(DataFrame.unionByName, held).select("id", "passage", "start", "print", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), _blocks()).join(sought, ["passage", "block", "value", "salt"])
+    met = held.select("id", "passage", "start", "print", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), _blocks()).join(sought, ["passage", "block", "value", "salt"])
     near = met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     along = near.groupBy("id", "item_id", "passage", (F.col("to") - F.col("start")).alias("shift")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
     aligned = checkpointed(along.groupBy("id", "item_id", "passage").agg(F.collect_list(F.struct("shift", "first", "last")).alias("diagonals")))
