@@ -7,7 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -211,6 +211,24 @@ def normalized(records: DataFrame) -> DataFrame:
     return rows.join(forms, F.col("stored") == F.col("_stored"), "left").select("source_table", "key", "stored", F.col("form").alias("consistent"), (~F.col("stored").eqNullSafe(F.col("form"))).alias("altered"))
 
 
+def _digest(text: Column) -> Column:
+    """Stands for a text in joins and counts, so that texts are moved once and not with each of them."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def _classes(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct records (with text, as digest), the form of each text, and the records of classes: source_table, key, text, form (digests), spellings, members, links."""
+    rows = checkpointed(records.select("source_table", "key", "stored").dropna().withColumn("text", _digest(F.col("stored"))).distinct())
+    forms = spelled(rows).where("form != ''").select(_digest(F.col("stored")).alias("text"), "form", _digest(F.col("form")).alias("class"))
+    forms = checkpointed(forms)
+    counted = rows.groupBy("source_table", "text").agg(F.count("*").alias("same"))
+    formed = checkpointed(counted.join(forms.select("text", "class"), "text"))
+    classes = formed.groupBy("source_table", "class").agg(F.count("*").alias("spellings"), F.sum("same").alias("members")).where("spellings > 1")
+    several = formed.join(classes, ["source_table", "class"])
+    members = rows.select("source_table", "key", "text").join(several, ["source_table", "text"]).withColumn("links", F.col("members") - F.col("same")).drop("same")
+    return rows, forms, checkpointed(members)
+
+
 def lookalike_classes(records: DataFrame) -> DataFrame:
     """One row per distinct record (source_table, key, stored) whose text has another spelling of the same look in its table.
 
@@ -218,23 +236,20 @@ def lookalike_classes(records: DataFrame) -> DataFrame:
     links: the members that store another string. Texts are spelled once each, and counted by spelling before they
     meet, so a string that many records store costs a row. Null texts and keys, and texts that look empty, have no class.
     """
-    rows = checkpointed(records.select("source_table", "key", "stored").dropna().distinct())
-    counted = rows.groupBy("source_table", "stored").agg(F.count("*").alias("same"))
-    formed = checkpointed(counted.join(spelled(rows), "stored").where("form != ''"))
-    classes = formed.groupBy("source_table", "form").agg(F.count("*").alias("spellings"), F.sum("same").alias("members")).where("spellings > 1")
-    several = formed.join(classes, ["source_table", "form"])
-    return rows.join(several, ["source_table", "stored"]).select("source_table", "key", "stored", "form", "spellings", "members", (F.col("members") - F.col("same")).alias("links"))
+    rows, forms, members = _classes(records)
+    stored = rows.join(members, ["source_table", "key", "text"])
+    return stored.join(forms.select("class", "form").distinct(), "class").select("source_table", "key", "stored", "form", "spellings", "members", "links")
 
 
 def lookalike_pairs(records: DataFrame) -> DataFrame:
     """Pairs of records of a table (source_table, key_a < key_b) whose texts look the same but are different strings.
 
-    They are expanded from ``lookalike_classes``, each class in shares of a bounded number of members, so that a
-    class of any size is spread over as many tasks as it has shares. A record is never paired with itself, even if
-    it is stored with two spellings.
+    They are expanded from the classes of ``lookalike_classes``, each in shares of a bounded number of members, so
+    that a class of any size is spread over as many tasks as it has shares. A record is never paired with itself,
+    even if it is stored with two spellings.
     """
-    classes = checkpointed(lookalike_classes(records)).withColumn("shares", F.ceil(F.col("members") / SHARE).cast("int"))
-    left = classes.select("source_table", "form", F.pmod(F.xxhash64("key", "stored"), F.col("shares")).cast("int").alias("share"), F.col("key").alias("k"), F.col("stored").alias("one"))
-    right = classes.select("source_table", "form", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("key").alias("l"), F.col("stored").alias("other"))
-    met = left.join(right, ["source_table", "form", "share"]).where("one != other and k < l")
+    members = _classes(records)[2].withColumn("shares", F.ceil(F.col("members") / SHARE).cast("int"))
+    left = members.select("source_table", "class", F.pmod(F.xxhash64("key", "text"), F.col("shares")).cast("int").alias("share"), F.col("key").alias("k"), F.col("text").alias("one"))
+    right = members.select("source_table", "class", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("key").alias("l"), F.col("text").alias("other"))
+    met = left.join(right, ["source_table", "class", "share"]).where("one != other and k < l")
     return met.select("source_table", F.col("k").alias("key_a"), F.col("l").alias("key_b")).distinct()
