@@ -173,6 +173,13 @@ def test_sentences(spark):
     assert len(sentences.split_text(long, None)) == 50_000
 
 
+def test_boundaries_do_not_depend_on_copies(spark):
+    """Repeating all texts is no new evidence: the classifier stays as it is."""
+    texts = [f"Word{chr(97 + i)}word ends.Then Team A.B.C. of Mr. Ab{i} may go. Take no. {i} or {i}.5 now." for i in range(9)]
+    few, many = (sentences.train_boundaries(spark.createDataFrame([(t,) for t in texts], "text string").crossJoin(spark.range(n)).coalesce(4)) for n in (2_000, 20_000))
+    assert few.keys() == many.keys() and max(abs(few[k] - many[k]) for k in few) < 1e-3
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab. !?。「」()\n\"'A1…　", max_size=60))
 def test_sentences_cover_text(text):

@@ -19,6 +19,8 @@ from ..storage import checkpointed
 
 #: Buckets that the words before marks are hashed to, so that the features are bounded and no word is left out.
 WORD_BUCKETS = 4096
+#: Marks that the counts of the training sets are scaled down to where there are more.
+TRAINED_MARKS = 20_000
 
 # English abbreviations, by what follows them.
 TITLES = set("mr mrs ms dr prof st rev gen col capt lt sgt hon pres gov sen rep messrs mt ft".split())
@@ -200,8 +202,9 @@ def train_boundaries(texts: DataFrame) -> dict[str, float] | None:
 
     Reliable are: line ends, ideographic full stops, and full stops between a long word and a capital; and, against, marks before lower case, inside numbers and
     acronyms, of list numbers, after titles and such abbreviations. They are counted by feature set before the
-    fit, which runs on Spark, so that the model's input grows with the sets and not with the texts. With fewer
-    than two classes (as in an empty table) there are no weights.
+    fit, which runs on Spark, so that the model's input grows with the sets and not with the texts. Counts are
+    scaled to a fixed number of marks, so the same mix of texts gives the same model however often it recurs. With
+    fewer than two classes (as in an empty table) there are no weights.
     """
 
     def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,12 +214,13 @@ def train_boundaries(texts: DataFrame) -> dict[str, float] | None:
 
     counted = texts.select("text").dropna().mapInPandas(sure, "features string, label double, n long").groupBy("features", "label").agg(F.sum("n").cast("double").alias("n"))
     counted = checkpointed(counted.select(F.split("features", "\t").alias("terms"), "label", "n"))
-    about = counted.select("label", F.explode("terms").alias("term")).agg(F.count_distinct("label").alias("labels"), F.count_distinct("term").alias("terms")).first()
+    about = counted.select("label", "n", F.posexplode("terms").alias("pos", "term")).agg(F.count_distinct("label").alias("labels"), F.count_distinct("term").alias("terms"), F.sum(F.when(F.col("pos") == 0, F.col("n"))).alias("marks")).first()
     if about["labels"] < 2:
         return None
     terms = CountVectorizer(inputCol="terms", outputCol="vector", vocabSize=about["terms"], binary=True).fit(counted)
-    # counts are damped: a template that recurs a million times is no million kinds of evidence
-    model = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", regParam=0.002, maxIter=60, standardization=False).fit(terms.transform(counted.withColumn("weight", F.log1p("n"))))
+    # counts are damped: a template that recurs a million times is no million kinds of evidence; unscaled, many texts would damp common sets to the weight of rare ones
+    share = min(1.0, TRAINED_MARKS / about["marks"])
+    model = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", regParam=0.002, maxIter=60, standardization=False).fit(terms.transform(counted.withColumn("weight", F.log1p(F.col("n") * share))))
     return {"": float(model.intercept)} | {t: float(w) for t, w in zip(terms.vocabulary, model.coefficients.toArray(), strict=True) if w}
 
 
