@@ -317,3 +317,14 @@ def test_records(spark, tmp_path):
     back = records.rules_document(spark, str(tmp_path / "doc" / "*.json")).orderBy("ord").collect()
     assert [r["number"] for r in back] == ["100.1", "100.2"]
     assert records.file_hashes(spark, str(tmp_path / "b.jsonl")).first()["sha256"] and "| a |" in records.markdown_table(spark.sql("select 1 as a"))
+
+
+def test_term_hits_by_brute_force(spark):
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("ab日 ") for _ in range(n))
+    terms = sorted({t for n in (1, 2, 3, 4, 5, 8, 9, 16, 17, 40) for t in [word(n).strip()] * 1 if t} | {"a", "😀b"})
+    texts = {f"q{i}": word(60).strip() + draw.choice(terms) for i in range(40)} | {"none": "", "short": "a"}
+    got = glossary.term_hits(spark.createDataFrame(list(texts.items()), "query_id string, text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert {tuple(r) for r in got.collect()} == {(k, t) for k, q in texts.items() for t in terms if t in q}
+    # stretches are never taken for so few that they would be sent to every task
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
