@@ -328,3 +328,21 @@ def test_term_hits_by_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == {(k, t) for k, q in texts.items() for t in terms if t in q}
     # stretches are never taken for so few that they would be sent to every task
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_ranking_by_packs(spark, monkeypatch):
+    """The packs' best are those of all scores, ties by id, whatever the packs are cut to; no row for a query and a document is shuffled to be summed."""
+    draw = random.Random(3)
+    text = lambda n: " ".join(draw.choice("abcdefghijklmnop") + draw.choice("xyz") for _ in range(n))
+    docs = spark.createDataFrame([(i, text(draw.randrange(12)), i % 3 == 0) for i in range(150)], "doc_id int, text string, third boolean")
+    queries = spark.createDataFrame([(f"q{i}", t) for i in range(8) for t in [text(6)] for _ in range(1)] + [("again", "ax bx ax"), ("twin", "bx ax ax"), ("empty", ""), ("new", "zzz")], "query_id string, text string")
+    monkeypatch.setattr(ranking, "BAGS", 7)
+    monkeypatch.setattr(ranking, "PACKED", 40)
+    for dense in (0, 6, 1 << 14):
+        monkeypatch.setattr(ranking, "DENSE", dense)
+        for keep in (None, F.col("third")):
+            got = ranking.bm25_ranking(docs, queries, 5, keep)
+            scores = ranking.bm25(docs, queries)
+            want = ranking.top(scores if keep is None else scores.join(docs.where(keep), "doc_id"), 5, [F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score", "rank")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "block" not in got._jdf.queryExecution().toString()
