@@ -346,3 +346,17 @@ def test_bm25_ranking_by_packs(spark, monkeypatch):
             want = ranking.top(scores if keep is None else scores.join(docs.where(keep), "doc_id"), 5, [F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score", "rank")
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "block" not in got._jdf.queryExecution().toString()
+
+
+def test_search_plans_stay_small(spark):
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    c = corpus(spark, ["100.1", "100.1a", "200.1"])
+    terms = glossary.term_table(spark.createDataFrame([("a", "tall tale", None, ["200.1"], ["100"])], "ord string, term_en string, term_ja string, rules array<string>, sections array<string>"), c)
+    v = spark.createDataFrame([("100.1", [1.0, 0.0]), ("200.1", [0.0, 1.0])], "doc_id string, embedding array<float>")
+    asked = spark.createDataFrame([("t", [1.0, 0.0])], "query_id string, embedding array<float>")
+    index = search.Index(search.passages(c), search.corpus_members(c), v, terms, asked)
+    q = spark.createDataFrame([("t", "a tall tale"), ("n", "200.1")], "query_id string, text string")
+    assert leaves(search.search(index, q, rerank=True)) <= 4  # each step that read the ranking or the queries repeated their plans
+    queries = search.question_queries(q, terms)
+    found = search.multi_query_groups(search.search(index, queries.select("query_id", "text")), queries)
+    assert leaves(search.contexts(found, c)) <= 4
