@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tomewright.functions.text import references
@@ -360,3 +361,33 @@ def test_search_plans_stay_small(spark):
     queries = search.question_queries(q, terms)
     found = search.multi_query_groups(search.search(index, queries.select("query_id", "text")), queries)
     assert leaves(search.contexts(found, c)) <= 4
+
+
+def test_bm25_packs_keep_the_best():
+    """Products are the sums over shared tokens, as matrices or pair by pair; the best are cut seldom, also where the first documents of packs share an id."""
+    rng = np.random.default_rng(1)
+    for dense in (0, 4, 1 << 14):
+        sides = []
+        for n in (9, 40):
+            key, word = np.nonzero(rng.random((n, 30)) < 0.2)
+            order = np.argsort(word, kind="stable")
+            sides += [word[order] * 7 - 100, key[order].astype(np.int32), rng.integers(1, 4, len(key)) / 2.0, n]
+        of = lambda words, keys, values, n: {(k, w): v for k, w, v in zip(keys, words, values, strict=True)}
+        asked, docs = of(*sides[:4]), of(*sides[4:])
+        want = np.array([[sum(v * docs.get((d, w), 0) for (q, w), v in asked.items() if q == i) for d in range(40)] for i in range(9)])
+        old, ranking.DENSE = ranking.DENSE, dense
+        try:
+            scores = ranking._products(*sides[4:], *sides[:4])
+        finally:
+            ranking.DENSE = old
+        assert np.allclose(scores, want)
+        ids = np.array([f"d{i % 8 * 5 + i // 8}" for i in range(40)], object)
+        best, cuts = ranking._Best(9, 3), []
+        cut = best.cut
+        best.cut = lambda: cuts.append(1) or cut()  # noqa: B023
+        for i in range(0, 40, 4):
+            best.add(scores[:, i : i + 4], ids[i : i + 4])
+        assert len(cuts) < 10 and len(best.ids) <= 67
+        best.add(scores[:, :1], np.array(["d0"], object))  # the same id in another pack
+        got = [sorted(zip(-s[q == i], d[q == i], strict=True)) for q, s, d in [cut()] for i in range(9)]
+        assert got == [sorted((-s, d) for s, d in zip([*scores[i].round(6), scores[i, 0].round(6)], [*ids, "d0"], strict=True) if s > 0)[:3] for i in range(9)]
