@@ -4,6 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tomewright import queries_retrieval
 from tomewright.functions.text import references
 from tomewright.operators import cards, evaluation, glossary, ingest, lookup, ordered, ranking, validation
 from tomewright.plans import search
@@ -363,6 +364,17 @@ def test_search_plans_stay_small(spark):
     assert leaves(search.contexts(found, c)) <= 4
 
 
+def test_group_queries_read_questions_once(spark, monkeypatch):
+    """What is asked and wanted is stored once; each step that read the questions read and sorted all of them."""
+    read, table = [], queries_retrieval.table
+    monkeypatch.setattr(queries_retrieval, "table", lambda spark, sf, name: read.append(name) or table(spark, sf, name))
+    queries_retrieval.q_group_misses(spark, "/root/testdata/sf0.001")
+    assert read.count("questions") == 1
+    read.clear()
+    queries_retrieval.q_group_summary(spark, "/root/testdata/sf0.001")
+    assert read.count("questions") == 1
+
+
 def test_bm25_packs_keep_the_best():
     """Products are the sums over shared tokens, as matrices or pair by pair; the best are cut seldom, also where the first documents of packs share an id."""
     rng = np.random.default_rng(1)
