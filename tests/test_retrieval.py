@@ -365,11 +365,12 @@ def test_search_plans_stay_small(spark):
 
 
 def test_group_queries_read_questions_once(spark, monkeypatch):
-    """What is asked and wanted is stored once; each step that read the questions read and sorted all of them."""
+    """What is asked and wanted is stored once, and so is what is found where it is read twice; each step that read the questions read and sorted all of them."""
     read, table = [], queries_retrieval.table
     monkeypatch.setattr(queries_retrieval, "table", lambda spark, sf, name: read.append(name) or table(spark, sf, name))
-    queries_retrieval.q_group_misses(spark, "/root/testdata/sf0.001")
+    got = queries_retrieval.q_group_misses(spark, "/root/testdata/sf0.001")
     assert read.count("questions") == 1
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 5
     read.clear()
     queries_retrieval.q_group_summary(spark, "/root/testdata/sf0.001")
     assert read.count("questions") == 1
