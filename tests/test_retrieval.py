@@ -404,3 +404,11 @@ def test_bm25_packs_keep_the_best():
         best.add(scores[:, :1], np.array(["d0"], object))  # the same id in another pack
         got = [sorted(zip(-s[q == i], d[q == i], strict=True)) for q, s, d in [cut()] for i in range(9)]
         assert got == [sorted((-s, d) for s, d in zip([*scores[i].round(6), scores[i, 0].round(6)], [*ids, "d0"], strict=True) if s > 0)[:3] for i in range(9)]
+
+
+def test_group_eval_judges_every_question(spark, rows):
+    """Only questions whose number is divisible by 20 were judged, of which sf0.001 has none."""
+    wanted = queries_retrieval._evaluated(spark, "/root/testdata/sf0.001", every=True).where("size(relevant) > 0").select("query_id")
+    got = rows(queries_retrieval.q_group_eval(spark, "/root/testdata/sf0.001").select("question_id"))
+    every = queries_retrieval.records_of(spark, "/root/testdata/sf0.001").where("category != 'card_interactions' and size(retrieval_relevant_rules) > 0")
+    assert got == rows(wanted) == rows(every.select("id")) and len(got) > 40
