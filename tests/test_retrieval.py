@@ -412,3 +412,9 @@ def test_group_eval_judges_every_question(spark, rows):
     got = rows(queries_retrieval.q_group_eval(spark, "/root/testdata/sf0.001").select("question_id"))
     every = queries_retrieval.records_of(spark, "/root/testdata/sf0.001").where("category != 'card_interactions' and size(retrieval_relevant_rules) > 0")
     assert got == rows(wanted) == rows(every.select("id")) and len(got) > 40
+
+
+def test_hybrid_asks_every_question(spark, rows):
+    """Only questions whose number is divisible by 20 were asked, of which sf0.001 has none; each has a hit there."""
+    every = rows(queries_retrieval.records_of(spark, "/root/testdata/sf0.001").select("id"))
+    assert rows(queries_retrieval.q_hybrid(spark, "/root/testdata/sf0.001").select("query_id").distinct()) == every and len(every) == 60
