@@ -418,3 +418,13 @@ def test_hybrid_asks_every_question(spark, rows):
     """Only questions whose number is divisible by 20 were asked, of which sf0.001 has none; each has a hit there."""
     every = rows(queries_retrieval.records_of(spark, "/root/testdata/sf0.001").select("id"))
     assert rows(queries_retrieval.q_hybrid(spark, "/root/testdata/sf0.001").select("query_id").distinct()) == every and len(every) == 60
+
+
+def test_hybrid_in_a_section_asks_every_question(spark, monkeypatch):
+    """Only questions whose number is divisible by 20 were searched for, of which sf0.001 has none."""
+    asked = []
+    monkeypatch.setattr(queries_retrieval, "search", lambda index, queries, **kw: asked.append((queries, kw)) or search.search(index, queries, **kw))
+    queries_retrieval.q_hybrid_section(spark, "/root/testdata/sf0.001")
+    ((queries, how),) = asked
+    every = queries_retrieval.records_of(spark, "/root/testdata/sf0.001").select("id")
+    assert how == {"section": "702"} and queries.count() == 60 and every.exceptAll(queries.select("query_id")).count() == 0
